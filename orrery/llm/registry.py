@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, sharding
 
 QUERIES = {
+    "op4_hilbert_shards": sharding.op4_hilbert_shards,
+    "op5_source_mix": mixing.op5_source_mix,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 SQL = {
+    "op5_source_mix": mixing.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
