@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, packing, pii, secrets, sharding
 
 QUERIES = {
+    "op3_dp_packing": packing.op3_dp_packing,
     "op4_hilbert_shards": sharding.op4_hilbert_shards,
     "op5_source_mix": mixing.op5_source_mix,
+    "op8_secret_scan": secrets.op8_secret_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_pii": pii.op10_pii,
 }
 
 SQL = {
