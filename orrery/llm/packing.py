@@ -32,14 +32,16 @@ BLOCK = 1 << 20
 #: Words a worker remembers before it starts afresh; bounds its memory to about 200 MB.
 MEMO = 1_000_000
 
-_PLAIN = re.compile(rb"([A-Za-z]{1,40})([.,!?;:]{0,3})")
+#: Letters of ASCII and Latin-1, then light punctuation.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,60})([.,!?;:]{0,3})")
 
 
 class WordIds(dict):
-    """Token ids of a chunk between white space, as little-endian unsigned 16-bit bytes.
+    """Token ids of chunks between white space, as little-endian unsigned 16-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in a row.
-    Plain words are remembered without case and without the punctuation that follows them.
+    Plain words are remembered without case and without the punctuation that follows them; the ones a text
+    brings anew are encoded in one call and told apart by their word-end tokens.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,33 +49,56 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
-        ends = [i for s, i in self.tokenizer.get_vocab().items() if re.fullmatch(r"[.!?…]+[\"')\]»”]*(</w>)?", s)]
-        self.ends_sentence = np.zeros(1 << 16, bool)
-        self.ends_sentence[ends] = True
+        self.ends_sentence, self.ends_word = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        self.ends_sentence[[i for s, i in vocabulary.items() if re.fullmatch(r"[.!?…]+[\"')\]»”]*(</w>)?", s)]] = True
+        self.ends_word[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
 
-    def encode(self, chunk: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+    def encode(self, chunk: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2")
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def ids(self, text: bytes) -> np.ndarray:
         if len(self) >= MEMO:
             self.clear()
-        m = _PLAIN.fullmatch(chunk)
-        if m is None:
-            ids = self.encode(chunk)
-        elif m[2]:
-            ids = self[m[1].lower()] + self[m[2]]
-        elif chunk.islower():
-            ids = self.encode(chunk)
-        else:
-            ids = self[chunk.lower()]
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
-
-    def ids(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u2")
+        chunks = text.split()
+        parts = list(map(self.get, chunks))
+        missing = {c for c, p in zip(chunks, parts) if p is None}
+        if missing:
+            learnt = self._learn(missing)
+            parts = [learnt[c] if p is None else p for c, p in zip(chunks, parts)]
+        return np.frombuffer(b"".join(parts), "<u2")
+
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        plain: dict[bytes, tuple[bytes, bytes]] = {}
+        for c in chunks:
+            m = _PLAIN.fullmatch(c)
+            if m is None:
+                out[c] = self.encode(c.decode()).tobytes()
+                if len(c) <= 32:
+                    self[c] = out[c]
+            else:
+                plain[c] = (m[1].decode().lower().encode(), m[2])
+        new = list({core for core, _ in plain.values() if core not in self})
+        if new:
+            ids = self.encode(b" ".join(new).decode())
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) != len(new):
+                raise AssertionError("a plain word is not one token run")
+            flat, begin = ids.tobytes(), 0
+            for core, end in zip(new, ends):
+                self[core] = flat[2 * begin : 2 * end]
+                begin = end
+        fresh = set(new)
+        for c, (core, tail) in plain.items():
+            if tail and tail not in self:
+                self[tail] = self.encode(tail.decode()).tobytes()
+            out[c] = self[core] + (self[tail] if tail else b"")
+            if core not in fresh:  # seen before, so this form may well come again
+                self[c] = out[c]
+        return out
 
 
 _word_ids: dict[str, WordIds] = {}
