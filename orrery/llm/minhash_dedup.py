@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_groups, staged
+from .common import documents, join_groups, map_arrow, staged
 from .components import components
 
 #: 32 bands of 4 rows: a pair at similarity 0.8 misses every band with probability 5e-8.
@@ -181,7 +181,7 @@ class Verifier:
         sig = self.reps.select("doc_id", "sig")
         joined = pairs.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
         joined = joined.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a")
-        return joined.select("a", "b", "x", "y").mapInArrow(_posterior(self.least), "a long, b long")
+        return map_arrow(joined.select("a", "b", "x", "y"), _posterior(self.least), "a long, b long")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """doc_id, set of the documents in ``wanted``; a bit table of fixed size spares the others the work."""
@@ -202,7 +202,7 @@ class Verifier:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), sets], ["doc_id", "set"])
 
         slot = F.expr(f"shiftrightunsigned(xxhash64(doc_id), {64 - bits})").alias("slot")
-        return self.docs.select("doc_id", "text", slot).mapInArrow(run, "doc_id long, set binary")
+        return map_arrow(self.docs.select("doc_id", "text", slot), run, "doc_id long, set binary")
 
     def links(self, pairs: DataFrame, screened: bool = False) -> DataFrame:
         """The pairs whose full sets reach the threshold. ``screened``: the posterior bounds have been applied."""
@@ -211,7 +211,7 @@ class Verifier:
         sets = self.sets(wanted)
         joined = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
         joined = joined.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
-        return staged(joined.select("a", "b", "x", "y").mapInArrow(_confirm(self.percent), "a long, b long").distinct(), "mh-links")
+        return staged(map_arrow(joined.select("a", "b", "x", "y"), _confirm(self.percent), "a long, b long").distinct(), "mh-links")
 
 
 def _blocks(least: list[int]):
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     table gives no rows; extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = staged(docs.mapInArrow(_sign(words), SIGNED), "mh-signed")
+    signed = staged(map_arrow(docs, _sign(words), SIGNED), "mh-signed")
     rows = signed.select("doc_id", "n_shingles", "set_hash").filter("n_shingles > 0")
     classes = staged(rows.groupBy("set_hash").agg(F.count("*").alias("size"), F.min("doc_id").alias("rep")), "mh-classes")
     own = classes.select("set_hash", F.col("rep").alias("doc_id"))

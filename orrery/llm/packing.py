@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, map_arrow
 
 SEQUENCE = 2048
 END_ID = 1
@@ -242,7 +243,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SEQUENC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pack_batches(batches, tokenizer_path, TaskContext.get().partitionId() << 32, size)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECE_DDL)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECE_DDL)
 
 
 def op3_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_groups, staged
+from .common import documents, join_groups, map_arrow, ship, staged
 
 Span = tuple[int, int, str]
 
@@ -152,7 +152,7 @@ def _document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
                         seen[t] = seen.get(t, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["t", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
+    counts = map_arrow(docs.select("text"), count, "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
     return counts.join(terms.select("t").distinct(), "t")
 
 
@@ -176,7 +176,7 @@ def find_pii(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     spans. Rows that share a doc_id share their term spans; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = staged(docs.mapInArrow(_scan, SCAN), "pii-scan")
+    scan = staged(map_arrow(docs, _scan, SCAN), "pii-scan")
     risky = staged(disclosures(docs, scan).filter(F.col("disclosure") >= generalise), "pii-risky")
     near = scan.filter("size(near) > 0").select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.*")
     hits = join_groups(near, risky, ["e", "t"], "joint", max(near.count(), 1))
@@ -210,6 +210,7 @@ def redact(text: str, spans: str) -> str:
 def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with sanitised text; doc_id must be unique. Null texts stay null."""
     spans = find_pii(docs, generalise, remove).select(F.col("doc_id").alias("__id"), "spans").filter("spans != ''")
+    ship(docs.sparkSession)
     joined_ = docs.join(spans, docs["doc_id"] == F.col("__id"), "left")
 
     @F.udf("string", useArrow=True)

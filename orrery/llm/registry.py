@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, minhash_dedup, mixing, packing, pii, secrets, sharding, spotsigs
+from . import exact_dedup, line_dedup, minhash_dedup, mixing, packing, pii, quality, secrets, sharding, spotsigs
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
     "op3_dp_packing": packing.op3_dp_packing,
     "op4_hilbert_shards": sharding.op4_hilbert_shards,

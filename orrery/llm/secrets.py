@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, map_arrow
 
 Span = tuple[int, int, str]
 
@@ -116,7 +116,7 @@ def identifier_dictionary(docs: DataFrame, top: int = TOP) -> bytes:
 
     Only names without digits in at least two documents count, so no single secret primes its own dictionary.
     """
-    counts = docs.select("text").mapInArrow(_identifiers_of, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = map_arrow(docs.select("text"), _identifiers_of, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
     best = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(top).collect()]
     return " ".join(reversed(best)).encode()  # zstandard reaches the end of a dictionary most cheaply
 
@@ -143,7 +143,7 @@ def scan_secrets(docs: DataFrame, threshold: float = NOVELTY) -> DataFrame:
             arrays = [pa.array([r[k] for r in rows], kinds[k]) for k in range(6)]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
