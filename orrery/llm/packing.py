@@ -33,8 +33,8 @@ BLOCK = 1 << 20
 #: Words a worker remembers before it starts afresh; bounds its memory to about 200 MB.
 MEMO = 1_000_000
 
-#: Letters of ASCII and Latin-1, then light punctuation.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,60})([.,!?;:]{0,3})")
+#: Letters of ASCII and Latin-1, then ASCII marks, of which the tokenizer makes one run (not ' < > |, which it treats apart).
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,60})([!-&(-/:;=?-@\[-`{}~]{0,8})")
 
 
 class WordIds(dict):
@@ -65,10 +65,11 @@ class WordIds(dict):
             self.clear()
         chunks = text.split()
         parts = list(map(self.get, chunks))
-        missing = {c for c, p in zip(chunks, parts) if p is None}
+        missing = [k for k, p in enumerate(parts) if p is None]
         if missing:
-            learnt = self._learn(missing)
-            parts = [learnt[c] if p is None else p for c, p in zip(chunks, parts)]
+            learnt = self._learn({chunks[k] for k in missing})
+            for k in missing:
+                parts[k] = learnt[chunks[k]]
         return np.frombuffer(b"".join(parts), "<u2")
 
     def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
