@@ -5,9 +5,10 @@ candidates. A candidate pair's signatures are compared batch by batch and the pa
 posterior probability that its similarity reaches the threshold is below the chosen miss probability. Survivors
 are confirmed on their full shingle sets; confirmed links are closed into components.
 
-Within a band's bucket pairs are not enumerated. Rounds compare members with the bucket's smallest member only;
-buckets that components then cover need nothing more. In the others only pairs across components are left, and
-those are compared inside tasks, block against block, so that no more than the survivors leave a task.
+Within a band's bucket pairs are not enumerated. Two rounds compare members with the bucket's smallest member
+only. Pairs that the posterior bounds keep join documents to families; what a family's components don't cover yet
+is compared inside tasks, block against block, and only new links leave a task. Last, members of one bucket that
+belong to different families are compared, once for the first band that they share.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from .components import components
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Hashes compared at a time, and the probability of dropping a pair that reaches the threshold.
-BATCH, MISS = 32, 1e-9
-#: Members of a bucket compared in one task with those of another block.
-BLOCK = 256
+BATCH, MISS = 32, 1e-6
+#: Documents of a bucket, or of a family outside and inside its largest component, that one task compares.
+BLOCK, MINOR, MAJOR = 256, 512, 1024
 #: Words a worker remembers the hash of.
 MEMO = 400_000
 
@@ -204,9 +205,8 @@ class Verifier:
         slot = F.expr(f"shiftrightunsigned(xxhash64(doc_id), {64 - bits})").alias("slot")
         return map_arrow(self.docs.select("doc_id", "text", slot), run, "doc_id long, set binary")
 
-    def links(self, pairs: DataFrame, screened: bool = False) -> DataFrame:
-        """The pairs whose full sets reach the threshold. ``screened``: the posterior bounds have been applied."""
-        left = staged(pairs if screened else self.bayes(pairs), "mh-survivors")
+    def links(self, left: DataFrame) -> DataFrame:
+        """The pairs whose full sets reach the threshold."""
         wanted = left.select(F.explode(F.array("a", "b")).alias("doc_id"))
         sets = self.sets(wanted)
         joined = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
@@ -215,15 +215,19 @@ class Verifier:
 
 
 def _blocks(least: list[int]):
-    """Cross-component pairs of two blocks of one bucket that survive the posterior bounds."""
+    """Pairs across families in two blocks of one bucket that survive the posterior bounds."""
 
     def run(group: pa.Table) -> pa.Table:
         side = np.asarray(group["side"])
-        ids, comp, sig = np.asarray(group["doc_id"]), np.asarray(group["component"]), _table(group["sig"].combine_chunks())
+        ids, family, sig = np.asarray(group["doc_id"]), np.asarray(group["family"]), _table(group["sig"].combine_chunks())
+        bands = np.asarray(group["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
+        here = int(np.flatnonzero(bands[0] == group["key"][0].as_py())[0])
         first, second = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # side 1: a block with itself
         left, right = [], []
         for k in first:
-            other = second[(comp[second] != comp[k]) & ((ids[second] > ids[k]) | (side[k] == 0))]
+            other = second[(family[second] != family[k]) & ((ids[second] > ids[k]) | (side[k] == 0))]
+            # a pair meets once, in the first band that it shares
+            other = other[np.argmax(bands[other] == bands[k], axis=1) == here]
             if len(other):
                 hit = other[plausible(np.broadcast_to(sig[k], (len(other), HASHES)), sig[other], least)]
                 left += [ids[k]] * len(hit)
@@ -234,6 +238,65 @@ def _blocks(least: list[int]):
     return run
 
 
+def _family_links(least: list[int], percent: int):
+    """Links between components in two blocks of one family: bounds first, then exact; one link joins two components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        side = np.asarray(group["side"])
+        ids, root, sig = np.asarray(group["doc_id"]), np.asarray(group["component"]).copy(), _table(group["sig"].combine_chunks())
+        sets = [np.frombuffer(x, "<u8") for x in group["set"].to_pylist()]
+        rows, cols = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+        sizes = np.array([len(x) for x in sets])
+        values = np.concatenate([sets[c] for c in cols]) if len(cols) else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(cols)), sizes[cols])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        left, right = [], []
+        for r in rows:
+            other = np.flatnonzero(root[cols] != root[r])
+            if len(other):
+                other = other[plausible(np.broadcast_to(sig[r], (len(other), HASHES)), sig[cols[other]], least)]
+            if not len(other):
+                continue
+            begin, end = np.searchsorted(values, sets[r], "left"), np.searchsorted(values, sets[r], "right")
+            count = end - begin
+            at = np.repeat(begin - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+            both = np.bincount(owner[at], minlength=len(cols))[other]
+            for c in cols[other[100 * both >= percent * (sizes[r] + sizes[cols[other]] - both)]]:
+                if root[c] != root[r]:
+                    left.append(min(ids[r], ids[c]))
+                    right.append(max(ids[r], ids[c]))
+                    root[root == root[c]] = root[r]
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
+
+
+def _dealt_families(found: DataFrame, families: DataFrame) -> DataFrame:
+    """family, i, j, side, doc_id, component of families with several components, for every pair of blocks to compare.
+
+    A family's largest component is cut into MAJOR blocks, all else into MINOR blocks. Minor blocks meet each other,
+    themselves and the major blocks; major blocks need not meet.
+    """
+    parts = families.select(F.col("v").alias("doc_id"), F.col("component").alias("family"))
+    parts = parts.join(found.select(F.col("v").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    parts = staged(parts, "mh-families")
+    sizes = parts.groupBy("family", "component").agg(F.count("*").alias("m"))
+    plan = sizes.groupBy("family").agg(
+        F.count("*").alias("parts"), F.sum("m").alias("all"), F.max("m").alias("top"), F.max(F.struct("m", -F.col("component"))).alias("major")
+    ).filter("parts > 1").select("family", (-F.col("major.col2")).alias("major"), F.col("top"), "all")
+    plan = plan.withColumn("minors", F.ceil((F.col("all") - F.col("top")) / MINOR).cast("int")).withColumn("majors", F.ceil(F.col("top") / MAJOR).cast("int"))
+    rows = parts.join(plan, "family")
+    inside = F.col("component") == F.col("major")
+    rows = rows.withColumn("block", F.when(inside, F.col("minors") + F.pmod(F.xxhash64("doc_id"), "majors")).otherwise(F.pmod(F.xxhash64("doc_id"), "minors")).cast("int"))
+    last = F.when(inside, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1
+    meets = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"), F.when(o == F.col("block"), 1).when(F.col("block") < o, 0).otherwise(2).alias("side")),
+    )
+    return rows.withColumn("to", F.explode(meets)).select("family", "to.i", "to.j", "to.side", "doc_id", "component")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id, kept.
 
@@ -255,39 +318,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     members = staged(join_groups(bands, buckets, ["key"], "n", total).select("key", "n", "hub", "doc_id"), "mh-members")
     check = Verifier(docs, reps, words, percent, miss)
 
+    def labelled(rows: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
+        side = found.select(F.col("v").alias(column), F.col("component").alias(name))
+        return rows.join(side, column, "left").withColumn(name, F.coalesce(name, column))
+
     # round 1: each document with the hub it shares most bands with
     shared = members.filter("doc_id <> hub").groupBy("hub", "doc_id").agg(F.count("*").alias("bands"))
     best = shared.groupBy("doc_id").agg(F.min(F.struct(-F.col("bands"), F.col("hub"))).getField("hub").alias("hub"))
     tried = staged(best.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), "mh-pairs")
-    links = check.links(tried)
-
-    def labelled(rows: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
-        side = found.select(F.col("v").alias(column), F.col("component").alias(name))
-        return rows.join(side, column, "left").withColumn(name, F.coalesce(name, column))
+    survivors = staged(check.bayes(tried), "mh-survivors")
+    links = check.links(survivors)
 
     # round 2: the other hubs, where components do not cover the pair yet
     found = components(links)
-    open_pairs = shared.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).join(tried, ["a", "b"], "left_anti")
-    open_pairs = labelled(labelled(open_pairs, found, "a", "ca"), found, "b", "cb").filter("ca <> cb").select("a", "b")
-    links = links.unionByName(check.links(open_pairs))
-
-    # round 3: pairs across components in buckets that are still split and have more than a hub and one member
-    found = components(links)
-    parted = labelled(members.filter("n > 2"), found, "doc_id", "component")
-    split = parted.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    left = staged(parted.join(split, "key", "left_semi").filter("doc_id <> hub").select("key", "n", "doc_id", "component"), "mh-split")
+    others = shared.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).join(tried, ["a", "b"], "left_anti")
+    others = labelled(labelled(others, found, "a", "ca"), found, "b", "cb").filter("ca <> cb").select("a", "b")
+    more = staged(check.bayes(others), "mh-survivors")
+    links = links.unionByName(check.links(more))
+
+    # round 3: inside families of plausible pairs, across components
+    families = components(survivors.unionByName(more))
+    dealt = staged(_dealt_families(components(links), families), "mh-dealt")
+    sets = check.sets(dealt.select("doc_id").distinct())
+    full = dealt.join(reps.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
+    inner = full.groupBy("family", "i", "j").applyInArrow(_family_links(check.least, percent), "a long, b long")
+    links = links.unionByName(staged(inner, "mh-links"))
+
+    # round 4: across families, in buckets with more than a hub and one member
+    parted = labelled(members.filter("n > 2"), families, "doc_id", "family")
+    split = parted.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("key")
+    left = staged(parted.join(split, "key", "left_semi").filter("doc_id <> hub").select("key", "n", "doc_id", "family"), "mh-split")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    others = F.transform(
+    meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(
-            F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"), F.when(o == F.col("block"), 1).when(F.col("block") < o, 0).otherwise(2).alias("side")
-        ),
+        lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"), F.when(o == F.col("block"), 1).when(F.col("block") < o, 0).otherwise(2).alias("side")),
     )
-    dealt = left.withColumn("blocks", blocks).withColumn("block", block).withColumn("to", F.explode(others))
-    dealt = dealt.join(reps.select("doc_id", "sig"), "doc_id").select("key", "to.i", "to.j", "to.side", "doc_id", "component", "sig")
-    rest = dealt.groupBy("key", "i", "j").applyInArrow(_blocks(check.least), "a long, b long").distinct()
-    links = links.unionByName(check.links(rest, screened=True))
+    spread = left.withColumn("blocks", blocks).withColumn("block", block).withColumn("to", F.explode(meets))
+    spread = spread.join(reps, "doc_id").select("key", "to.i", "to.j", "to.side", "doc_id", "family", "bands", "sig")
+    rest = spread.groupBy("key", "i", "j").applyInArrow(_blocks(check.least), "a long, b long").distinct()
+    links = links.unionByName(check.links(staged(rest, "mh-survivors")))
 
     found = components(links)
     named = labelled(classes, found, "rep", "component_id")
