@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from ..session import batch_bytes, map_arrow, ship
+
+__all__ = ["batch_bytes", "documents", "join_groups", "map_arrow", "shared_dir", "ship", "staged", "word_count"]
 
 #: ASCII white space, the separator of words in every operator here.
 WHITE = r"[\x20\x09-\x0D]"
@@ -20,7 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_PARTS = 1024
 
 _own_dirs: dict[str, str] = {}
-_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,26 +33,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once an application, so that they need no installation."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="orrery-code-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for f in sorted(package.rglob("*.py")):
-            out.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
-
-
-def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_groups, map_arrow, staged
+from .common import batch_bytes, documents, join_groups, map_arrow, ship, staged
 from .components import components
 
 #: 32 bands of 4 rows: a pair at similarity 0.8 misses every band with probability 5e-8.
@@ -33,7 +33,9 @@ BATCH, MISS = 32, 1e-6
 #: Documents of a bucket, or of a family outside and inside its largest component, that one task compares.
 BLOCK, MINOR, MAJOR = 256, 512, 1024
 #: Words a worker remembers the hash of.
-MEMO = 400_000
+MEMO = 200_000
+#: Bytes of rows that a worker is handed at a time.
+BATCH_BYTES = 8 << 20
 
 _random = np.random.default_rng(20240229)
 _A = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -306,7 +308,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     together. Two rows with one doc_id must have equal texts to be told apart from a changed copy. An empty
     table gives no rows; extra columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        return _near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent, miss)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
     signed = staged(map_arrow(docs, _sign(words), SIGNED), "mh-signed")
     rows = signed.select("doc_id", "n_shingles", "set_hash").filter("n_shingles > 0")
     classes = staged(rows.groupBy("set_hash").agg(F.count("*").alias("size"), F.min("doc_id").alias("rep")), "mh-classes")
@@ -316,6 +322,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     buckets = staged(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).filter("n > 1"), "mh-buckets")
     total = max(reps.count(), 1)
     members = staged(join_groups(bands, buckets, ["key"], "n", total).select("key", "n", "hub", "doc_id"), "mh-members")
+    ship(docs.sparkSession)
     check = Verifier(docs, reps, words, percent, miss)
 
     def labelled(rows: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
