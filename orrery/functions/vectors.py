@@ -86,13 +86,13 @@ def search(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     id_type = dict(index.dtypes)[id_col]
     q_type = dict(queries.dtypes)["query_id"]
     schema = f"query_id {q_type}, {id_col} {id_type}, score double"
+    kind = asked.schema.field("query_id").type
     for at in range(0, max(asked.num_rows, 1), MAX_QUERIES):
         part = asked.slice(at, MAX_QUERIES).combine_chunks()
         ids = part["query_id"].to_pylist()
         matrix = _matrix(part["vector"].combine_chunks()) if ids else np.zeros((0, 1))
 
         def run(batches: Iterator[pa.RecordBatch], ids: list = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            kinds = None
             for b in batches:
                 if not b.num_rows or not ids:
                     continue
@@ -104,8 +104,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
                 best = np.argsort(-s, axis=0, kind="stable")[:k]
                 names = b.column(0).take(pa.array(order[best].T.ravel()))
                 who = [q for q in ids for _ in range(best.shape[0])]
-                kinds = kinds or pa.array(ids).type
-                yield pa.RecordBatch.from_arrays([pa.array(who, kinds), names, pa.array(np.take_along_axis(s, best, 0).T.ravel())], ["query_id", id_col, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(who, kind), names, pa.array(np.take_along_axis(s, best, 0).T.ravel())], ["query_id", id_col, "score"])
 
         hits = map_arrow(index.select(id_col, doubles(F.col(vector_col)).alias("v")), run, schema)
         out = hits if out is None else out.unionByName(hits)
