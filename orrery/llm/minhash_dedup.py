@@ -30,8 +30,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Hashes compared at a time, and the probability of dropping a pair that reaches the threshold.
 BATCH, MISS = 32, 1e-6
-#: Documents of a bucket, or of a family outside and inside its largest component, that one task compares.
-BLOCK, MINOR, MAJOR = 256, 512, 1024
+#: Members of a group outside and inside its largest part that one task compares.
+MINOR, MAJOR = 512, 1024
 #: Words a worker remembers the hash of.
 MEMO = 200_000
 #: Bytes of rows that a worker is handed at a time.
@@ -274,29 +274,27 @@ def _family_links(least: list[int], percent: int):
     return run
 
 
-def _dealt_families(found: DataFrame, families: DataFrame) -> DataFrame:
-    """family, i, j, side, doc_id, component of families with several components, for every pair of blocks to compare.
+def _dealt(rows: DataFrame, group: str, part: str) -> DataFrame:
+    """group, i, j, side, doc_id, part of groups with several parts, for every pair of blocks to compare across parts.
 
-    A family's largest component is cut into MAJOR blocks, all else into MINOR blocks. Minor blocks meet each other,
+    A group's largest part is cut into MAJOR blocks, all else into MINOR blocks. Minor blocks meet each other,
     themselves and the major blocks; major blocks need not meet.
     """
-    parts = families.select(F.col("v").alias("doc_id"), F.col("component").alias("family"))
-    parts = parts.join(found.select(F.col("v").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    parts = staged(parts, "mh-families")
-    sizes = parts.groupBy("family", "component").agg(F.count("*").alias("m"))
-    plan = sizes.groupBy("family").agg(
-        F.count("*").alias("parts"), F.sum("m").alias("all"), F.max("m").alias("top"), F.max(F.struct("m", -F.col("component"))).alias("major")
-    ).filter("parts > 1").select("family", (-F.col("major.col2")).alias("major"), F.col("top"), "all")
-    plan = plan.withColumn("minors", F.ceil((F.col("all") - F.col("top")) / MINOR).cast("int")).withColumn("majors", F.ceil(F.col("top") / MAJOR).cast("int"))
-    rows = parts.join(plan, "family")
-    inside = F.col("component") == F.col("major")
+    rows = staged(rows.select(group, part, "doc_id"), "mh-parts")
+    sizes = rows.groupBy(group, part).agg(F.count("*").alias("m"))
+    plan = sizes.groupBy(group).agg(
+        F.count("*").alias("parts"), F.sum("m").alias("all"), F.max("m").alias("top"), F.max(F.struct("m", F.col(part).alias("p"))).getField("p").alias("major")
+    ).filter("parts > 1")
+    plan = plan.select(group, "major", F.ceil((F.col("all") - F.col("top")) / MINOR).cast("int").alias("minors"), F.ceil(F.col("top") / MAJOR).cast("int").alias("majors"))
+    rows = rows.join(plan, group)
+    inside = F.col(part) == F.col("major")
     rows = rows.withColumn("block", F.when(inside, F.col("minors") + F.pmod(F.xxhash64("doc_id"), "majors")).otherwise(F.pmod(F.xxhash64("doc_id"), "minors")).cast("int"))
     last = F.when(inside, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1
     meets = F.transform(
         F.sequence(F.lit(0), last),
         lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"), F.when(o == F.col("block"), 1).when(F.col("block") < o, 0).otherwise(2).alias("side")),
     )
-    return rows.withColumn("to", F.explode(meets)).select("family", "to.i", "to.j", "to.side", "doc_id", "component")
+    return rows.withColumn("to", F.explode(meets)).select(group, "to.i", "to.j", "to.side", "doc_id", part)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -345,24 +343,16 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, miss: float) ->
 
     # round 3: inside families of plausible pairs, across components
     families = components(survivors.unionByName(more))
-    dealt = staged(_dealt_families(components(links), families), "mh-dealt")
+    parts = families.select(F.col("v").alias("doc_id"), F.col("component").alias("family"))
+    dealt = staged(_dealt(labelled(parts, components(links), "doc_id", "component"), "family", "component"), "mh-dealt")
     sets = check.sets(dealt.select("doc_id").distinct())
     full = dealt.join(reps.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
     inner = full.groupBy("family", "i", "j").applyInArrow(_family_links(check.least, percent), "a long, b long")
     links = links.unionByName(staged(inner, "mh-links"))
 
     # round 4: across families, in buckets with more than a hub and one member
-    parted = labelled(members.filter("n > 2"), families, "doc_id", "family")
-    split = parted.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("key")
-    left = staged(parted.join(split, "key", "left_semi").filter("doc_id <> hub").select("key", "n", "doc_id", "family"), "mh-split")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"), F.when(o == F.col("block"), 1).when(F.col("block") < o, 0).otherwise(2).alias("side")),
-    )
-    spread = left.withColumn("blocks", blocks).withColumn("block", block).withColumn("to", F.explode(meets))
-    spread = spread.join(reps, "doc_id").select("key", "to.i", "to.j", "to.side", "doc_id", "family", "bands", "sig")
+    parts = labelled(members.filter("n > 2 and doc_id <> hub"), families, "doc_id", "family")
+    spread = _dealt(parts, "key", "family").join(reps, "doc_id")
     rest = spread.groupBy("key", "i", "j").applyInArrow(_blocks(check.least), "a long, b long").distinct()
     links = links.unionByName(check.links(staged(rest, "mh-survivors")))
 
