@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -24,8 +23,19 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     return builder.getOrCreate()
 
 
+#: Rows are handed to Python in batches of at most so many bytes, unless the session sets a size of its own.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once an application, so that they need no installation."""
+    """Make the session ready for this package's Python functions.
+
+    Sends the package to the executors once an application, so that they need no installation, and lowers Spark's
+    default of 64 MB a batch, which several copies of a batch in each worker would multiply.
+    """
+    if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -48,15 +58,3 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFra
             pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(frugal, schema)
-
-
-@contextmanager
-def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
-    """Plans that are run inside hand Python at most so many bytes of rows at a time."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(size))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
