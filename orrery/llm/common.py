@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import batch_bytes, map_arrow, ship
+from ..session import map_arrow, ship
 
-__all__ = ["batch_bytes", "documents", "join_groups", "map_arrow", "shared_dir", "ship", "staged", "word_count"]
+__all__ = ["Memo", "documents", "join_groups", "map_arrow", "shared_dir", "ship", "staged", "word_count"]
 
 #: ASCII white space, the separator of words in every operator here.
 WHITE = r"[\x20\x09-\x0D]"
@@ -22,6 +22,24 @@ HOT_PARTS = 1024
 _own_dirs: dict[str, str] = {}
 
 
+class Memo(dict):
+    """What a worker remembers about words, at most ``most`` of them. Only the one in use keeps its words, so a worker
+    that has served several operators holds no more than a fresh one."""
+
+    _all: list[Memo] = []
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most = most
+        self._all.append(self)
+
+    def use(self) -> None:
+        """Call before a batch: empties the other memos, and this one when it is full."""
+        for m in self._all:
+            if m and (m is not self or len(m) >= self.most):
+                m.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, documents, join_groups, map_arrow, ship, staged
+from .common import Memo, documents, join_groups, map_arrow, ship, staged
 from .components import components
 
 #: 32 bands of 4 rows: a pair at similarity 0.8 misses every band with probability 5e-8.
@@ -34,8 +34,6 @@ BATCH, MISS = 32, 1e-6
 MINOR, MAJOR = 512, 1024
 #: Words a worker remembers the hash of.
 MEMO = 200_000
-#: Bytes of rows that a worker is handed at a time.
-BATCH_BYTES = 8 << 20
 
 _random = np.random.default_rng(20240229)
 _A = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -50,19 +48,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
-class WordHashes(dict):
+class WordHashes(Memo):
     """64-bit hashes of words, as bytes."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
         h = xxhash.xxh3_64_digest(word)
         if len(word) <= 64:
             self[word] = h
         return h
 
 
-_hashes = WordHashes()
+_hashes = WordHashes(MEMO)
+
+
+def _begin_batch() -> None:
+    """A function of the module, so that workers reach their own memo and not a pickled copy."""
+    _hashes.use()
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -102,6 +103,7 @@ SIGNED = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sig
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            _begin_batch()
             size, sets, bands, sigs = [], [], [], []
             for text in b.column(1).cast(pa.binary()):
                 s = shingles(text.as_py(), words)
@@ -199,6 +201,7 @@ class Verifier:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
+                _begin_batch()
                 at = pa.array(np.flatnonzero(marked[b.column(2).to_numpy()]))
                 texts = b.column(1).take(at).cast(pa.binary())
                 sets = pa.array([shingles(t.as_py(), count).tobytes() for t in texts], pa.binary())
@@ -306,11 +309,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     together. Two rows with one doc_id must have equal texts to be told apart from a changed copy. An empty
     table gives no rows; extra columns are ignored.
     """
-    with batch_bytes(docs.sparkSession, BATCH_BYTES):
-        return _near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent, miss)
-
-
-def _near_duplicates(docs: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = staged(map_arrow(docs, _sign(words), SIGNED), "mh-signed")
     rows = signed.select("doc_id", "n_shingles", "set_hash").filter("n_shingles > 0")
     classes = staged(rows.groupBy("set_hash").agg(F.count("*").alias("size"), F.min("doc_id").alias("rep")), "mh-classes")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow
+from .common import Memo, documents, map_arrow
 
 SEQUENCE = 2048
 END_ID = 1
@@ -37,7 +37,7 @@ MEMO = 1_000_000
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,60})([!-&(-/:;=?-@\[-`{}~]{0,8})")
 
 
-class WordIds(dict):
+class WordIds(Memo):
     """Token ids of chunks between white space, as little-endian unsigned 16-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in a row.
@@ -48,7 +48,7 @@ class WordIds(dict):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(MEMO)
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         if self.tokenizer.get_vocab_size() > 1 << 16:
@@ -61,8 +61,6 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2")
 
     def ids(self, text: bytes) -> np.ndarray:
-        if len(self) >= MEMO:
-            self.clear()
         chunks = text.split()
         parts = list(map(self.get, chunks))
         missing = [k for k, p in enumerate(parts) if p is None]
@@ -190,7 +188,7 @@ class Packer:
         flat = np.concatenate(points).tolist()
         cuts = [flat[j] for j in best_cuts(flat, np.concatenate(penalties).tolist(), self.size)]
         if not last:
-            cuts = cuts[: max(1, len(cuts) - 4)]  # the last windows may change with what comes next
+            cuts = cuts[:-4]  # the last windows may change with what comes next
         out, k, begin = [], 0, 0
         for end in cuts:
             offset = 0
@@ -223,6 +221,7 @@ def pack_batches(batches: Iterable[pa.RecordBatch], path: str | None, first_sequ
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), PIECE.types)], schema=PIECE)
 
     for b in batches:
+        words.use()
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
             rows = packer.add(doc_id, np.concatenate([words.ids(text.as_py() or b""), end]))
             if rows:

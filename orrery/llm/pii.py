@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_groups, map_arrow, ship, staged
+from .common import Memo, documents, join_groups, map_arrow, ship, staged
 
 Span = tuple[int, int, str]
 
@@ -42,6 +42,8 @@ MIN_JOINT = 2
 GENERALISE, REMOVE = 0.6, 0.9
 #: Terms are marked in a table of 2**TABLE_BITS bits (1 MB) that bounds what a worker counts.
 TABLE_BITS = 23
+#: Words a worker remembers.
+TERM_MEMO = 400_000
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -122,6 +124,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
 
 
+_known = Memo(TERM_MEMO)
+
+
+def _known_terms() -> Memo:
+    """A function of the module, so that workers reach their own memo and not a pickled copy."""
+    return _known
+
+
 def _document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """t, df over all whole texts for every term in ``terms``; workers pass on only terms marked in a bit table."""
     slots = terms.select(F.expr(f"shiftrightunsigned(t, {64 - TABLE_BITS})").alias("slot")).distinct()
@@ -132,8 +142,10 @@ def _document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     bits = np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = _known_terms()
+        known.clear()  # it depends on the bit table
         for b in batches:
+            known.use()
             seen: dict[int, int] = {}
             for value in b.column(0):
                 text = value.as_py()
@@ -145,8 +157,6 @@ def _document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
                         t = _hash(word)
                         if not bits[(t % (1 << 64)) >> (64 - TABLE_BITS)]:
                             t = 0
-                        if len(known) >= 500_000:
-                            known.clear()
                         known[word] = t
                     if t:
                         seen[t] = seen.get(t, 0) + 1

@@ -18,10 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow
+from .common import Memo, documents, map_arrow
 
 #: Documented bounds of what the fit sees: labelled documents and the pool that the views label for each other.
-MAX_LABELLED, MAX_POOL = 8000, 8000
+MAX_LABELLED, MAX_POOL = 5000, 5000
 ROUNDS, SURE = 3, 0.95
 #: Share of pool documents that one view may label for the other in a round.
 EXCHANGE = 0.25
@@ -30,7 +30,7 @@ PSEUDO_WEIGHT = 0.5
 TEXT_BITS = 14
 TEXT_SIZE = 1 << TEXT_BITS
 STEPS, RATE, RIDGE = 80, 0.2, 1e-5
-MEMO = 400_000
+MEMO = 300_000
 
 _CLASSES = bytes(0x58 if 65 <= c <= 90 else 0x78 if 97 <= c <= 122 or c >= 128 else 0x39 if 48 <= c <= 57 else c for c in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
@@ -44,12 +44,10 @@ def _bucket(value: bytes, size: int) -> int:
     return xxhash.xxh3_64_intdigest(value) % size
 
 
-class WordFeatures(dict):
+class WordFeatures(Memo):
     """Two feature numbers of a word, as bytes: of the word itself and of its shape (Xx. for Word.)."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
         shape = _RUNS.sub(rb"\1", word.translate(_CLASSES))[:16]
         # shapes have the upper half of the numbers, without the last one
         pair = np.array([_bucket(word, TEXT_SIZE // 2), TEXT_SIZE // 2 + _bucket(shape, TEXT_SIZE // 2 - 1)], "<u2").tobytes()
@@ -58,7 +56,7 @@ class WordFeatures(dict):
         return pair
 
 
-_features = WordFeatures()
+_features = WordFeatures(MEMO)
 
 
 def text_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,6 +189,7 @@ SAMPLE = "doc_id long, y int, at array<int>, value array<float>, page array<int>
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        _features.use()
         rows = []
         for doc_id, text, lang, source, y in zip(*(c.to_pylist() for c in b.columns)):
             raw = (text or "").encode()
@@ -239,6 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
 def _scores(model: Model | None, b: pa.RecordBatch) -> list[tuple[float, float, float]]:
     if model is None:
         return [(1.0, 1.0, 1.0)] * b.num_rows
+    _features.use()
     texts, sources, langs = b.column("text"), b.column("source").to_pylist(), b.column("lang").to_pylist()
     return [model.score((t.as_py() or "").encode(), s, g) for t, s, g in zip(texts, sources, langs)]
 
