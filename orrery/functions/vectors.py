@@ -21,7 +21,7 @@ METRICS = ("cosine", "ip", "l2", "manhattan")
 #: Queries scored in one pass over the index; more are done in further passes.
 MAX_QUERIES = 4096
 #: Rows of a block in a self-search.
-BLOCK = 1024
+BLOCK = 2048
 
 
 def doubles(v: Column) -> Column:

@@ -424,3 +424,22 @@ def test_policy_grants(spark):
     cat = items(spark, [("x", "n", [], 3), ("y", "n", [], 0), ("z", "n", [], 2)])
     got = {r.agent: (r.gained, r.lost, r.grants_high_risk, r.grants_at_least_high) for r in analyze.grants(diff, cat).collect()}
     assert got == {"a": (1, 1, False, True), "b": (1, 0, True, True)}
+
+
+def test_listing_source(spark):
+    from orrery.sources import datasource
+
+    datasource.register(spark)
+    servers = {"a": {"items": [{"name": "x", "annotations": {"destructiveHint": True}, "inputSchema": {"type": "object"}}]}, "b": {"down": True}, "c": {"namespace": "n", "items": [{"name": "y", "annotations": {"readOnlyHint": True}}]}}
+    read = spark.read.format("orrery_listing").option("servers", json.dumps(servers)).option("lister", "orrery.sources.datasource:example_lister")
+    got = {(r.tool_id, r.source_id, r.risk) for r in schema.normalised_items(read.load()).collect()}
+    assert got == {("a/x", "a", "high"), ("n/y", "c", "low")}
+    with pytest.raises(Exception, match="no answer"):
+        read.option("tolerateFailures", "false").load().collect()
+
+
+def test_nearest_rank_of_nothing_and_of_many(spark):
+    assert evaluate.nearest_rank(spark.createDataFrame([], "v double"), "v").count() == 0
+    values = [(k * k % 10007) / 3 for k in range(5000)]
+    got = {r.percentile: r.value for r in evaluate.nearest_rank(spark.createDataFrame([(v,) for v in values], "v double"), "v", (1, 37, 99)).collect()}
+    assert got == {p: sorted(values)[round(p / 100 * 4999)] for p in (1, 37, 99)}
