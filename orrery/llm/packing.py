@@ -30,8 +30,8 @@ SENTENCE_PENALTY, HARD_PENALTY = 2, 16
 GRID = 32
 #: Tokens that one dynamic program covers; the rest of its last windows goes on into the next one.
 BLOCK = 1 << 20
-#: Words a worker remembers before it starts afresh; bounds its memory to about 200 MB.
-MEMO = 1_000_000
+#: Words a worker remembers before it starts afresh; bounds its memory to about 150 MB.
+MEMO = 800_000
 
 #: Letters of ASCII and Latin-1, then ASCII marks, of which the tokenizer makes one run (not ' < > |, which it treats apart).
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,60})([!-&(-/:;=?-@\[-`{}~]{0,8})")
@@ -113,20 +113,21 @@ def word_ids(path: str | None) -> WordIds:
     return _word_ids[path]
 
 
-def cut_points(ids: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions inside or at the end of one document where a window may end, and their penalties."""
-    n = len(ids)
-    sentence = np.flatnonzero(ends_sentence[ids[: n - 1]]) + 1
-    sentence = sentence[sentence < n]
-    at = np.append(sentence, n)
-    long = np.flatnonzero(np.diff(at, prepend=0) > 2 * GRID)
-    hard = [np.arange((0 if k == 0 else at[k - 1]) + GRID, at[k], GRID) for k in long]
-    points = np.concatenate([at, *hard]) if hard else at
-    penalty = np.full(len(points), HARD_PENALTY, np.int64)
-    penalty[: len(at)] = SENTENCE_PENALTY
-    penalty[len(at) - 1] = 0
-    order = np.argsort(points, kind="stable")
-    return points[order].astype(np.int64), penalty[order]
+def cut_points(stream: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a token stream where a window may end, from 0 on, and their penalties."""
+    kind = np.zeros(len(stream) + 1, np.uint8)
+    kind[1:] = ends_sentence[stream]
+    kind[doc_ends - 1] = 0  # not between a document and its end id
+    kind[doc_ends] = 2
+    points = np.flatnonzero(kind)
+    penalty = np.where(kind[points] == 2, 0, SENTENCE_PENALTY)
+    long = np.flatnonzero(np.diff(points, prepend=0) > 2 * GRID)
+    if len(long):
+        hard = np.concatenate([np.arange((points[k - 1] if k else 0) + GRID, points[k], GRID) for k in long])
+        points, penalty = np.append(points, hard), np.append(penalty, np.full(len(hard), HARD_PENALTY))
+        order = np.argsort(points, kind="stable")
+        points, penalty = points[order], penalty[order]
+    return np.append(0, points), np.append(0, penalty)
 
 
 def best_cuts(points: list[int], penalties: list[int], size: int = SEQUENCE) -> list[int]:
@@ -167,11 +168,11 @@ class Packer:
 
     def __init__(self, first_sequence: int, ends_sentence: np.ndarray, size: int = SEQUENCE, block: int = BLOCK) -> None:
         self.sequence, self.ends_sentence, self.size, self.block = first_sequence, ends_sentence, size, block
-        self.docs: list[tuple[int | None, np.ndarray, int, np.ndarray, np.ndarray]] = []  # id, ids, tokens already packed, points, penalties
+        self.docs: list[tuple[int | None, np.ndarray, int]] = []  # id, ids, tokens already packed
         self.waiting = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> list[tuple]:
-        self.docs.append((doc_id, ids, 0, *cut_points(ids, self.ends_sentence)))
+        self.docs.append((doc_id, ids, 0))
         self.waiting += len(ids)
         return self._pack(False) if self.waiting >= self.block else []
 
@@ -179,21 +180,18 @@ class Packer:
         return self._pack(True) if self.docs else []
 
     def _pack(self, last: bool) -> list[tuple]:
-        starts, points, penalties, at = [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0
-        for _, ids, done, p, pen in self.docs:
-            starts.append(at)
-            points.append(p[p > done] - done + at)
-            penalties.append(pen[p > done])
-            at += len(ids) - done
-        flat = np.concatenate(points).tolist()
-        cuts = [flat[j] for j in best_cuts(flat, np.concatenate(penalties).tolist(), self.size)]
+        stream = np.concatenate([ids[done:] for _, ids, done in self.docs])
+        doc_ends = np.cumsum([len(ids) - done for _, ids, done in self.docs])
+        points, penalties = cut_points(stream, doc_ends, self.ends_sentence)
+        flat, at, starts = points.tolist(), len(stream), [0, *doc_ends.tolist()]
+        cuts = [flat[j] for j in best_cuts(flat, penalties.tolist(), self.size)]
         if not last:
             cuts = cuts[:-4]  # the last windows may change with what comes next
         out, k, begin = [], 0, 0
         for end in cuts:
             offset = 0
             while k < len(self.docs) and begin < end:
-                doc_id, ids, done, _, _ = self.docs[k]
+                doc_id, ids, done = self.docs[k]
                 stop = min(end, starts[k] + len(ids) - done)
                 start = begin - starts[k] + done
                 piece = ids[start : start + stop - begin].astype("<u4")
@@ -205,8 +203,8 @@ class Packer:
             self.sequence += 1
         rest = self.docs[k:]
         if rest and begin > starts[k]:
-            doc_id, ids, done, p, pen = rest[0]
-            rest[0] = (doc_id, ids, done + begin - starts[k], p, pen)
+            doc_id, ids, done = rest[0]
+            rest[0] = (doc_id, ids, done + begin - starts[k])
         self.docs = rest
         self.waiting = at - begin
         return out
