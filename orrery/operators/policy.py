@@ -185,7 +185,8 @@ class MinScore:
         return F.when(F.col("score") < self.threshold, reason)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("__drop", self.dropped(df))
+        """``df`` with __drop, the reason for which a row of __live goes."""
+        return df.withColumn("__drop", F.when(F.col("__live"), self.dropped(df)))
 
 
 @dataclass(frozen=True)
@@ -200,13 +201,13 @@ class MaxTools:
         if self.limit < 0:
             return df.withColumn("__drop", F.lit(None).cast("string"))
         pin = F.col("tool_id").isin(list(self.pinned)) if self.pinned else F.lit(False)
-        each = Window.partitionBy("query_id")
-        pins = F.sum(pin.cast("int")).over(each)
-        place = F.row_number().over(Window.partitionBy("query_id", "__pin").orderBy("rank"))
+        pins = F.sum(pin.cast("int")).over(Window.partitionBy("query_id", "__live"))
+        place = F.row_number().over(Window.partitionBy("query_id", "__live", "__pin").orderBy("rank"))
         room = F.greatest(F.lit(self.limit) - pins, F.lit(0))
         out = df.withColumn("__pin", pin).withColumn("__room", room).withColumn("__place", place)
         reason = F.lit(f"beyond max_tools limit of {self.limit}")
-        return out.withColumn("__drop", F.when(~F.col("__pin") & (F.col("__place") > F.col("__room")), reason)).drop("__pin", "__room", "__place")
+        over = F.col("__live") & ~F.col("__pin") & (F.col("__place") > F.col("__room"))
+        return out.withColumn("__drop", F.when(over, reason)).drop("__pin", "__room", "__place")
 
 
 @dataclass(frozen=True)
@@ -246,17 +247,15 @@ class Policy:
         at = F.array_position(F.transform(every, ends), F.lit(True)).cast("int")
         return F.when(at > 0, F.slice(every, 1, at)).otherwise(every).cast(kind)
 
+    def decision(self) -> Column:
+        """Verdict by the column ``firings``."""
+        if self.mode == "deny_overrides":
+            return F.when(F.exists("firings", lambda x: x["decision"] == DENY), DENY).when(F.size("firings") > 0, ALLOW).otherwise(self.default)
+        return F.when(F.size("firings") > 0, F.element_at("firings", -1)["decision"]).otherwise(self.default)
+
     def judged(self, candidates: DataFrame) -> DataFrame:
         """``candidates`` with firings, decision and, for denied rows, reason."""
-        out = candidates.withColumn("firings", self.firings())
-        denials = F.filter("firings", lambda x: x["decision"] == DENY)
-        if self.mode == "deny_overrides":
-            decision = F.when(F.size(denials) > 0, DENY).when(F.size("firings") > 0, ALLOW).otherwise(self.default)
-        else:
-            decision = F.when(F.size("firings") > 0, F.element_at("firings", -1)["decision"]).otherwise(self.default)
-        said = F.array_join(F.transform(denials, lambda x: F.concat(x["rule"], F.lit(": "), x["reason"])), "; ")
-        reason = F.when(F.size(denials) > 0, said).otherwise("denied by default policy")
-        return out.withColumn("decision", decision).withColumn("reason", F.when(F.col("decision") == DENY, reason))
+        return _explained(candidates.withColumn("firings", self.firings()).withColumn("decision", self.decision()))
 
     def evaluate(self, candidates: DataFrame) -> DataFrame:
         """Every candidate (query_id, tool_id, score, rank, ...) with firings, ``stage`` and ``reason`` of its exclusion.
@@ -267,15 +266,20 @@ class Policy:
         out = self.judged(candidates)
         out = out.withColumn("stage", F.when(F.col("decision") == DENY, "policy"))
         for rule in self.selection:
-            open_ = out if self.dry_run else out.filter("stage is null")
-            shut = None if self.dry_run else out.filter("stage is not null")
-            open_ = rule.apply(open_)
+            out = rule.apply(out.withColumn("__live", F.lit(True) if self.dry_run else F.col("stage").isNull()))
             gone = F.col("__drop").isNotNull() & F.col("stage").isNull()
-            open_ = open_.withColumn("reason", F.when(gone, F.col("__drop")).otherwise(F.col("reason"))).withColumn("stage", F.when(gone, rule.name).otherwise(F.col("stage"))).drop("__drop")
-            out = open_ if shut is None else open_.unionByName(shut)
+            out = out.withColumn("reason", F.when(gone, F.col("__drop")).otherwise(F.col("reason"))).withColumn("stage", F.when(gone, rule.name).otherwise(F.col("stage")))
+            out = out.drop("__drop", "__live")
         return out.withColumn("kept", F.lit(True) if self.dry_run else F.col("stage").isNull())
 
 
+def _explained(judged: DataFrame) -> DataFrame:
+    denials = F.filter("firings", lambda x: x["decision"] == DENY)
+    said = F.array_join(F.transform(denials, lambda x: F.concat(x["rule"], F.lit(": "), x["reason"])), "; ")
+    reason = F.when(F.size(denials) > 0, said).otherwise("denied by default policy")
+    return judged.withColumn("reason", F.when(F.col("decision") == DENY, reason))
+
+
 def exclusions(evaluated: DataFrame) -> DataFrame:
     return evaluated.filter("stage is not null").select("query_id", "tool_id", "stage", "reason")
 
@@ -293,15 +297,19 @@ class AgentPolicies:
     strict: bool = False
 
     def judged(self, candidates: DataFrame) -> DataFrame:
-        known = list(self.by_agent)
+        """Each row by its agent's policy, all in one pass over the candidates."""
         agent = F.col("agent")
-        out = self.default.judged(candidates.filter(agent.isNull() if self.strict else agent.isNull() | ~agent.isin(known) if known else F.lit(True)))
-        for name, policy in self.by_agent.items():
-            out = out.unionByName(policy.judged(candidates.filter(agent == name)))
-        if self.strict:
-            other = candidates.filter(agent.isNotNull() & ~agent.isin(known) if known else agent.isNotNull())
-            out = out.unionByName(Policy(default=DENY).judged(other))
-        return out
+        routes = [(agent == name, policy) for name, policy in self.by_agent.items()]
+        rest = Policy(default=DENY) if self.strict else self.default
+        routes.append((agent.isNull(), self.default))
+
+        def routed(column) -> Column:
+            made = F.lit(None)
+            for k, (here, policy) in enumerate(routes):
+                made = F.when(here, column(policy)) if k == 0 else made.when(here, column(policy))
+            return made.otherwise(column(rest))
+
+        return _explained(candidates.withColumn("firings", routed(Policy.firings)).withColumn("decision", routed(Policy.decision)))
 
 
 def build_policy(config: Mapping) -> Policy:

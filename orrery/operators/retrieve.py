@@ -13,6 +13,8 @@ from ..functions.vectors import ranked
 
 K1, B = 1.5, 0.75
 RRF_K = 60
+#: Query terms that are broadcast to the tokens of a corpus.
+MAX_TERMS = 100_000
 HYBRID_OVERFETCH, PIPELINE_OVERFETCH, MAX_CANDIDATES = 3.0, 4.0, 100
 
 
@@ -42,16 +44,26 @@ class KeywordIndex:
     stats: DataFrame
 
     @staticmethod
-    def build(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> KeywordIndex:
+    def build(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> KeywordIndex:
+        """``only`` (term) keeps the postings of these terms alone, so that a search without a stored index shuffles
+        no other token; it is broadcast up to MAX_TERMS terms. Statistics are the whole corpus's all the same."""
         tokens = corpus.select(F.col(id_col).alias("id"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
         sized = tokens.select("id", F.size("tokens").alias("length"), "tokens")
-        postings = sized.select("id", "length", F.explode("tokens").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+        words = sized.select("id", "length", F.explode("tokens").alias("term"))
+        if only is not None:
+            few = only.limit(MAX_TERMS + 1).count() <= MAX_TERMS
+            words = words.join(F.broadcast(only) if few else only, "term", "left_semi")
+        postings = words.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
         stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
         df = postings.groupBy("term").agg(F.count("*").alias("df"))
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         terms = df.join(F.broadcast(stats), how="cross").select("term", "df", idf.alias("idf"))
         return KeywordIndex(postings, terms, stats)
 
+    @staticmethod
+    def terms_of(queries: DataFrame) -> DataFrame:
+        return queries.select(F.explode(tokenize(F.col("text"))).alias("term")).distinct()
+
     def search(self, queries: DataFrame, k: int, id_col: str = "tool_id", allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
         """query_id, id, score, rank for ``queries`` (query_id, text); scores above 0 only.
 

@@ -236,9 +236,8 @@ def semantic_min_score(spark, sf):
     return hits(spark, sf).filter("score >= 0.3D").select("query_id", "tool_id", "rank", r6("score"))
 
 
-def documents_bm25(spark: SparkSession, sf: str) -> tuple[retrieve.KeywordIndex, DataFrame]:
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieve.KeywordIndex.build(table(spark, sf, "documents")), asked
+def documents_index(spark: SparkSession, sf: str) -> retrieve.KeywordIndex:
+    return retrieve.KeywordIndex.build(table(spark, sf, "documents"))
 
 
 _DOCS = "corpus as (select doc_id as id, text from documents), question as (select item_id as query_id, text from benchmark)"
@@ -246,17 +245,18 @@ _DOCS = "corpus as (select doc_id as id, text from documents), question as (sele
 
 @query("bm25_postings", S.q(_DOCS, S.BM25, "select term, id, length, tf from post"))
 def bm25_postings(spark, sf):
-    return documents_bm25(spark, sf)[0].postings.select("term", "id", F.col("length").cast("long").alias("length"), "tf")
+    return documents_index(spark, sf).postings.select("term", "id", F.col("length").cast("long").alias("length"), "tf")
 
 
 @query("bm25_idf", S.q(_DOCS, S.BM25, "select term, df, round(idf, 6) as idf from term"))
 def bm25_idf(spark, sf):
-    return documents_bm25(spark, sf)[0].terms.select("term", "df", r6("idf"))
+    return documents_index(spark, sf).terms.select("term", "df", r6("idf"))
 
 
 @query("bm25_topk", S.q(_DOCS, S.BM25, "hits as (select query_id, id as doc_id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from bm where score > 0 qualify rank <= 10)", "select query_id, doc_id, rank, round(score, 6) as score from hits"))
 def bm25_topk(spark, sf):
-    index, asked = documents_bm25(spark, sf)
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    index = retrieve.KeywordIndex.build(table(spark, sf, "documents"), only=retrieve.KeywordIndex.terms_of(asked))
     return index.search(asked, 10, "doc_id").select("query_id", "doc_id", "rank", r6("score"))
 
 
@@ -264,7 +264,7 @@ def catalogue_runs(spark: SparkSession, sf: str, k: int) -> tuple[DataFrame, Dat
     """The semantic and the keyword run of the requests over the catalogue."""
     idx = maintain.with_text(indexed(spark, sf))
     asked = idx.filter("key % 20 = 0").select(F.col("key").alias("query_id"), F.col("description").alias("text"))
-    keyword = retrieve.KeywordIndex.build(idx, "tool_id").search(asked, k)
+    keyword = retrieve.KeywordIndex.build(idx, "tool_id", only=retrieve.KeywordIndex.terms_of(asked)).search(asked, k)
     return vectors.search(idx, requests(spark, sf), k), keyword
 
 
