@@ -14,6 +14,7 @@ from ..operators.filters import Filters
 from ..operators.hooks import Hooks
 from ..operators.select import Engine
 from ..schema import RISK_TIERS, tier
+from ..session import spread
 from ..sources import catalogue as C
 from . import sql as S
 
@@ -117,7 +118,7 @@ def text_humanize(spark, sf):
 @query("text_tokenize", f"select doc_id, len({S.TOKENS.format('text')})::int as n, md5(array_to_string({S.TOKENS.format('text')}, ' ')) as digest from documents")
 def text_tokenize(spark, sf):
     t = text.tokenize(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("digest"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 @query("index_text", S.q(S.CAT, f"select tool_id, {S.index_text()} as text from cat"))
@@ -237,7 +238,7 @@ def semantic_min_score(spark, sf):
 
 
 def documents_index(spark: SparkSession, sf: str) -> retrieve.KeywordIndex:
-    return retrieve.KeywordIndex.build(table(spark, sf, "documents"))
+    return retrieve.KeywordIndex.build(spread(table(spark, sf, "documents")))
 
 
 _DOCS = "corpus as (select doc_id as id, text from documents), question as (select item_id as query_id, text from benchmark)"
@@ -256,7 +257,7 @@ def bm25_idf(spark, sf):
 @query("bm25_topk", S.q(_DOCS, S.BM25, "hits as (select query_id, id as doc_id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from bm where score > 0 qualify rank <= 10)", "select query_id, doc_id, rank, round(score, 6) as score from hits"))
 def bm25_topk(spark, sf):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    index = retrieve.KeywordIndex.build(table(spark, sf, "documents"), only=retrieve.KeywordIndex.terms_of(asked))
+    index = retrieve.KeywordIndex.build(spread(table(spark, sf, "documents")), only=retrieve.KeywordIndex.terms_of(asked))
     return index.search(asked, 10, "doc_id").select("query_id", "doc_id", "rank", r6("score"))
 
 

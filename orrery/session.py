@@ -58,3 +58,10 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFra
             pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(frugal, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, over all cores where its files have fewer splits than that (one file of one row group is one
+    task). Large tables have enough splits and stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
