@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import map_arrow, ship
+from ..session import map_arrow, ship, spread
 
 __all__ = ["Memo", "documents", "join_groups", "map_arrow", "shared_dir", "ship", "staged", "word_count"]
 
@@ -58,8 +58,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def documents(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+    """The documents as they are stored; over all cores, unless their order within a file is wanted."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs if in_order else spread(docs)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:

@@ -245,4 +245,4 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SEQUENC
 
 
 def op3_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir, in_order=True))

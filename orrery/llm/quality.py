@@ -29,7 +29,7 @@ EXCHANGE = 0.25
 PSEUDO_WEIGHT = 0.5
 TEXT_BITS = 14
 TEXT_SIZE = 1 << TEXT_BITS
-STEPS, RATE, RIDGE = 80, 0.2, 1e-5
+STEPS, MORE_STEPS, RATE, RIDGE = 80, 25, 0.2, 1e-5
 MEMO = 300_000
 
 _CLASSES = bytes(0x58 if 65 <= c <= 90 else 0x78 if 97 <= c <= 122 or c >= 128 else 0x39 if 48 <= c <= 57 else c for c in range(256))
@@ -101,13 +101,13 @@ class Rows:
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.at], self.n) + w[-1]
 
-    def fit(self, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Weighted logistic regression (the last number is the intercept) by Adam over all rows."""
+    def fit(self, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        """Weighted logistic regression (the last number is the intercept) by Adam over all rows, from earlier weights on."""
         used = weight[self.row] > 0
         row, at, value = self.row[used], self.at[used], self.value[used]
-        w = np.zeros(self.width + 1)
+        w = np.zeros(self.width + 1) if start is None else start
         m, v, total = np.zeros_like(w), np.zeros_like(w), max(weight.sum(), 1e-9)
-        for step in range(1, STEPS + 1):
+        for step in range(1, (STEPS if start is None else MORE_STEPS) + 1):
             z = np.bincount(row, value * w[at], self.n) + w[-1]
             g = weight * (sigmoid(z) - y) / total
             grad = np.append(np.bincount(at, value * g[row], self.width), g.sum()) + RIDGE * w
@@ -178,7 +178,7 @@ def co_train(text: Rows, page: Rows, y: np.ndarray, held: np.ndarray, rounds: in
             target, weight = labels[pupil]
             for rows, value in zip(sure[teacher], (1.0, 0.0)):
                 target[rows], weight[rows] = value, PSEUDO_WEIGHT
-        weights = {v: views[v].fit(*labels[v]) for v in views}
+        weights = {v: views[v].fit(*labels[v], weights[v]) for v in views}
     fold = held if held.any() else known
     scales = {v: platt(views[v].dot(weights[v])[fold], y[fold]) for v in views}
     return Model(weights["text"], weights["page"], scales["text"], scales["page"], float(np.log(prior / (1 - prior))))
