@@ -117,20 +117,30 @@ class Rows:
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn a view's score into a calibrated log odds (Platt's smoothed targets, Newton steps)."""
+    """Slope and offset that turn a view's score into a calibrated log odds (Platt's smoothed targets; Newton steps, halved
+    until the loss falls, so that separable scores don't diverge)."""
     pos, neg = y.sum(), len(y) - y.sum()
     aim = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = sigmoid(a * z + b)
-        g = np.array([((p - aim) * z).sum() + 1e-3 * (a - 1), (p - aim).sum()])
-        s = p * (1 - p) + 1e-9
-        h = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
+    scale = max(float(np.std(z)), 1e-6)
+    x = np.stack([z / scale, np.ones_like(z)])
+
+    def loss(w: np.ndarray) -> float:
+        t = w @ x
+        return float((np.logaddexp(0, t) - aim * t).sum() + 0.005 * ((w - [1, 0]) ** 2).sum())
+
+    w = np.array([1.0, 0.0])
+    now = loss(w)
+    for _ in range(100):
+        p = sigmoid(w @ x)
+        g = x @ (p - aim) + 0.01 * (w - [1, 0])
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 0.01 * np.eye(2), g)
+        size = 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-8:
+            size /= 2
+        w, before, now = w - size * step, now, then
+        if before - now < 1e-9:
             break
-    return float(a), float(b)
+    return float(w[0] / scale), float(w[1])
 
 
 @dataclass
