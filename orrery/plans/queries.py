@@ -864,6 +864,16 @@ def hash_embed(spark, sf):
     return out.select("tool_id", F.size("vector").alias("dim"), r6(vectors.norm(F.col("vector")), "length"))
 
 
+@query("hash_embed_native", S.q(S.CAT, f"t as (select tool_id as id, {S.TOKENS.format('(' + S.index_text() + ')')} as t from cat)", "l as (select *, array_to_string(t, ' ') as line from t)",
+                                "f as (select id, unnest(list_concat(list_concat(t, list_transform(range(1, len(t)), lambda k: t[k] || '_' || t[k + 1])), list_transform(range(1, length(line) - 2), lambda k: '#' || substr(line, k, 4)))) as f from l)",
+                                "c as (select id, ('0x' || substr(md5(f), 1, 15))::bigint as code, count(*) as n from f group by id, f)",
+                                "w as (select id, (code % 512)::int as bucket, sum(case when (code >> 59) % 2 = 1 then 1 else -1 end * (1 + ln(n))) as w from c group by 1, 2)",
+                                "u as (select id, bucket, w / sqrt(sum(w * w) over (partition by id)) as weight from w)", "select id, bucket, round(weight, 6) as weight from u where abs(weight) > 1e-12::double"))
+def hash_embed_native(spark, sf):
+    out = embed.hashing_native(maintain.with_text(parts(spark, sf)).select("tool_id", "text"), "tool_id", "text")
+    return out.select("id", "bucket", r6("weight"))
+
+
 @query("semantic_retrieve")
 def semantic_retrieve(spark, sf):
     index = embed.hashing_blake2b(maintain.with_text(parts(spark, sf)).select("tool_id", "text"), "text")
