@@ -66,6 +66,11 @@ def _begin_batch() -> None:
     _hashes.use()
 
 
+def _end_task() -> None:
+    """Idle workers hold no words."""
+    _hashes.clear()
+
+
 def shingles(text: bytes | None, words: int) -> np.ndarray:
     """The sorted set of 64-bit hashes of ``words``-word shingles; A-Z are lower-cased.
 
@@ -114,6 +119,7 @@ def _sign(words: int):
                 sigs.append(None if sig is None else sig.astype("<u2").tobytes())  # 16 bits tell a match from chance
             arrays = [pa.array(size, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n_shingles", "set_hash", "bands", "sig"])
+        _end_task()
 
     return run
 
@@ -206,6 +212,7 @@ class Verifier:
                 texts = b.column(1).take(at).cast(pa.binary())
                 sets = pa.array([shingles(t.as_py(), count).tobytes() for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), sets], ["doc_id", "set"])
+            _end_task()
 
         slot = F.expr(f"shiftrightunsigned(xxhash64(doc_id), {64 - bits})").alias("slot")
         return map_arrow(self.docs.select("doc_id", "text", slot), run, "doc_id long, set binary")

@@ -30,8 +30,8 @@ SENTENCE_PENALTY, HARD_PENALTY = 2, 16
 GRID = 32
 #: Tokens that one dynamic program covers; the rest of its last windows goes on into the next one.
 BLOCK = 1 << 20
-#: Words a worker remembers before it starts afresh; bounds its memory to about 150 MB.
-MEMO = 800_000
+#: Words a worker remembers before it starts afresh; bounds its memory to about 80 MB.
+MEMO = 500_000
 
 #: Letters of ASCII and Latin-1, then ASCII marks, of which the tokenizer makes one run (not ' < > |, which it treats apart).
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,60})([!-&(-/:;=?-@\[-`{}~]{0,8})")
@@ -57,16 +57,27 @@ class WordIds(Memo):
         self.ends_sentence[[i for s, i in vocabulary.items() if re.fullmatch(r"[.!?…]+[\"')\]»”]*(</w>)?", s)]] = True
         self.ends_word[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
 
+        self.stop, self.comma = self.encode(".").tobytes(), self.encode(",").tobytes()
+
     def encode(self, chunk: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2")
 
     def ids(self, text: bytes) -> np.ndarray:
-        chunks = text.split()
-        parts = list(map(self.get, chunks))
-        missing = [k for k, p in enumerate(parts) if p is None]
-        if missing:
-            learnt = self._learn({chunks[k] for k in missing})
-            for k in missing:
+        if b"<|" not in text:  # special tokens are matched before the tokenizer lower-cases
+            text = text.lower()
+        chunks, get, later = text.split(), self.get, []
+        parts = list(map(get, chunks))
+        for k in [k for k, p in enumerate(parts) if p is None]:
+            c = chunks[k]
+            if (c[-1] == 46 or c[-1] == 44) and len(c) > 1 and 97 <= c[-2] <= 122:  # a known word and . or ,
+                known = get(c[:-1])
+                if known is not None:
+                    parts[k] = known + (self.stop if c[-1] == 46 else self.comma)
+                    continue
+            later.append(k)
+        if later:
+            learnt = self._learn({chunks[k] for k in later})
+            for k in later:
                 parts[k] = learnt[chunks[k]]
         return np.frombuffer(b"".join(parts), "<u2")
 
@@ -74,13 +85,18 @@ class WordIds(Memo):
         out: dict[bytes, bytes] = {}
         plain: dict[bytes, tuple[bytes, bytes]] = {}
         for c in chunks:
-            m = _PLAIN.fullmatch(c)
-            if m is None:
+            if len(c) > 64:  # not worth remembering
+                out[c] = self.encode(c.decode()).tobytes()
+            elif c.isalpha():  # ASCII letters only
+                plain[c] = (c.lower(), b"")
+            elif c[-1] in b".," and c[:-1].isalpha():
+                plain[c] = (c[:-1].lower(), c[-1:])
+            elif m := _PLAIN.fullmatch(c):
+                plain[c] = (m[1].decode().lower().encode(), m[2])
+            else:
                 out[c] = self.encode(c.decode()).tobytes()
                 if len(c) <= 32:
                     self[c] = out[c]
-            else:
-                plain[c] = (m[1].decode().lower().encode(), m[2])
         new = list({core for core, _ in plain.values() if core not in self})
         if new:
             ids = self.encode(b" ".join(new).decode())
@@ -91,13 +107,10 @@ class WordIds(Memo):
             for core, end in zip(new, ends):
                 self[core] = flat[2 * begin : 2 * end]
                 begin = end
-        fresh = set(new)
         for c, (core, tail) in plain.items():
             if tail and tail not in self:
                 self[tail] = self.encode(tail.decode()).tobytes()
             out[c] = self[core] + (self[tail] if tail else b"")
-            if core not in fresh:  # seen before, so this form may well come again
-                self[c] = out[c]
         return out
 
 

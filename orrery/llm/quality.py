@@ -59,6 +59,11 @@ class WordFeatures(Memo):
 _features = WordFeatures(MEMO)
 
 
+def _end_task() -> None:
+    """Idle workers hold no words; a function of the module, so that workers reach their own memo."""
+    _features.clear()
+
+
 def text_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and values (log counts, unit length) of the text view."""
     pairs = np.frombuffer(b"".join(map(_features.__getitem__, words)), "<u2")
@@ -208,6 +213,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((doc_id, y, at.astype(np.int32), value.astype(np.float32), page_features(raw, words, source, lang).astype(np.int32)))
         kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], ["doc_id", "y", "at", "value", "page"])
+    _end_task()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model | None:
@@ -263,6 +269,7 @@ def score(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame
         for b in batches:
             p = np.round(np.array(_scores(model, b), np.float64).reshape(-1, 3), 6)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= least)], ["doc_id", "p_text", "p_page", "score", "kept"])
+        _end_task()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
     return map_arrow(rows, run, "doc_id long, p_text double, p_page double, score double, kept boolean")
@@ -274,6 +281,7 @@ def keep_good(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([round(p, 6) >= least for _, _, p in _scores(model, b)], pa.bool_()))
+        _end_task()
 
     return map_arrow(docs, run, docs.schema)
 
