@@ -51,7 +51,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def _trim() -> None:
-    """Return freed memory to the system at the end of a task, where the C library can."""
+    """Return freed memory to the system after a batch and at the end of a task, where the C library can."""
     with suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -64,6 +64,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFra
         for out in run(batches):
             yield out
             pa.default_memory_pool().release_unused()
+            _trim()
         _trim()
 
     return df.mapInArrow(frugal, schema)
