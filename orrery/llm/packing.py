@@ -29,9 +29,9 @@ SENTENCE_PENALTY, HARD_PENALTY = 2, 16
 #: Hard cuts are considered every GRID tokens in sentences longer than twice that.
 GRID = 32
 #: Tokens that one dynamic program covers; the rest of its last windows goes on into the next one.
-BLOCK = 1 << 20
-#: Words a worker remembers before it starts afresh; bounds its memory to about 80 MB.
-MEMO = 500_000
+BLOCK = 1 << 19
+#: Words a worker remembers before it starts afresh; bounds its memory to about 50 MB.
+MEMO = 300_000
 
 #: Letters of ASCII and Latin-1, then ASCII marks, of which the tokenizer makes one run (not ' < > |, which it treats apart).
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,60})([!-&(-/:;=?-@\[-`{}~]{0,8})")

@@ -30,7 +30,7 @@ PSEUDO_WEIGHT = 0.5
 TEXT_BITS = 14
 TEXT_SIZE = 1 << TEXT_BITS
 STEPS, MORE_STEPS, RATE, RIDGE = 80, 25, 0.2, 1e-5
-MEMO = 300_000
+MEMO = 150_000
 
 _CLASSES = bytes(0x58 if 65 <= c <= 90 else 0x78 if 97 <= c <= 122 or c >= 128 else 0x39 if 48 <= c <= 57 else c for c in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)

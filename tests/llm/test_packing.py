@@ -103,7 +103,7 @@ def test_blocks_carry_over(tokenizer):
     rows = [(k, " ".join(rng.choice(["the", "cat", "sat.", "on", "mats"]) for _ in range(rng.randrange(900)))) for k in range(60)]
     words = K.word_ids(None)
     whole = []
-    for block in (12_000, 20_000, 1 << 20):
+    for block in (12_000, 20_000, 1 << 19):
         packer, pieces = K.Packer(0, words.ends_sentence, block=block), []
         for i, t in rows:
             pieces += packer.add(i, np.concatenate([words.ids(t.encode()), np.array([1], "<u2")]))
