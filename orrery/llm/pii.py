@@ -1,9 +1,10 @@
 """Personal data: fixed patterns plus information-theoretic sanitisation.
 
-Mail addresses, IP addresses, card and phone numbers are protected entities. A term beside an entity reveals it
-as far as their co-occurrence in the corpus says: disclosure = PMI(entity, term) / IC(entity), which is 1 for a
-term that occurs with the entity only and near 0 for an ordinary word. Terms above one threshold are
-generalised, those above a second one removed. Only text around an entity is touched.
+Mail addresses, IP addresses, card and phone numbers are protected entities. A term in a document with an entity
+reveals it as far as their co-occurrence in the corpus says: disclosure = PMI(entity, term) / IC(entity), which is
+1 for a term that occurs with the entity only and near 0 for an ordinary word. Meetings and frequencies count whole
+documents. Terms above one threshold are generalised, those above a second one removed, wherever they stand in a
+document with the entity.
 """
 
 from __future__ import annotations
@@ -12,13 +13,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, join_groups, map_arrow, ship, staged
+from .common import HOT_PARTS, Memo, documents, join_groups, map_arrow, ship, staged
 
 Span = tuple[int, int, str]
 
@@ -32,16 +32,14 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-TERM = re.compile(r"[^\W\d_]{4,40}")
+#: A term: a maximal run of three letters or more.
+TERM = re.compile(r"[^\W\d_]{3,}")
 
-#: Terms up to this many words and characters away from an entity are judged.
-NEAR_WORDS, NEAR_CHARS = 6, 96
 #: A term and an entity must meet in so many documents; one meeting alone says nothing about the corpus.
 MIN_JOINT = 2
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.6, 0.9
-#: Terms are marked in a table of 2**TABLE_BITS bits (1 MB) that bounds what a worker counts.
-TABLE_BITS = 23
+#: An entity in more than total / HOT_PARTS documents is hot.
 #: Words a worker remembers.
 TERM_MEMO = 400_000
 
@@ -90,38 +88,50 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode()) - (1 << 63)
 
 
-def near_terms(text: str, spans: list[Span]) -> list[tuple[int, int, int, int]]:
-    """(entity hash, term hash, start, end) of the words beside each entity that overlap no entity."""
-    out, held = [], sorted((a, b) for a, b, _ in spans)
-    for a, b, kind in spans:
-        entity = _hash(kind + ":" + text[a:b].lower())
-        low = max(0, a - NEAR_CHARS)
-        left = [m.span() for m in TERM.finditer(text, low, a)][-NEAR_WORDS:]
-        right = [m.span() for m in TERM.finditer(text, b, b + NEAR_CHARS)][:NEAR_WORDS]
-        for s, e in left + right:
-            if (s > low or low == 0) and e < b + NEAR_CHARS and not any(x < e and s < y for x, y in held):
-                out.append((entity, _hash(text[s:e].lower()), s, e))
+def placed_terms(text: str, spans: list[Span]) -> dict[int, list[int]]:
+    """By term hash, start and end of every place of the term in the whole text that overlaps no entity, one after the other."""
+    out: dict[int, list[int]] = {}
+    held, k = sorted((a, b) for a, b, _ in spans), 0
+    known: dict[str, int] = {}
+    busy = 0
+    for m in TERM.finditer(text):
+        s, e = m.span()
+        while k < len(held) and held[k][0] < e:
+            busy = max(busy, held[k][1])
+            k += 1
+        if s < busy:
+            continue
+        word = m[0]
+        t = known.get(word)
+        if t is None:
+            t = known[word] = _hash(word.lower())
+        out.setdefault(t, []).extend((s, e))
     return out
 
 
+def entities_of(text: str, spans: list[Span]) -> list[int]:
+    return sorted({_hash(kind + ":" + text[a:b].lower()) for a, b, kind in spans})
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-_NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))
-SCAN = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<e:long,t:long,a:long,b:long>>"
+SCAN = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, e array<long>"
+#: A row a document and term: the entities it may disclose there, and its places.
+NEAR = "doc_id long, t long, e array<long>, at array<int>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows, near = [], []
+        rows, held = [], []
         for value in b.column(1):
             text = value.as_py() or ""
             spans = base_spans(text)
             rows.append((*(sum(s[2] == k for s in spans) for k in KINDS), joined(spans)))
-            near.append([dict(zip("etab", x)) for x in near_terms(text, spans)])
-        arrays = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)] + [pa.array([r[4] for r in rows], pa.string()), pa.array(near, _NEAR)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
+            held.append(entities_of(text, spans))
+        arrays = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)] + [pa.array([r[4] for r in rows], pa.string()), pa.array(held, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "e"])
 
 
 _known = Memo(TERM_MEMO)
@@ -132,18 +142,11 @@ def _known_terms() -> Memo:
     return _known
 
 
-def _document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """t, df over all whole texts for every term in ``terms``; workers pass on only terms marked in a bit table."""
-    slots = terms.select(F.expr(f"shiftrightunsigned(t, {64 - TABLE_BITS})").alias("slot")).distinct()
-    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    for r in words.collect():  # at most 2**17 rows
-        table[r.word] = r.bits
-    bits = np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+def _document_frequency(docs: DataFrame) -> DataFrame:
+    """t, df over all whole texts for every term; counted a batch before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known_terms()
-        known.clear()  # it depends on the bit table
         for b in batches:
             known.use()
             seen: dict[int, int] = {}
@@ -151,31 +154,83 @@ def _document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 text = value.as_py()
                 if not text:
                     continue
-                for word in set(TERM.findall(text.lower())):
+                found = set()
+                for word in set(TERM.findall(text)):
                     t = known.get(word)
                     if t is None:
-                        t = _hash(word)
-                        if not bits[(t % (1 << 64)) >> (64 - TABLE_BITS)]:
-                            t = 0
-                        known[word] = t
-                    if t:
-                        seen[t] = seen.get(t, 0) + 1
+                        t = _hash(word.lower())
+                        if len(known) < known.most:
+                            known[word] = t
+                    found.add(t)
+                for t in found:
+                    seen[t] = seen.get(t, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["t", "n"])
 
-    counts = map_arrow(docs.select("text"), count, "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
-    return counts.join(terms.select("t").distinct(), "t")
+    return map_arrow(docs.select("text"), count, "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
 
 
-def disclosures(docs: DataFrame, scan: DataFrame) -> DataFrame:
-    """e, t, joint, disclosure for every entity and term that meet in MIN_JOINT documents."""
+def _meetings(docs: DataFrame, entities: DataFrame, terms: DataFrame, total: int, least: float) -> DataFrame:
+    """NEAR rows of all entities and terms in one document, but for pairs whose frequencies keep them below ``least``.
+
+    A pair can't meet more often than its entity, so it reaches ``least`` only with df <= df_e**least * total**(1 - least).
+    For an entity that isn't hot this leaves out common terms; those and the hot entities are a number of mean
+    document lengths, whatever the corpus, and are sent to the workers.
+    """
+    limit = max(total // HOT_PARTS, 1)
+
+    def bound(df_e: int) -> float:
+        return df_e**least * total ** (1 - least) * (1 + 1e-9)
+
+    usual = bound(limit)
+    hot = {r.e: bound(r.df_e) for r in entities.filter(F.col("df_e") > limit).collect()}
+    common = {r.t: r.df for r in terms.filter(F.col("df") > usual).collect()}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, ts, es, ats = [], [], [], []
+            for i, value in zip(b.column(0), b.column(1)):
+                text = value.as_py() or ""
+                spans = base_spans(text)
+                if not spans:
+                    continue
+                doc, held = i.as_py(), entities_of(text, spans)
+                for t, at in placed_terms(text, spans).items():
+                    df = common.get(t)
+                    told = held if df is None else [e for e in held if df <= hot.get(e, usual)]
+                    if told:
+                        ids.append(doc)
+                        ts.append(t)
+                        es.append(told)
+                        ats.append(at)
+            arrays = [pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array(es, pa.list_(pa.int64())), pa.array(ats, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "t", "e", "at"])
+
+    return staged(map_arrow(docs.select("doc_id", "text"), meet, NEAR), "pii-near")
+
+
+def _attached(rows: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the ``stats`` of their key, also where many rows share one."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("__size"))
+    return join_groups(rows, stats.join(sizes, key), [key], "__size", max(rows.count(), 1)).drop("__size")
+
+
+def _disclosing(docs: DataFrame, scan: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs e, t, joint, disclosure from ``least`` on, and the NEAR rows they come from."""
     total = max(scan.count(), 1)
-    met = scan.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p")).select("p.*")
-    joint = staged(met.groupBy("e", "t").agg(F.count("*").alias("joint")).filter(F.col("joint") >= MIN_JOINT), "pii-joint")
-    entities = scan.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["e"]))).alias("e")).groupBy("e").agg(F.count("*").alias("df_e"))
-    terms = staged(_document_frequency(docs, joint.select("t").distinct()), "pii-terms")
+    entities = staged(scan.select(F.explode("e").alias("e")).groupBy("e").agg(F.count("*").alias("df_e")), "pii-entities")
+    terms = staged(_document_frequency(docs), "pii-terms")
+    near = _meetings(docs, entities, terms, total, least)
+    joint = staged(near.select("t", F.explode("e").alias("e")).groupBy("e", "t").agg(F.count("*").alias("joint")).filter(F.col("joint") >= MIN_JOINT), "pii-joint")
     pmi = F.log2(F.col("joint") * total / (F.col("df_e") * F.col("df")))
     ic = F.log2(total / F.col("df_e"))
-    return joint.join(entities, "e").join(terms, "t").select("e", "t", "joint", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure"))
+    pairs = _attached(_attached(joint, entities, "e"), terms, "t")
+    pairs = pairs.select("e", "t", "joint", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure"))
+    return pairs.filter(F.col("disclosure") >= least), near
+
+
+def disclosures(docs: DataFrame, scan: DataFrame) -> DataFrame:
+    """e, t, joint, disclosure for every entity and term that meet in MIN_JOINT documents and not less than by chance."""
+    return _disclosing(docs, scan, 0.0)[0]
 
 
 def find_pii(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -187,15 +242,18 @@ def find_pii(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = staged(map_arrow(docs, _scan, SCAN), "pii-scan")
-    risky = staged(disclosures(docs, scan).filter(F.col("disclosure") >= generalise), "pii-risky")
-    near = scan.filter("size(near) > 0").select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.*")
+    risky, near = _disclosing(docs, scan, generalise)
+    risky = staged(risky, "pii-risky")
+    near = near.select("doc_id", "t", F.explode("e").alias("e"), "at")
     hits = join_groups(near, risky, ["e", "t"], "joint", max(near.count(), 1))
-    worst = hits.groupBy("doc_id", "a", "b").agg(F.max("disclosure").alias("d"))
+    worst = hits.groupBy("doc_id", "t", "at").agg(F.max("disclosure").alias("d"))
+    places = F.transform(F.sequence(F.lit(0), F.shiftright(F.size("at"), 1) - 1), lambda k: F.struct(F.get("at", 2 * k).alias("a"), F.get("at", 2 * k + 1).alias("b")))
+    worst = worst.select("doc_id", "d", F.explode(places).alias("x")).select("doc_id", "d", "x.*")
     kind = F.when(F.col("d") >= remove, F.lit(1)).otherwise(F.lit(0))
     terms = worst.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(kind.alias("k"), "a", "b"))).alias("terms"))
     text = F.transform("terms", lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, TERM_KINDS)), x["k"] + 1), x["a"], x["b"]))
     return (
-        scan.drop("near")
+        scan.drop("e")
         .join(terms, "doc_id", "left")
         .select(
             "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"),

@@ -96,3 +96,35 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in P.op10_pii(spark, sf).collect():
         assert r.base_sha256 == hashlib.sha256(brute(texts[r.doc_id]).encode()).hexdigest()
+
+
+def marked(docs, texts):
+    out = {}
+    for r in P.find_pii(docs).collect():
+        terms = [x.split(":") for x in r.spans.split(",") if x.split(":")[0] in P.TERM_KINDS]
+        out[r.doc_id] = [texts[r.doc_id][int(a) : int(b)] for _, a, b in terms]
+    return out
+
+
+def test_terms_far_from_the_entity_and_short_names_are_marked(make):
+    filler = "ordinary words about weather and trains "
+    rows = [(k, f"{filler}number {k}") for k in range(200)]
+    rows += [(1000 + k, f"Kim went {filler * 20}\n\n{filler * (20 * (k % 2))} jo@site.org {filler * 30} Zanzibarian and Kim {filler * k}") for k in range(4)]
+    got = marked(make(rows), dict(rows))
+    for k in range(4):
+        assert sorted(got[1000 + k]) == ["Kim", "Kim", "Zanzibarian", "went"]
+    assert not any(got[k] for k in range(200))
+
+
+def test_pruning_by_frequency_loses_no_pair(make):
+    rng = random.Random(5)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)]
+    rows = []
+    for k in range(400):
+        mails = [f"m{j}@site.org" for j in {int(rng.paretovariate(0.5)) for _ in range(2)} if j < 40] if rng.random() < 0.6 else []
+        own = [w for m in mails for w in words[len(m) * 3 + int(m[1:].split("@")[0]) :][:2] if rng.random() < 0.9]
+        rows.append((k, " ".join(rng.sample(words, 5) + own + mails)))
+    docs = make(rows).select("doc_id", "text")
+    scan = P.staged(P.map_arrow(docs, P._scan, P.SCAN), "t")
+    pairs = lambda least: {(r.e, r.t, r.joint) for r in P._disclosing(docs, scan, least)[0].collect() if r.disclosure >= 0.6}
+    assert pairs(0.6) == pairs(0.0) != set()
