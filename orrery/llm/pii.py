@@ -35,8 +35,9 @@ _DIGIT = re.compile(r"[0-9]")
 #: A term: a maximal run of three letters or more.
 TERM = re.compile(r"[^\W\d_]{3,}")
 
-#: A term and an entity must meet in so many documents; one meeting alone says nothing about the corpus.
-MIN_JOINT = 2
+#: Added to both frequencies of a pair that meets in one document only: one meeting tells the less, the smaller the corpus.
+#: No pair is left out for it; with the usual thresholds a word of one document is generalised from 243 documents on.
+SINGLE = 2
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.6, 0.9
 #: An entity in more than total / HOT_PARTS documents is hot.
@@ -220,8 +221,9 @@ def _disclosing(docs: DataFrame, scan: DataFrame, least: float) -> tuple[DataFra
     entities = staged(scan.select(F.explode("e").alias("e")).groupBy("e").agg(F.count("*").alias("df_e")), "pii-entities")
     terms = staged(_document_frequency(docs), "pii-terms")
     near = _meetings(docs, entities, terms, total, least)
-    joint = staged(near.select("t", F.explode("e").alias("e")).groupBy("e", "t").agg(F.count("*").alias("joint")).filter(F.col("joint") >= MIN_JOINT), "pii-joint")
-    pmi = F.log2(F.col("joint") * total / (F.col("df_e") * F.col("df")))
+    joint = staged(near.select("t", F.explode("e").alias("e")).groupBy("e", "t").agg(F.count("*").alias("joint")), "pii-joint")
+    more = F.when(F.col("joint") == 1, SINGLE).otherwise(0)
+    pmi = F.log2(F.col("joint") * total / ((F.col("df_e") + more) * (F.col("df") + more)))
     ic = F.log2(total / F.col("df_e"))
     pairs = _attached(_attached(joint, entities, "e"), terms, "t")
     pairs = pairs.select("e", "t", "joint", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure"))
@@ -229,8 +231,8 @@ def _disclosing(docs: DataFrame, scan: DataFrame, least: float) -> tuple[DataFra
 
 
 def disclosures(docs: DataFrame, scan: DataFrame) -> DataFrame:
-    """e, t, joint, disclosure for every entity and term that meet in MIN_JOINT documents and not less than by chance."""
-    return _disclosing(docs, scan, 0.0)[0]
+    """e, t, joint, disclosure for every entity and term that meet not less than by chance, the best founded last."""
+    return _disclosing(docs, scan, 0.0)[0].orderBy("joint", "e", "t")
 
 
 def find_pii(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:

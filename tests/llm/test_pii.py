@@ -128,3 +128,10 @@ def test_pruning_by_frequency_loses_no_pair(make):
     scan = P.staged(P.map_arrow(docs, P._scan, P.SCAN), "t")
     pairs = lambda least: {(r.e, r.t, r.joint) for r in P._disclosing(docs, scan, least)[0].collect() if r.disclosure >= 0.6}
     assert pairs(0.6) == pairs(0.0) != set()
+
+
+def test_an_entity_of_one_document_has_its_telling_terms_marked(make):
+    rows = [(k, f"ordinary words about weather and trains number {k}") for k in range(1000)]
+    rows += [(2000, "ordinary weather, Quillfeather writes from eve@else.org about trains")]
+    got = marked(make(rows), dict(rows))
+    assert sorted(got.pop(2000)) == ["Quillfeather", "from", "writes"] and not any(got.values())
