@@ -2,13 +2,17 @@
 
 A candidate string in a sensitive context is compressed with a dictionary made of the corpus's identifiers and
 the text around it. What a name, a path or repeated code costs is far below its length; what still costs nearly
-a byte a character is new information, as keys and passwords are, and is reported.
+a byte a character is new information, as keys and passwords are, and is reported. zstandard stores a short string's
+letters as they are, so an unseen word costs as much as a password there; strings that aren't long runs of letters
+and digits must also be surprising letter by letter, given the letter pairs of the identifiers.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,8 +39,27 @@ _SENSITIVE_PARTS = ("passw", "passphrase", "secret", "token", "key", "auth", "cr
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_-]{3,31}")
 
-#: A candidate starts at most REACH characters behind a sensitive word.
+#: What stands between spaces and quotes, without punctuation at its ends.
+TOKEN = re.compile(r"""[^\s"'`]+""")
+_EDGE = ".,;:()[]{}<>"
+LEAST = 8
+#: The rest of a name with a sensitive word, up to its value in the same token.
+_ASSIGNED = re.compile(r"[A-Za-z0-9_-]*[:=]+")
+KEY_LINE = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_=-]+)[\x20\t]*(?=\r?\n|\Z)")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+
+#: A candidate starts at most REACH characters behind a sensitive word, or ends so far before one.
 REACH = 48
+#: Bits a character, given the one before, from which a candidate of any shape is surprising; at most log2(95) count.
+SURPRISE = 5.5
+#: Common words that the letter pairs start from, so that a small corpus has some too.
+PRIMER = (
+    "the and that with this from have which their would there about could other after first should because between through "
+    "password secret token authorization credentials private bearer client user account name value string return request "
+    "response header session service config default function message number system public version license information "
+    "author written document example settings access control manager handler create update delete application database "
+    "nicht werden einen durch gegen zwischen schreiben dans pour avec cette comme entre porque como para sobre desde entre"
+)
 #: Text on both sides that primes the dictionary, and that identifiers are gathered from.
 AROUND = 256
 #: Marginal compressed bytes a byte of the candidate from which it counts as new information.
@@ -77,6 +100,100 @@ def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
+def merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """What the spans cover, in order and without overlaps."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def tokens(text: str, taken: list[Span]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Tokens of LEAST characters or more of any shape on both sides of the sensitive words, and the lines of keys.
+
+    What ``taken`` covers is left out, and so are the names that hold a sensitive word; their values are not.
+    """
+    words, found, lines, seen = contexts(text), [], [], 0
+    for a, e in words:
+        low = max(0, a - REACH)
+        while low > seen and TOKEN.match(text, low - 1, low):
+            low -= 1  # the start of a token that ends in reach
+        for m in TOKEN.finditer(text, max(low, seen)):
+            if m.start() > e + REACH:
+                break
+            seen = m.end()
+            found.append(m.span())
+    spans, k, j = [], 0, 0
+    covered = merged(taken)
+    for s, e in found:
+        while k < len(words) and words[k][1] <= s:
+            k += 1
+        if "-----" in text[s:e]:
+            continue
+        if k < len(words) and words[k][0] < e:
+            value = _ASSIGNED.match(text, words[k][1], e)
+            if value is None:
+                continue
+            s = value.end()
+        while j < len(covered) and covered[j][0] < e:
+            s = max(s, min(covered[j][1], e))
+            if covered[j][1] > e:
+                break
+            j += 1
+        while s < e and text[s] in _EDGE:
+            s += 1
+        while s < e and text[e - 1] in _EDGE:
+            e -= 1
+        if e - s >= LEAST:
+            spans.append((s, e))
+    at = 0
+    for m in PEM.finditer(text):
+        end = text.find("-----END", m.end())
+        at = max(at, m.end())
+        while (line := KEY_LINE.search(text, at, end if end >= 0 else min(len(text), at + AROUND))) is not None:
+            lines.append(line.span(1))
+            at = line.end()
+    for s, e in spans:
+        at = max(at, e) if e - s >= 2 * LEAST else at
+        while at == e and (line := KEY_LINE.match(text, at)) is not None:
+            if line.start(1) < e or not any(c.isdigit() for c in line[1]) and len(line[1]) < 2 * LEAST:
+                break
+            lines.append(line.span(1))
+            at = e = line.end()
+    return spans, sorted(set(lines))
+
+
+def letter_pairs(identifiers: bytes) -> list[list[float]]:
+    """Bits of each ASCII character after each other one, from PRIMER and the identifiers; lower-case for both cases."""
+    counts = [[0.0] * 128 for _ in range(128)]
+    single = [0.5] * 128
+    text = f" {PRIMER} {identifiers.decode(errors='ignore')} ".lower()
+    for x, y in zip(text, text[1:]):
+        if x < "\x80" and y < "\x80":
+            counts[ord(x)][ord(y)] += 1
+            single[ord(y)] += 1
+    total, most = sum(single), math.log2(95)
+    return [[min(most, -math.log2((c + 4 * single[y] / total) / (sum(row) + 4))) for y, c in enumerate(row)] for row in counts]
+
+
+def surprise(token: str, pairs: list[list[float]]) -> float:
+    """Bits a character; a change to upper case inside a word counts as unknown, other letters as ordinary ones."""
+    bits, before = 0.0, " "
+    for c in token:
+        low = c.lower()[:1]
+        if c >= "\x80" or before >= "\x80":
+            bits += 4
+        elif c.isupper() and before.islower():
+            bits += math.log2(95)
+        else:
+            bits += pairs[ord(before.lower())][ord(low)]
+        before = c
+    return bits / len(token)
+
+
 def novelty(text: str, start: int, end: int, identifiers: bytes) -> float:
     """Compressed bytes that the candidate adds, a byte of it, given the identifiers and the text around it."""
     around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]).encode()
@@ -86,10 +203,22 @@ def novelty(text: str, start: int, end: int, identifiers: bytes) -> float:
     return (len(squeeze.compress(secret)) - len(squeeze.compress(b""))) / len(secret)
 
 
-def all_spans(text: str, identifiers: bytes, threshold: float = NOVELTY) -> tuple[list[Span], list[Span]]:
-    """Base spans, and these with the novel ones, each in report order."""
+def all_spans(text: str, identifiers: bytes, threshold: float = NOVELTY, pairs: list[list[float]] | None = None) -> tuple[list[Span], list[Span]]:
+    """Base spans, and these with the novel ones, each in report order; ``pairs`` are those of ``identifiers``."""
     base = base_spans(text)
-    novel = [(a, b, NOVEL) for a, b in candidates(text, base) if novelty(text, a, b, identifiers) >= threshold]
+    if not contexts(text):
+        return base, base
+    pairs = pairs or letter_pairs(identifiers)
+    shaped, lines = tokens(text, base)
+    novel: list[Span] = []
+    held = merged(base)
+    for least, (a, b) in [(SURPRISE, x) for x in shaped] + [(0.0, x) for x in lines + candidates(text, base)]:
+        k = bisect_left(held, (b,))
+        if k and held[k - 1][1] > a:
+            continue
+        if surprise(text[a:b], pairs) >= least and novelty(text, a, b, identifiers) >= threshold:
+            novel.append((a, b, NOVEL))
+            insort(held, (a, b))
     order = {k: i for i, k in enumerate((*KINDS, NOVEL))}
     return base, sorted(base + novel, key=lambda s: (s[0], order[s[2]]))
 
@@ -131,12 +260,13 @@ def scan_secrets(docs: DataFrame, threshold: float = NOVELTY) -> DataFrame:
     Repeated rows are scanned each; an empty table gives no rows. Extra columns are ignored.
     """
     identifiers = identifier_dictionary(docs)
+    pairs = letter_pairs(identifiers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text in b.column(1):
-                base, spans = all_spans(text.as_py() or "", identifiers, threshold)
+                base, spans = all_spans(text.as_py() or "", identifiers, threshold, pairs)
                 n = Counter(kind for _, _, kind in spans)
                 rows.append((*(n[k] for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), n[NOVEL]))
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]

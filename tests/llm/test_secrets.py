@@ -70,3 +70,21 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in S.op8_secret_scan(spark, sf).collect():
         assert r.base_sha256 == hashlib.sha256(brute(texts[r.doc_id]).encode()).hexdigest()
+
+
+def novel(text, identifiers=b""):
+    return [text[a:b] for a, b, k in S.all_spans(text, identifiers)[1] if k == "novel"]
+
+
+def test_secrets_of_any_shape_on_both_sides():
+    rng = random.Random(4)
+    draw = lambda n, of=string.ascii_letters + string.digits: "".join(rng.choices(of, k=n))
+    lines = [draw(64) for _ in range(12)] + [draw(20) + "=="]
+    assert novel("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----\n") == lines
+    jwt = f"{draw(36)}.{draw(120)}.{draw(43)}"
+    assert novel(f"Authorization: Bearer {jwt}\nHost: example") == [jwt]
+    assert novel("passphrase: Xq7$kL9!pZ2\n") == ["Xq7$kL9!pZ2"]
+    assert novel("the credential is xqkvzjwpgtbf today") == ["xqkvzjwpgtbf"]
+    assert novel("use Xq7$kL9!pZ2 as passphrase") == ["Xq7$kL9!pZ2"]
+    assert novel(f"{jwt} is the bearer") == [jwt]
+    assert novel("author: Wordsworth, forgotten credentials, authentication required everywhere") == []
