@@ -13,7 +13,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, join_groups, staged
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -82,27 +82,56 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(many == 0, 1.0).when((few == 0) | (few / many < least), 0.0).otherwise(exact).cast("double")
 
 
+#: Sets in a block; two blocks of one bucket are compared in one row.
+BLOCK = 128
+
+
 def spot_links(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """a, b, likeness: links between texts whose fingerprints are alike to ``least`` or more.
+    """a, b, likeness: all pairs of texts whose fingerprints are alike to ``least`` or more, a below b.
 
     Equal sets form one class under its smallest id. A set of n signatures looks only at its n - ceil(least * n)
     + 1 rarest: alike sets share one of those. Postings are split by length partition, sets meet only in their own
-    and the next one, and each is compared with the smallest id there rather than with all, so a group's links
-    form stars; a link that joins two such groups elsewhere can be missed.
+    and the next one. All sets there are compared, two blocks at a time inside a task, each pair only at the first
+    signature it shares; just the alike ones become rows.
     """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
     sigs = docs.select("doc_id", signatures(F.col("text")).alias("s")).filter("size(s) > 0")
-    sets = staged(sigs.groupBy("s").agg(F.min("doc_id").alias("id")), "spots-sets")
-    common = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
-    rare = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("x")).join(common.filter("df > 1"), "x")
-    order = Window.partitionBy("id").orderBy("df", "x")
-    prefix = rare.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    width = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / least)))
-    dealt = prefix.select("id", "x", width.alias("l")).withColumn("l", F.explode(F.array("l", F.col("l") + 1)))
-    hubs = dealt.groupBy("x", "l").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1")
-    pairs = dealt.join(hubs, ["x", "l"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    compared = pairs.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("sa"), F.col("sb"), least).alias("likeness"))
-    return compared.filter(F.col("likeness") >= least)
+    sets = sigs.groupBy("s").agg(F.min("doc_id").alias("id"))
+    sets = staged(sets.withColumn("u", F.monotonically_increasing_id()).withColumn("n", F.size("s")), "spots-sets")
+    spread_ = sets.select("u", "n", F.explode("s").alias("x"))
+    common = staged(spread_.groupBy("x").agg(F.count("*").alias("df")), "spots-common")
+    total = common.agg(F.coalesce(F.sum("df"), F.lit(1))).first()[0]
+    rare = join_groups(spread_, common, ["x"], "df", total)
+    order = Window.partitionBy("u").orderBy("df", "x")
+    shown = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1  # products like 0.7 * 10 come out a little too large
+    prefix = rare.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= shown).filter("df > 1")
+    heads = prefix.groupBy("u").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "x"))), lambda y: y["x"]).alias("p"))
+    width = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / least)) + 1e-9) if least < 1 else F.lit(0)
+    headed = staged(sets.join(heads, "u").withColumn("own", width.cast("long")), "spots-heads")
+    dealt = headed.select("u", F.explode("p").alias("x"), "own").withColumn("l", F.explode(F.array(F.col("own"), F.col("own") + 1))).drop("own")
+    dealt = staged(dealt, "spots-dealt")
+    buckets = dealt.groupBy("x", "l").agg(F.count("*").alias("m")).filter("m > 1")
+    met = join_groups(dealt, buckets, ["x", "l"], "m", max(dealt.count(), 1))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    met = met.withColumn("block", F.pmod(F.xxhash64("u", "x"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    member = F.struct("u", "id", "own", "block", "s", "p")
+    groups = met.join(headed, "u").groupBy("x", "l", "i", "j").agg(F.collect_list(member).alias("g")).filter("size(g) > 1")
+
+    def against(a: Column) -> Column:
+        def meets(b: Column) -> Column:
+            apart = (F.col("i") == F.col("j")) | (a["block"] != b["block"])
+            here = (a["u"] < b["u"]) & apart & (F.greatest(a["own"], b["own"]) == F.col("l"))
+            near = F.least(F.size(a["s"]), F.size(b["s"])) / F.greatest(F.size(a["s"]), F.size(b["s"])) >= least
+            return here & near & (F.get(F.array_intersect(a["p"], b["p"]), F.lit(0)) == F.col("x"))
+
+        def link(b: Column) -> Column:
+            return F.struct(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"), likeness(a["s"], b["s"], least).alias("likeness"))
+
+        return F.filter(F.transform(F.filter(F.col("g"), meets), link), lambda y: y["likeness"] >= least)
+
+    return groups.select(F.explode(F.flatten(F.transform("g", against))).alias("y")).select("y.*").filter("a < b")
 
 
 #: Documents are put in order by slices of the id range: at most MAX_SLICES quantiles of about SLICE_ROWS rows,

@@ -89,3 +89,27 @@ def test_links_between_near_copies(make):
     rows = [(4, " ".join(base)), (2, " ".join(near)), (3, " ".join(rng.choice(words) for _ in range(400))), (9, " ".join(base)), (7, None)]
     got = [(r.a, r.b) for r in S.spot_links(make(rows), 0.5).collect()]
     assert got == [(2, 4)]
+
+
+def test_links_are_those_of_brute_force(make, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 8)
+    rng = random.Random(6)
+    words = ["the", "of", "and"] + [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    rows = [(0, "the only text of its kind")]
+    for family in range(3):
+        base = [rng.choice(words) for _ in range(120)]
+        for k in range(25):
+            text = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 4, 8])):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((1000 - 100 * family - k, " ".join(text[: rng.choice([120, 120, 110, 90])])))
+    docs = make(rows)
+    for least in (0.5, 0.8):
+        sets = {}
+        for r in docs.select("doc_id", S.signatures(F.col("text")).alias("s")).collect():
+            key = frozenset(r.s)
+            sets[key] = min(r.doc_id, sets.get(key, r.doc_id))
+        found = sorted((i, s) for s, i in sets.items())
+        want = sorted((a, b) for k, (a, s) in enumerate(found) for b, t in found[k + 1 :] if len(s & t) / len(s | t) >= least)
+        got = sorted((r.a, r.b) for r in S.spot_links(docs, least).collect())
+        assert got == want and len(want) > 20
