@@ -19,7 +19,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, documents, join_groups, map_arrow, ship, staged
@@ -370,10 +370,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns) and ``id`` of every different pair of doc_id and text, once; ``id`` is unique.
+
+    It is the doc_id, but for the second and further texts of one doc_id, which take unused numbers. Without
+    repeated ids no text moves.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    ids = rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("n"))
+    repeated = staged(ids.filter("n > 1"), "mh-repeated")
+    if repeated.isEmpty():
+        return rows
+    marked = join_groups(rows, repeated, ["id"], "n", max(rows.count(), 1), "left")
+    digest = F.sha2(F.coalesce(F.concat(F.lit("t"), F.col("row.text")), F.lit("")), 256)
+    several = marked.filter("n is not null").withColumn("d", digest).groupBy("id", "d").agg(F.first("row").alias("row"))
+    several = staged(several, "mh-several")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d"))
+    further = several.select("id", "d", place.alias("k")).filter("k > 1")
+    for salt in range(100):
+        named = staged(further.select("id", "d", F.xxhash64("id", "d", F.lit(salt)).alias("other")), "mh-named")
+        if named.select("other").distinct().count() == named.count() and named.join(rows.select(F.col("id").alias("other")), "other", "left_semi").isEmpty():
+            break
+    several = several.join(named, ["id", "d"], "left").select(F.coalesce("other", "id").alias("id"), "row")
+    return staged(marked.filter("n is null").select("id", "row").unionByName(several), "mh-apart")
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component; doc_id must be unique for the others to go."""
-    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each component. Of rows equal in doc_id and text one stays; different texts of one doc_id
+    are different documents."""
+    rows = _told_apart(docs)
+    gone = near_duplicates(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")), words, percent)
+    gone = gone.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return rows.join(gone, F.col("id") == F.col("__gone"), "left_anti").select("row.*")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

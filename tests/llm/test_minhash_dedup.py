@@ -110,3 +110,13 @@ def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got(M.op2_minhash_dedup(spark, sf)) == brute(rows, 2)
+
+
+def test_drop_keeps_one_row_of_repeated_ids(make):
+    a, b = "a b c d e f", "other words are here now ok"
+    docs = make([(1, a), (1, a), (1, a), (2, a), (5, b), (5, "third text of some new words"), (6, b), (7, None), (7, None), (8, "alone in its component for good")])
+    out = M.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(t or "" for _, t in got) == sorted([a, b, "third text of some new words", "", "alone in its component for good"])
+    assert (1, a) in got and (5, "third text of some new words") in got
