@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -62,6 +63,40 @@ def test_random_texts_round_trip(tokenizer):
         assert words.ids(t.encode()).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_marks_letters_and_long_words_part_as_the_tokenizer_does(tokenizer):
+    rng = random.Random(11)
+    pieces = ["word", "É", "ß", "Ü", "÷", "×", ".", ",", "-", "'s", "'", "(", ")", "##", "9", "é", "x\x00y", "\x00", "日", "a" * 23, "b" * 24, "c" * 90, "\u0301", "<|", "|>", "@", "\u00a0", "\u2028", " ", "\n", "\x1c"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25))) for _ in range(1500)]
+    words = K.word_ids(None)
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        for t, ids in zip(some, words.all_ids(pa.array([t.encode() for t in some], pa.binary()))):
+            assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_a_small_table_is_emptied_and_stays_exact(tokenizer, monkeypatch):
+    monkeypatch.setattr(K, "MEMO", 50)
+    monkeypatch.setattr(K, "_AT_ONCE", 20)
+    monkeypatch.setattr(K, "_BYTES", 300)
+    words = K.WordIds(public_tokenizers.path(K.TOKENIZER))
+    rng = random.Random(12)
+    for _ in range(200):
+        t = " ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 9))) for _ in range(30))
+        assert words.ids(t.encode()).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_cuts_fall_on_ends_but_in_long_sentences():
+    stop = np.zeros(1 << 16, bool)
+    stop[7] = True
+    stream = np.full(3000, 5, "<u2")
+    stream[[99, 499]] = 7  # sentences of 100, 400 and 2,500 tokens
+    points, penalties = K.cut_points(stream, np.array([3000]), stop, 2048)
+    assert points[:3].tolist() == [0, 100, 500] and penalties[:3].tolist() == [0, K.SENTENCE_PENALTY, K.SENTENCE_PENALTY]
+    assert set(penalties[3:-1].tolist()) == {K.HARD_PENALTY} and np.diff(points[2:]).max() <= K.GRID and penalties[-1] == 0
+    points, _ = K.cut_points(stream[:900], np.array([900]), stop, 2048)
+    assert points.tolist() == [0, 100, 500, 900]
+
+
 def brute_cost(points, penalties, size):
     best = {0: 0}
     for j in range(1, len(points)):
