@@ -1,20 +1,23 @@
 """Secret scan: fixed patterns plus dictionary-primed zstandard novelty.
 
 A candidate string in a sensitive context is compressed with a dictionary made of the corpus's identifiers and
-the text around it. What a name, a path or repeated code costs is far below its length; what still costs nearly
-a byte a character is new information, as keys and passwords are, and is reported. zstandard stores a short string's
-letters as they are, so an unseen word costs as much as a password there; strings that aren't long runs of letters
-and digits must also be surprising letter by letter, given the letter pairs of the identifiers.
+the text around it. A name, a path or repeated code costs far less than a random string of its alphabet and length;
+what still costs nearly as much is new information, as keys and passwords are, and is reported. zstandard stores a
+short string's letters as they are, so an unseen word costs as much as a password there; strings must also be
+surprising letter by letter, given the letter pairs of the identifiers. Numbers, dates and UUIDs are not reported.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import string
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -37,10 +40,12 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"(?:passw|passphrase|secret|token|api_?key|auth|credential|private|bearer|access_?key|client_id)", re.I | re.A)
 _SENSITIVE_PARTS = ("passw", "passphrase", "secret", "token", "key", "auth", "credential", "private", "bearer", "client_id")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_-]{3,31}")
+#: A name that stands alone: no piece of a longer string, so the letter runs of a key are none.
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_][A-Za-z_-]{3,31}(?![A-Za-z0-9+/_=-])")
 
 #: What stands between spaces and quotes, without punctuation at its ends.
 TOKEN = re.compile(r"""[^\s"'`]+""")
+_TOKEN_START = re.compile(r"""[^\s"'`]""")
 _EDGE = ".,;:()[]{}<>"
 LEAST = 8
 #: The rest of a name with a sensitive word, up to its value in the same token.
@@ -50,8 +55,13 @@ PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 
 #: A candidate starts at most REACH characters behind a sensitive word, or ends so far before one.
 REACH = 48
-#: Bits a character, given the one before, from which a candidate of any shape is surprising; at most log2(95) count.
-SURPRISE = 5.5
+#: Bits a character, given the one before, from which a candidate is surprising: of any shape, and a run of 16 or more
+#: letters and digits, whose mean scatters less; at most log2(95) count.
+SURPRISE, SURPRISE_RUN = 5.5, 5.0
+#: Letters without which a token is a number, a date or the like.
+LETTERS = 3
+#: Identifiers by design: not secret, though random.
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Common words that the letter pairs start from, so that a small corpus has some too.
 PRIMER = (
     "the and that with this from have which their would there about could other after first should because between through "
@@ -62,7 +72,7 @@ PRIMER = (
 )
 #: Text on both sides that primes the dictionary, and that identifiers are gathered from.
 AROUND = 256
-#: Marginal compressed bytes a byte of the candidate from which it counts as new information.
+#: Share of what a random string of the same alphabet and length costs from which a candidate is new information.
 NOVELTY = 0.8
 #: The identifier dictionary is the TOP most widespread identifiers (a top-k list of about 32 KB at most).
 TOP = 2000
@@ -87,15 +97,26 @@ def contexts(text: str) -> list[tuple[int, int]]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Strings of letters and digits closely behind a sensitive word that overlap no span in ``taken``."""
+    """Strings of letters and digits closely behind a sensitive word that overlap no span in ``taken``.
+
+    A string that is out of reach is kept for the next words, so a text is read once.
+    """
     out, at = [], 0
+    covered, k = merged(taken), 0
+    m = None
     for _, end in contexts(text):
-        for m in CANDIDATE.finditer(text, max(end, at)):
+        while True:
+            if m is None or m.start() < max(end, at):
+                m = CANDIDATE.search(text, max(end, at))
+                if m is None:
+                    return out
             if m.start() > end + REACH:
                 break
             at = m.end()
-            s = m[0]
-            if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(a < m.end() and m.start() < b for a, b, _ in taken):
+            while k < len(covered) and covered[k][1] <= m.start():
+                k += 1
+            free = k == len(covered) or covered[k][0] >= at
+            if free and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
                 out.append(m.span())
     return out
 
@@ -121,9 +142,8 @@ def tokens(text: str, taken: list[Span]) -> tuple[list[tuple[int, int]], list[tu
         low = max(0, a - REACH)
         while low > seen and TOKEN.match(text, low - 1, low):
             low -= 1  # the start of a token that ends in reach
-        for m in TOKEN.finditer(text, max(low, seen)):
-            if m.start() > e + REACH:
-                break
+        while (start := _TOKEN_START.search(text, max(low, seen), e + REACH + 1)) is not None:
+            m = TOKEN.match(text, start.start())
             seen = m.end()
             found.append(m.span())
     spans, k, j = [], 0, 0
@@ -149,9 +169,10 @@ def tokens(text: str, taken: list[Span]) -> tuple[list[tuple[int, int]], list[tu
             e -= 1
         if e - s >= LEAST:
             spans.append((s, e))
-    at = 0
+    at, end = 0, 0
     for m in PEM.finditer(text):
-        end = text.find("-----END", m.end())
+        if 0 <= end < m.end():
+            end = text.find("-----END", m.end())
         at = max(at, m.end())
         while (line := KEY_LINE.search(text, at, end if end >= 0 else min(len(text), at + AROUND))) is not None:
             lines.append(line.span(1))
@@ -194,13 +215,35 @@ def surprise(token: str, pairs: list[list[float]]) -> float:
     return bits / len(token)
 
 
-def novelty(text: str, start: int, end: int, identifiers: bytes) -> float:
-    """Compressed bytes that the candidate adds, a byte of it, given the identifiers and the text around it."""
-    around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]).encode()
-    primed = zstandard.ZstdCompressionDict(identifiers + b"\n" + around + b"\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/=", string.ascii_letters + string.digits + "-_=")
+
+
+def _cost(secret: bytes, dictionary: bytes) -> int:
+    """Compressed bytes that the secret adds, given the dictionary."""
+    primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     squeeze = zstandard.ZstdCompressor(level=12, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
-    secret = text[start:end].encode()
-    return (len(squeeze.compress(secret)) - len(squeeze.compress(b""))) / len(secret)
+    return len(squeeze.compress(secret)) - len(squeeze.compress(b""))
+
+
+@lru_cache(maxsize=4096)
+def _random_cost(alphabet: int, length: int) -> float:
+    """Mean cost a byte of random strings: zstandard codes long ones down to their alphabet's entropy."""
+    letters = _ALPHABETS[alphabet] if alphabet < len(_ALPHABETS) else string.printable[:94]
+    rng = random.Random(length * 16 + alphabet)
+    drawn = ["".join(rng.choices(letters, k=length)).encode() for _ in range(3)]
+    return sum(_cost(x, b" ") for x in drawn) / (3 * length)
+
+
+def novelty(text: str, start: int, end: int, identifiers: bytes) -> float:
+    """Compressed bytes that the candidate adds, given the identifiers and the text around it, as a share of what a random
+    string of the same alphabet and length adds. Further copies of the candidate nearby don't count as known."""
+    found = text[start:end]
+    around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]).replace(found, " ")
+    used = set(found)
+    alphabet = next((k for k, letters in enumerate(_ALPHABETS) if used <= set(letters)), len(_ALPHABETS))
+    secret = found.encode()
+    length = len(secret) if len(secret) < 128 else len(secret) // 64 * 64
+    return _cost(secret, identifiers + b"\n" + around.encode() + b"\n") / len(secret) / _random_cost(alphabet, min(length, 1 << 14))
 
 
 def all_spans(text: str, identifiers: bytes, threshold: float = NOVELTY, pairs: list[list[float]] | None = None) -> tuple[list[Span], list[Span]]:
@@ -212,10 +255,13 @@ def all_spans(text: str, identifiers: bytes, threshold: float = NOVELTY, pairs:
     shaped, lines = tokens(text, base)
     novel: list[Span] = []
     held = merged(base)
-    for least, (a, b) in [(SURPRISE, x) for x in shaped] + [(0.0, x) for x in lines + candidates(text, base)]:
+    found = [(0.0, x) for x in lines] + [(SURPRISE, x) for x in shaped] + [(SURPRISE_RUN, x) for x in candidates(text, base)]
+    for least, (a, b) in found:
         k = bisect_left(held, (b,))
         if k and held[k - 1][1] > a:
             continue
+        if least and (sum(c.isalpha() for c in text[a : min(b, a + 64)]) < LETTERS or _UUID.fullmatch(text, a, b)):
+            continue
         if surprise(text[a:b], pairs) >= least and novelty(text, a, b, identifiers) >= threshold:
             novel.append((a, b, NOVEL))
             insort(held, (a, b))
@@ -234,8 +280,8 @@ def _identifiers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             t = text.as_py()
             if t:
                 words: set[str] = set()
-                for a, e in contexts(t):
-                    words.update(IDENTIFIER.findall(t, max(0, a - AROUND), e + AROUND))
+                for a, e in merged([(max(0, a - AROUND), e + AROUND, "") for a, e in contexts(t)]):
+                    words.update(IDENTIFIER.findall(t, a, e))
                 seen.update(words)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 

@@ -88,3 +88,66 @@ def test_secrets_of_any_shape_on_both_sides():
     assert novel("use Xq7$kL9!pZ2 as passphrase") == ["Xq7$kL9!pZ2"]
     assert novel(f"{jwt} is the bearer") == [jwt]
     assert novel("author: Wordsworth, forgotten credentials, authentication required everywhere") == []
+
+
+def labelled():
+    """(text, secret or None): keys of many alphabets and lengths, and what looks like them, in sensitive contexts."""
+    rng = random.Random(7)
+    draw = lambda n, of: "".join(rng.choices(of, k=n))
+    alnum, b64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+    keys = [draw(n, of) for of, n in [(alnum, 20), (alnum, 40), (string.ascii_lowercase + string.digits, 24), (b64, 44), (b64, 1000), ("0123456789ABCDEF", 32), ("0123456789ABCDEF", 64),
+            (string.ascii_uppercase + "234567", 32), (alnum + "!#$%&*+-?@^_~", 14)] for _ in range(20)]
+    names = ["validateUserSession2Handler", "docs/section2/chapterfive/readme", "getAccountSettings3Page", "src/main/java2/server/handler", "user_account_settings2_page", "api/v2/users/accounts/settings",
+             "parseConfigurationValue1", "updateDatabaseRecord4You", "2024-11-03T10:15:00", "version-1.2.3-beta4", "configuration-management", "12345678901234567890", "Wordsworth", "authentication"]
+    uuids = [f"{rng.getrandbits(32):08x}-{rng.getrandbits(16):04x}-{rng.getrandbits(16):04x}-{rng.getrandbits(16):04x}-{rng.getrandbits(48):012x}" for _ in range(6)]
+    frames = ["the client_id bearer {} is what the server wants", "authorization of this credential {}\nnext line", "use {} as private value"]
+    return [(rng.choice(frames).format(k), k) for k in keys], [(f.format(x), None) for x in names + uuids for f in frames]
+
+
+def test_labelled_strings():
+    known = b"user account settings page login session_handler validate request response config value client server check form"
+    yes, no = labelled()
+    caught = sum(k in novel(t, known) for t, k in yes)
+    assert caught >= 0.9 * len(yes)
+    assert sum(bool(novel(t, known)) for t, _ in no) <= 0.05 * len(no)
+
+
+def test_a_key_that_stands_twice_is_found_twice():
+    key = "".join(random.Random(9).choices(string.ascii_letters + string.digits, k=40))
+    assert novel(f"bearer {key} and again bearer {key} done") == [key, key]
+
+
+def test_a_key_of_two_documents_is_no_identifier(make):
+    key = "".join(random.Random(10).choices(string.ascii_letters + string.digits, k=40))
+    docs = make([(1, f"bearer {key} in one place"), (2, f"bearer {key} in another place"), (3, None)])
+    assert S.identifier_dictionary(docs).split() == [b"place", b"bearer"]
+    got = {r.doc_id: r.spans for r in S.scan_secrets(docs).collect()}
+    assert got == {1: "novel:7:47", 2: "novel:7:47", 3: ""}
+
+
+def plain_candidates(text, taken):
+    """The runs behind a sensitive word, by trying every word against every run anew."""
+    out, at = [], 0
+    for _, end in S.contexts(text):
+        begin = max(end, at)
+        for m in S.CANDIDATE.finditer(text, begin):
+            if m.start() > end + S.REACH:
+                break
+            at = m.end()
+            if re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in taken):
+                out.append(m.span())
+    return out
+
+
+def test_candidates_against_brute_force():
+    rng = random.Random(8)
+    pieces = ["token ", "secret", "bearer=", "abcdefgh12345678", "x9" * 12, " ", "\n", "-" * 50, "zz ", "0123456789abcdef01234567"]
+    for _ in range(2000):
+        t = "".join(rng.choice(pieces) for _ in range(25))
+        base = S.base_spans(t)
+        assert S.candidates(t, base) == plain_candidates(t, base), repr(t)
+
+
+def test_sensitive_words_without_end_take_linear_time():
+    for t in ("token " * 170_000, "token" * 100_000, "-----BEGIN PRIVATE KEY-----\n" * 30_000, "secret" + " " * 500_000, ("token" * 200 + " " * 60) * 300 + "x" * 500_000, "key" + "\n \t" * 100_000):
+        S.all_spans(t, b"name of things")
