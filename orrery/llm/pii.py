@@ -40,7 +40,6 @@ TERM = re.compile(r"[^\W\d_]{3,}")
 SINGLE = 2
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.6, 0.9
-#: An entity in more than total / HOT_PARTS documents is hot.
 #: Words a worker remembers.
 TERM_MEMO = 400_000
 
@@ -67,12 +66,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """At most 255; leading zeros, however many, don't count."""
+    value = digits.lstrip("0")
+    return len(value) < 3 or len(value) == 3 and value <= "255"
+
+
 def base_spans(text: str) -> list[Span]:
     """The fixed patterns: (start, end, kind), by kind and then start."""
     found: list[Span] = [(a, b, "email") for a, b in emails(text)]
     if _DIGIT.search(text) is None:
         return found
-    found += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(map(_octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -118,9 +123,10 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-SCAN = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, e array<long>"
+#: ``row`` is a hash of the text: rows that share a doc_id but not the text are different documents.
+SCAN = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base string, e array<long>"
 #: A row a document and term: the entities it may disclose there, and its places.
-NEAR = "doc_id long, t long, e array<long>, at array<int>"
+NEAR = "doc_id long, row long, t long, e array<long>, at array<int>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +135,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value in b.column(1):
             text = value.as_py() or ""
             spans = base_spans(text)
-            rows.append((*(sum(s[2] == k for s in spans) for k in KINDS), joined(spans)))
+            rows.append((_hash(text), *(sum(s[2] == k for s in spans) for k in KINDS), joined(spans)))
             held.append(entities_of(text, spans))
-        arrays = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)] + [pa.array([r[4] for r in rows], pa.string()), pa.array(held, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "e"])
+        arrays = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)] + [pa.array([r[5] for r in rows], pa.string()), pa.array(held, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base", "e"])
 
 
 _known = Memo(TERM_MEMO)
@@ -188,23 +194,24 @@ def _meetings(docs: DataFrame, entities: DataFrame, terms: DataFrame, total: int
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ts, es, ats = [], [], [], []
+            ids, rows, ts, es, ats = [], [], [], [], []
             for i, value in zip(b.column(0), b.column(1)):
                 text = value.as_py() or ""
                 spans = base_spans(text)
                 if not spans:
                     continue
-                doc, held = i.as_py(), entities_of(text, spans)
+                doc, row, held = i.as_py(), _hash(text), entities_of(text, spans)
                 for t, at in placed_terms(text, spans).items():
                     df = common.get(t)
                     told = held if df is None else [e for e in held if df <= hot.get(e, usual)]
                     if told:
                         ids.append(doc)
+                        rows.append(row)
                         ts.append(t)
                         es.append(told)
                         ats.append(at)
-            arrays = [pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array(es, pa.list_(pa.int64())), pa.array(ats, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "t", "e", "at"])
+            arrays = [*(pa.array(x, pa.int64()) for x in (ids, rows, ts)), pa.array(es, pa.list_(pa.int64())), pa.array(ats, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "t", "e", "at"])
 
     return staged(map_arrow(docs.select("doc_id", "text"), meet, NEAR), "pii-near")
 
@@ -235,60 +242,82 @@ def disclosures(docs: DataFrame, scan: DataFrame) -> DataFrame:
     return _disclosing(docs, scan, 0.0)[0].orderBy("joint", "e", "t")
 
 
-def find_pii(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """A row a document: doc_id, counts by kind, base_sha256, spans, n_terms; whole texts, null as empty.
-
-    ``spans`` holds the base spans by kind and start, then terms to generalise, then terms to remove, as
-    ``kind:start:end`` in code points. Statistics cover all documents. Documents without an entity have no
-    spans. Rows that share a doc_id share their term spans; an empty table gives no rows.
-    """
+def _found(docs: DataFrame, generalise: float, remove: float) -> DataFrame:
+    """What ``find_pii`` returns, and ``row``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = staged(map_arrow(docs, _scan, SCAN), "pii-scan")
     risky, near = _disclosing(docs, scan, generalise)
     risky = staged(risky, "pii-risky")
-    near = near.select("doc_id", "t", F.explode("e").alias("e"), "at")
+    key = [F.coalesce("doc_id", F.lit(0)).alias("__id"), "row"]
+    near = near.select(*key, "t", F.explode("e").alias("e"), "at")
     hits = join_groups(near, risky, ["e", "t"], "joint", max(near.count(), 1))
-    worst = hits.groupBy("doc_id", "t", "at").agg(F.max("disclosure").alias("d"))
+    worst = hits.groupBy("__id", "row", "t", "at").agg(F.max("disclosure").alias("d"))
     places = F.transform(F.sequence(F.lit(0), F.shiftright(F.size("at"), 1) - 1), lambda k: F.struct(F.get("at", 2 * k).alias("a"), F.get("at", 2 * k + 1).alias("b")))
-    worst = worst.select("doc_id", "d", F.explode(places).alias("x")).select("doc_id", "d", "x.*")
+    worst = worst.select("__id", "row", "d", F.explode(places).alias("x")).select("__id", "row", "d", "x.*")
     kind = F.when(F.col("d") >= remove, F.lit(1)).otherwise(F.lit(0))
-    terms = worst.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(kind.alias("k"), "a", "b"))).alias("terms"))
+    terms = worst.groupBy("__id", "row").agg(F.array_sort(F.collect_set(F.struct(kind.alias("k"), "a", "b"))).alias("terms"))
     text = F.transform("terms", lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, TERM_KINDS)), x["k"] + 1), x["a"], x["b"]))
     return (
-        scan.drop("e")
-        .join(terms, "doc_id", "left")
+        scan.drop("e").withColumn("__id", key[0])
+        .join(terms, ["__id", "row"], "left")
         .select(
             "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"),
             F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(text, ",")).alias("spans"),
-            F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_terms"),
+            F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_terms"), "row",
         )
     )
 
 
+def find_pii(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """A row a document: doc_id, counts by kind, base_sha256, spans, n_terms; whole texts, null as empty.
+
+    ``spans`` holds the base spans by kind and start, then terms to generalise, then terms to remove, as
+    ``kind:start:end`` in code points. Statistics cover all documents, repeated rows each. Documents without an entity
+    have no spans. Rows with one doc_id and different texts, or without an id, have their own spans. An empty table
+    gives no rows; extra columns are ignored.
+    """
+    return _found(docs, generalise, remove).drop("row")
+
+
+#: What a generalised term becomes: the class of strings that it belongs to.
+CLASSES = (("[ACRONYM]", str.isupper), ("[NAME]", str.istitle), ("[WORD]", str.islower))
+
+
+def general(term: str) -> str:
+    return next((name for name, fits in CLASSES if fits(term)), "[TERM]")
+
+
 def redact(text: str, spans: str) -> str:
-    """The text without its personal data: entities and generalised terms become their kind, other terms go."""
+    """The text without its personal data: entities become their kind, generalised terms their class, other terms go."""
     marks = sorted((int(a), -int(b), kind) for kind, a, b in (s.split(":") for s in spans.split(",") if s))
     out, at = [], 0
     for a, b, kind in marks:
         if a < at:
             continue
-        out += [text[at:a], "" if kind == "remove" else "[TERM]" if kind == "generalise" else f"[{kind.upper()}]"]
+        out += [text[at:a], "" if kind == "remove" else general(text[a:-b]) if kind == "generalise" else f"[{kind.upper()}]"]
         at = -b
     return "".join([*out, text[at:]])
 
 
 def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``docs`` with sanitised text; doc_id must be unique. Null texts stay null."""
-    spans = find_pii(docs, generalise, remove).select(F.col("doc_id").alias("__id"), "spans").filter("spans != ''")
+    """``docs`` with sanitised text, row by row and with all columns. Null texts stay null."""
     ship(docs.sparkSession)
-    joined_ = docs.join(spans, docs["doc_id"] == F.col("__id"), "left")
 
     @F.udf("string", useArrow=True)
     def clean(text: str | None, marks: str | None) -> str | None:
         return redact(text, marks) if text and marks else text
 
-    return joined_.withColumn("text", clean("text", "spans")).select(*docs.columns)
+    @F.udf("long", useArrow=True)
+    def row_of(text: str | None) -> int:
+        return _hash(text or "")
+
+    found = _found(docs, generalise, remove).filter("spans != ''").select("doc_id", "row", "spans").distinct()
+    marks = found.select(F.struct(F.col("doc_id").alias("i"), F.col("row").alias("r")).alias("__key"), F.col("spans").alias("__marks"))
+    whole = docs.select(F.struct(*docs.columns).alias("__row")).withColumn("__key", F.struct(F.col("__row.doc_id").cast("long").alias("i"), row_of("__row.text").alias("r")))
+    cleaned = whole.join(marks, whole["__key"].eqNullSafe(marks["__key"]), "left").withColumn("__clean", clean("__row.text", "__marks"))
+    return cleaned.select(*(F.col("__clean").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``find_pii`` of all documents."""
     return find_pii(documents(spark, sf_dir))

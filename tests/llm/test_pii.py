@@ -135,3 +135,75 @@ def test_an_entity_of_one_document_has_its_telling_terms_marked(make):
     rows += [(2000, "ordinary weather, Quillfeather writes from eve@else.org about trains")]
     got = marked(make(rows), dict(rows))
     assert sorted(got.pop(2000)) == ["Quillfeather", "from", "writes"] and not any(got.values())
+
+
+def test_thousands_of_zeros_in_an_address_do_not_stop_the_job():
+    for part, good in (("0" * 5000, True), ("0" * 5000 + "255", True), ("0" * 5000 + "256", False), ("9" * 5000, False)):
+        text = f"at {part}.1.1.1 here"
+        assert ([k for *_, k in P.base_spans(text)] == ["ip"]) == good
+
+
+def brute_terms(rows, generalise=P.GENERALISE, remove=P.REMOVE):
+    """Term spans by (doc_id, text) from the formula alone, with dictionaries."""
+    import math
+
+    words, ents = [], []
+    for _, t in rows:
+        spans = P.base_spans(t or "")
+        ents.append({f"{k}:{t[a:b].lower()}" for a, b, k in spans})
+        words.append([(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", t or "")])
+    df = {}
+    for ws in words:
+        for w in {w for *_, w in ws}:
+            df[w] = df.get(w, 0) + 1
+    df_e, joint, n = {}, {}, len(rows)
+    free = []
+    for (_, t), ws, es in zip(rows, words, ents):
+        taken = [(a, b) for a, b, _ in P.base_spans(t or "")]
+        free.append([(a, b, w) for a, b, w in ws if not any(a < y and x < b for x, y in taken)])
+        for e in es:
+            df_e[e] = df_e.get(e, 0) + 1
+            for w in {w for *_, w in free[-1]}:
+                joint[e, w] = joint.get((e, w), 0) + 1
+    out = {}
+    for (i, t), ws, es in zip(rows, free, ents):
+        found = []
+        for a, b, w in ws:
+            best = 0.0
+            for e in es:
+                j = joint[e, w]
+                more = P.SINGLE if j == 1 else 0
+                ic = math.log2(n / df_e[e])
+                best = max(best, math.log2(j * n / ((df_e[e] + more) * (df[w] + more))) / ic if ic > 0 else 0.0)
+            if best >= generalise:
+                found.append((int(best >= remove), a, b))
+        out[i, t] = ",".join(f"{P.TERM_KINDS[k]}:{a}:{b}" for k, a, b in sorted(found))
+    return out
+
+
+def test_term_spans_against_brute_force(make):
+    rng = random.Random(15)
+    words = [f"{a}{b}{c}" for a in "bdgk" for b in "aeiou" for c in ("ra", "li", "Mo", "é", "")]
+    rows = []
+    for k in range(500):
+        mail = rng.choice(["", "", f"m{int(rng.paretovariate(0.7))}@site.org", f"10.0.0.{rng.randrange(9)}", f"x{k}@one.net y{k % 7}@two.net"])
+        own = [f"Own{chr(97 + k % 26)}{chr(97 + k // 26)}"] if rng.random() < 0.5 else []
+        rows.append((k, " ".join(rng.sample(words, rng.randrange(9)) + [mail] + own + rng.sample(words, 2))))
+    rows += [(600, None), (601, ""), (602, rows[3][1]), (3, "the other text of one id, z@z.org zzzz"), (None, "no id here q@q.org qqqq")]
+    rows += [(700 + k, f"Quorvax wrote {rng.choice(words)} from jo@site.org, said {rng.choice(words)}") for k in range(4)]
+    want = brute_terms(rows)
+    got = sorted((str(r.doc_id), r.spans) for r in P.find_pii(make(rows)).collect())
+    full = sorted((str(i), ",".join(x for x in (P.joined(P.base_spans(t or "")), want[i, t]) if x)) for i, t in rows)
+    assert got == full
+    assert sum("generalise" in s for _, s in got) > 10 and sum("remove" in s for _, s in got) == 4
+
+
+def test_texts_of_one_id_are_sanitised_apart(make):
+    rows = corpus() + [(1001, "hi"), (None, "mail to a@b.org"), (1001, None)]
+    out = [(r.doc_id, r.text) for r in P.sanitise(make(rows)).collect()]
+    assert len(out) == len(rows) and (1001, "hi") in out and (1001, None) in out
+    assert [t for i, t in out if i is None][0].endswith("[EMAIL]") and not any("@" in (t or "") for _, t in out)
+
+
+def test_generalised_terms_become_their_class():
+    assert P.redact("Ann met NASA by the river", "generalise:0:3,generalise:8:12,generalise:20:25,remove:13:15") == "[NAME] met [ACRONYM]  the [WORD]"
