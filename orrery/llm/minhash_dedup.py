@@ -19,7 +19,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, documents, join_groups, map_arrow, ship, staged
@@ -32,6 +32,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-6
 #: Members of a group outside and inside its largest part that one task compares.
 MINOR, MAJOR = 512, 1024
+#: Slots of a bit table a wanted document, and the table's size up to which it is sent to every worker (16 MB).
+SPARE, MAX_TABLE_BITS = 8, 27
 #: Words a worker remembers the hash of.
 MEMO = 200_000
 
@@ -181,6 +183,10 @@ def _confirm(percent: int):
     return run
 
 
+def _slot(bits: int) -> Column:
+    return F.expr(f"shiftrightunsigned(xxhash64(doc_id), {64 - bits})").alias("slot")
+
+
 class Verifier:
     """Turns candidate pairs (a, b) into confirmed links."""
 
@@ -195,32 +201,41 @@ class Verifier:
         return map_arrow(joined.select("a", "b", "x", "y"), _posterior(self.least), "a long, b long")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """doc_id, set of the documents in ``wanted``; a bit table of fixed size spares the others the work."""
-        bits = 23
-        slots = wanted.select(F.expr(f"shiftrightunsigned(xxhash64(doc_id), {64 - bits})").alias("slot")).distinct()
-        words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-        table = np.zeros(1 << (bits - 6), np.int64)
-        for r in words.collect():  # at most 2**17 rows
-            table[r.word] = r.bits
-        marked = np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
-        count = self.words
+        """doc_id, set of the documents in ``wanted`` (distinct doc_id) and, by chance, of a few others.
+
+        A bit table with SPARE slots a wanted document spares the other texts the work; a wish for more documents than
+        fit a table that may be sent to every worker is a join by id.
+        """
+        count, bits = self.words, max(16, (SPARE * wanted.count() - 1).bit_length())
+        table = self._bits(wanted, bits) if bits <= MAX_TABLE_BITS else None
+        docs = self.docs if table is not None else self.docs.join(wanted, "doc_id", "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 _begin_batch()
-                at = pa.array(np.flatnonzero(marked[b.column(2).to_numpy()]))
+                slot = b.column(2).to_numpy()
+                at = np.arange(len(slot)) if table is None else np.flatnonzero(table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                at = pa.array(at)
                 texts = b.column(1).take(at).cast(pa.binary())
                 sets = pa.array([shingles(t.as_py(), count).tobytes() for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), sets], ["doc_id", "set"])
             _end_task()
 
-        slot = F.expr(f"shiftrightunsigned(xxhash64(doc_id), {64 - bits})").alias("slot")
-        return map_arrow(self.docs.select("doc_id", "text", slot), run, "doc_id long, set binary")
+        return map_arrow(docs.select("doc_id", "text", _slot(bits)), run, "doc_id long, set binary")
+
+    @staticmethod
+    def _bits(wanted: DataFrame, bits: int) -> np.ndarray:
+        """The slots of the wanted documents as bits of bytes; made by words of 64 slots, 2**(MAX_TABLE_BITS - 6) at most."""
+        slots = wanted.select(_slot(bits)).distinct()
+        word = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+        held = word.toArrow()
+        table = np.zeros(1 << (bits - 6), "<i8")
+        table[np.asarray(held["word"])] = np.asarray(held["bits"])
+        return table.view(np.uint8)
 
     def links(self, left: DataFrame) -> DataFrame:
         """The pairs whose full sets reach the threshold."""
-        wanted = left.select(F.explode(F.array("a", "b")).alias("doc_id"))
-        sets = self.sets(wanted)
+        sets = self.sets(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         joined = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
         joined = joined.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
         return staged(map_arrow(joined.select("a", "b", "x", "y"), _confirm(self.percent), "a long, b long").distinct(), "mh-links")
@@ -295,8 +310,8 @@ def _dealt(rows: DataFrame, group: str, part: str) -> DataFrame:
     plan = sizes.groupBy(group).agg(
         F.count("*").alias("parts"), F.sum("m").alias("all"), F.max("m").alias("top"), F.max(F.struct("m", F.col(part).alias("p"))).getField("p").alias("major")
     ).filter("parts > 1")
-    plan = plan.select(group, "major", F.ceil((F.col("all") - F.col("top")) / MINOR).cast("int").alias("minors"), F.ceil(F.col("top") / MAJOR).cast("int").alias("majors"))
-    rows = rows.join(plan, group)
+    plan = plan.select(group, "all", "major", F.ceil((F.col("all") - F.col("top")) / MINOR).cast("int").alias("minors"), F.ceil(F.col("top") / MAJOR).cast("int").alias("majors"))
+    rows = join_groups(rows, plan, [group], "all", max(rows.count(), 1))
     inside = F.col(part) == F.col("major")
     rows = rows.withColumn("block", F.when(inside, F.col("minors") + F.pmod(F.xxhash64("doc_id"), "majors")).otherwise(F.pmod(F.xxhash64("doc_id"), "minors")).cast("int"))
     last = F.when(inside, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1
@@ -313,8 +328,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     Documents are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id reachable and ``kept`` marks the document that has it. Null, empty and blank texts have
     empty sets, are linked with nothing and kept. Equal sets are linked, so exact copies and repeated rows fall
-    together. Two rows with one doc_id must have equal texts to be told apart from a changed copy. An empty
-    table gives no rows; extra columns are ignored.
+    together. Two rows with one doc_id must have equal texts to be told apart from a changed copy, and rows without an
+    id are linked with nothing and have no component; ``drop_near_duplicates`` has no such bounds. An empty table
+    gives no rows; extra columns are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = staged(map_arrow(docs, _sign(words), SIGNED), "mh-signed")
@@ -325,7 +341,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     bands = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = staged(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).filter("n > 1"), "mh-buckets")
     total = max(reps.count(), 1)
-    members = staged(join_groups(bands, buckets, ["key"], "n", total).select("key", "n", "hub", "doc_id"), "mh-members")
+    members = staged(join_groups(bands, buckets, ["key"], "n", BANDS * total).select("key", "n", "hub", "doc_id"), "mh-members")
     ship(docs.sparkSession)
     check = Verifier(docs, reps, words, percent, miss)
 
@@ -373,31 +389,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
 def _told_apart(docs: DataFrame) -> DataFrame:
     """``row`` (all columns) and ``id`` of every different pair of doc_id and text, once; ``id`` is unique.
 
-    It is the doc_id, but for the second and further texts of one doc_id, which take unused numbers. Without
-    repeated ids no text moves.
+    It is the doc_id, but for the second and further texts of one doc_id and all texts without one, which take unused
+    numbers. Without repeated and null ids no text moves.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
     ids = rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("n"))
     repeated = staged(ids.filter("n > 1"), "mh-repeated")
-    if repeated.isEmpty():
+    if repeated.isEmpty() and rows.filter("id is null").isEmpty():
         return rows
-    marked = join_groups(rows, repeated, ["id"], "n", max(rows.count(), 1), "left")
+    marked = join_groups(rows.filter("id is not null"), repeated, ["id"], "n", max(rows.count(), 1), "left")
+    several = marked.filter("n is not null").select("id", "row").unionByName(rows.filter("id is null"))
     digest = F.sha2(F.coalesce(F.concat(F.lit("t"), F.col("row.text")), F.lit("")), 256)
-    several = marked.filter("n is not null").withColumn("d", digest).groupBy("id", "d").agg(F.first("row").alias("row"))
-    several = staged(several, "mh-several")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("d"))
-    further = several.select("id", "d", place.alias("k")).filter("k > 1")
+    several = staged(several.withColumn("d", digest).groupBy("id", "d").agg(F.first("row").alias("row")), "mh-several")
+    least = several.filter("id is not null").groupBy("id").agg(F.min("d").alias("least"))
+    sorted_out = several.join(least, "id", "left").withColumn("own", F.coalesce(F.col("d") == F.col("least"), F.lit(False)))
+    further = sorted_out.filter("not own").select("id", "d")
     for salt in range(100):
         named = staged(further.select("id", "d", F.xxhash64("id", "d", F.lit(salt)).alias("other")), "mh-named")
         if named.select("other").distinct().count() == named.count() and named.join(rows.select(F.col("id").alias("other")), "other", "left_semi").isEmpty():
             break
-    several = several.join(named, ["id", "d"], "left").select(F.coalesce("other", "id").alias("id"), "row")
+    other = named.select(F.col("id").alias("__i"), F.col("d").alias("__d"), "other")
+    sorted_out = sorted_out.join(other, (F.col("d") == F.col("__d")) & F.col("id").eqNullSafe(F.col("__i")), "left")
+    several = sorted_out.select(F.coalesce("other", "id").alias("id"), "row")
     return staged(marked.filter("n is null").select("id", "row").unionByName(several), "mh-apart")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component. Of rows equal in doc_id and text one stays; different texts of one doc_id
-    are different documents."""
+    are different documents, and so are different texts without an id. Null and empty texts are alike to nothing."""
     rows = _told_apart(docs)
     gone = near_duplicates(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")), words, percent)
     gone = gone.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
@@ -405,4 +424,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all documents by two-word shingles."""
     return near_duplicates(documents(spark, sf_dir), words=2, percent=80)

@@ -120,3 +120,28 @@ def test_drop_keeps_one_row_of_repeated_ids(make):
     got = [(r.doc_id, r.text) for r in out.collect()]
     assert sorted(t or "" for _, t in got) == sorted([a, b, "third text of some new words", "", "alone in its component for good"])
     assert (1, a) in got and (5, "third text of some new words") in got
+
+
+def test_rows_without_an_id_are_told_apart_by_text(make):
+    a, b = "a b c d e f g", "other words are here now ok"
+    docs = make([(None, a), (None, a), (None, b), (None, None), (3, a), (9, "quite another text that has no copy")])
+    texts = [r.text for r in M.drop_near_duplicates(docs).collect()]
+    assert sorted(t or "" for t in texts) == sorted([a, b, "", "quite another text that has no copy"])
+
+
+def test_columns_of_any_name(spark):
+    ddl = "doc_id long, text string, id long, row string, n long, __gone int, d string, size long, component_id long"
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "r", 1, 2, "d", 3, 4), (2, "a b c d e f", 5, "r", 1, 2, "d", 3, 4), (2, "zz yy xx ww vv uu", 6, "r", 1, 2, "d", 3, 4)], ddl)
+    out = M.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and sorted(r.text for r in out.collect()) == ["a b c d e f", "zz yy xx ww vv uu"]
+
+
+@pytest.mark.parametrize("bits", [27, 10])
+def test_sets_of_wanted_documents(make, monkeypatch, bits):
+    monkeypatch.setattr(M, "MAX_TABLE_BITS", bits)
+    rows = [(k, f"w{k} w{k + 1} w{k + 2}") for k in range(300)]
+    docs = make(rows).select("doc_id", "text")
+    wanted = docs.filter("doc_id % 3 = 0").select("doc_id")
+    found = {r.doc_id: np.frombuffer(r.set, "<u8").tolist() for r in M.Verifier(docs, docs, 2, 80, M.MISS).sets(wanted).collect()}
+    assert {k for k in range(0, 300, 3)} <= set(found) and len(found) < 130
+    assert all(found[k] == M.shingles(rows[k][1].encode(), 2).tolist() for k in found)
