@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, staged, word_count
+from .common import documents, join_groups, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 #: No source gives more than this many times its words.
@@ -20,8 +20,6 @@ MAX_REPEAT = 3
 #: Hashes have LEVELS * LEVEL_BITS bits; each level refines one bucket into 2**LEVEL_BITS.
 LEVELS, LEVEL_BITS = 4, 15
 HASH_BITS = LEVELS * LEVEL_BITS
-#: The driver holds one row a source and refuses more sources than this.
-MAX_SOURCES = 100_000
 
 
 def mix_hash(doc_id: Column) -> Column:
@@ -47,69 +45,116 @@ def targets(sizes: Sequence[int], weights: Sequence[float], max_repeat: int = MA
     return out
 
 
-def _boundary(rows: DataFrame, budgets: list[tuple], level: int) -> list[tuple]:
-    """One level: of (source, prefix, budget) the bucket in which the budget runs out, as (source, prefix, budget left)."""
-    spark = rows.sparkSession
+def _key(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+#: Sources that one task puts in order.
+RANKED = 100_000
+
+
+def _ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``place``, from 0: code-point order, a null source last; numbered by ranges, whatever their number."""
+    spread = sources.repartitionByRange(max(1, -(-sources.count() // RANKED)), F.col("source").isNull(), "source").withColumn("range", F.spark_partition_id())
+    spread = staged(spread, "mix-ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spread.groupBy("range").agg(F.count("*").alias("held")).withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0)))  # a row a range
+    inside = Window.partitionBy("range").orderBy(F.col("source").isNull(), "source")
+    placed = spread.join(F.broadcast(starts.select("range", "base")), "range")
+    return placed.withColumn("place", F.col("base") + F.row_number().over(inside) - 1).drop("range", "base")
+
+
+def _rate(sources: DataFrame, max_repeat: int) -> float:
+    """Words a unit of weight, with sources capped at ``max_repeat`` times their size and the excess reshared.
+
+    A round caps what the rate of the last one exceeds; the capped sources only grow, and a handful of rounds do.
+    """
+    open_sources = sources.filter("weight > 0")
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    rate = 0.0
+    while True:
+        over = F.col("weight") * F.lit(rate) > max_repeat * F.col("source_size")
+        capped, weight = open_sources.agg(F.sum(F.when(over, F.col("source_size")).otherwise(0)), F.sum(F.when(~over, F.col("weight")))).first()
+        if not weight:
+            return rate
+        then = (total - max_repeat * capped) / weight
+        if then <= rate:
+            return rate
+        rate = then
+
+
+def _boundary(rows: DataFrame, budgets: DataFrame, level: int, total: int) -> DataFrame:
+    """One level: of key, n (rows of the source), prefix, budget the bucket in which the budget runs out, with the budget left."""
     shift = HASH_BITS - LEVEL_BITS * (level + 1)
-    now = spark.createDataFrame(budgets, "source string, prefix long, budget double")
-    cells = (
-        rows.join(F.broadcast(now), rows["source"].eqNullSafe(now["source"]))
-        .filter(F.shiftright(F.col("h"), shift + LEVEL_BITS) == F.col("prefix"))
-        .groupBy(now["source"], "budget", F.shiftright(F.col("h"), shift).alias("cell"))
-        .agg(F.sum("size").alias("size"))
-    )
-    run = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    met = join_groups(rows, budgets, ["key"], "n", total).filter(F.shiftright(F.col("h"), shift + LEVEL_BITS) == F.col("prefix"))
+    cells = met.groupBy("key", "n", "budget", F.shiftright(F.col("h"), shift).alias("cell")).agg(F.sum("size").alias("size"))
+    run = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # 2**LEVEL_BITS rows at most
     summed = cells.withColumn("upto", F.sum("size").over(run))
     if level + 1 == LEVELS:
         beyond = summed.filter(F.col("upto") - F.col("size") + F.col("upto") > 2 * F.col("budget"))
     else:
         beyond = summed.filter(F.col("upto") > F.col("budget"))
-    first = beyond.groupBy("source").agg(
-        F.min("cell").alias("cell"), F.min_by(F.col("budget") - (F.col("upto") - F.col("size")), "cell").alias("budget")
-    )
-    return [tuple(r) for r in first.collect()]
+    left = F.min_by(F.col("budget") - (F.col("upto") - F.col("size")), "cell")
+    return beyond.groupBy("key", "n").agg(F.min("cell").alias("prefix"), left.alias("budget"))
 
 
-def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, max_sources: int = MAX_SOURCES) -> DataFrame:
-    """The plan of a mix, a row a source: source, source_size, target, full, threshold.
+def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, max_sources: int | None = None) -> DataFrame:
+    """The plan of a mix, a row a source: source, source_size, target, full, threshold and ``n``, its rows.
 
     A document is taken ``full`` times and once more if its hash lies below ``threshold``. Weights go to the
     sources in code-point order, a null source last, repeating. Rows with one doc_id share a hash and are
-    drawn together; a source without words has target 0. No row of ``docs`` comes to the driver.
+    drawn together; a source without words has target 0 and an empty table gives no rows. Any number of sources is
+    planned in tables, neither documents nor sources come to the driver; ``max_sources`` refuses more than a caller wants.
     """
-    rows = staged(docs.select("source", word_count(F.col("text")).alias("size"), mix_hash(F.col("doc_id")).alias("h")), "mix-sizes")
-    found = [tuple(r) for r in rows.groupBy("source").agg(F.sum("size")).limit(max_sources + 1).collect()]
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources; raise max_sources or group them")
-    found.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    sizes = [x[1] for x in found]
-    aims = targets(sizes, [weights[k % len(weights)] for k in range(len(found))], max_repeat)
-    full = [int(aim // size) if size else 0 for aim, size in zip(aims, sizes)]
-    edge = [(x[0], 0, aim - n * x[1]) for x, aim, n in zip(found, aims, full)]
-    ends: dict[str | None, int] = {}
+    rows = staged(docs.select("source", _key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), mix_hash(F.col("doc_id")).alias("h")), "mix-sizes")
+    total = max(rows.count(), 1)
+    sources = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    if max_sources is not None and sources.limit(max_sources + 1).count() > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    pick = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    sources = staged(_ranked(staged(sources, "mix-sources")).withColumn("weight", pick), "mix-ranked")
+    share = F.col("weight") * F.lit(_rate(sources, max_repeat))
+    most = max_repeat * F.col("source_size")
+    aims = sources.withColumn("target", F.when(F.col("weight") <= 0, 0.0).when(share > most, most.cast("double")).otherwise(share.cast("double")))
+    aims = aims.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    plan = staged(aims, "mix-aims")
+    rows = rows.select("key", "size", "h")
+    edge = plan.select("key", "n", F.lit(0).cast("long").alias("prefix"), (F.col("target") - F.col("full") * F.col("source_size")).alias("budget"))
+    ends = []
     for level in range(LEVELS):
-        met = _boundary(rows, edge, level) if edge else []
-        inside = {x[0] for x in met}
+        met = staged(_boundary(rows, edge, level, total), "mix-boundary")
         # a budget that no bucket exceeds takes all of what is refined
-        ends |= {s: (p + 1) << (HASH_BITS - LEVEL_BITS * level) for s, p, _ in edge if s not in inside}
+        whole = edge.join(met.select("key"), "key", "left_anti")
+        ends.append(whole.select("key", F.shiftleft(F.col("prefix") + 1, HASH_BITS - LEVEL_BITS * level).alias("threshold")))
         edge = met
-    ends |= {s: cell for s, cell, _ in edge}
-    plan = [(x[0], size, aim, n, ends[x[0]]) for x, size, aim, n in zip(found, sizes, aims, full)]
-    return docs.sparkSession.createDataFrame(plan, "source string, source_size long, target double, full long, threshold long")
+    ends.append(edge.select("key", F.col("prefix").alias("threshold")))
+    threshold = ends[0]
+    for e in ends[1:]:
+        threshold = threshold.unionByName(e)
+    return staged(plan.join(threshold, "key").select("source", "source_size", "target", "full", "threshold", "n"), "mix-plan")
+
+
+def _taken(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``row`` (all columns) of every document with source_size, target and ``copies``. Only rows of sources that are
+    neither hot nor in a small plan are shuffled."""
+    side = plan.select(_key(F.col("source")).alias("key"), "source_size", "target", "full", "threshold", "n")
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", _key(F.col("row.source")))
+    joined = join_groups(rows, side, ["key"], "n", max(plan.agg(F.sum("n")).first()[0] or 0, 1))
+    more = F.when(mix_hash(F.col("row.doc_id")) < F.col("threshold"), 1).otherwise(0)
+    return joined.select("row", "source_size", "target", (F.col("full") + more).alias("copies"))
 
 
 def with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """``docs`` with source_size, target and ``copies``, the times the mix takes the document. No shuffle."""
-    side = F.broadcast(plan.select(F.col("source").alias("__s"), "source_size", "target", "full", "threshold"))
-    joined = docs.join(side, docs["source"].eqNullSafe(F.col("__s")))
-    more = F.when(mix_hash(F.col("doc_id")) < F.col("threshold"), 1).otherwise(0)
-    return joined.withColumn("copies", F.col("full") + more).drop("__s", "full", "threshold")
+    """``docs`` with source_size, target and ``copies``, the times the mix takes the document; columns of these names give way."""
+    added = ("source_size", "target", "copies")
+    return _taken(docs, plan).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in added), *added)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
-    taken = with_copies(docs, mixture(docs, weights, max_repeat)).filter("copies > 0")
-    return taken.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``, whatever their names."""
+    taken = _taken(docs, mixture(docs, weights, max_repeat)).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

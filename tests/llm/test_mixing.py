@@ -93,5 +93,21 @@ def test_source_limit(make):
         M.mixture(make([(1, "a", "x"), (2, "b", "y")]), max_sources=1)
 
 
+def test_many_sources_over_several_ranges(make, monkeypatch):
+    monkeypatch.setattr(M, "RANKED", 7)
+    rows = [(k, "w " * (k % 13 + (900 if k % 60 == 7 else 0)), None if k % 60 == 59 else f"s{k % 60}é" if k % 2 else f"S{k % 60}") for k in range(400)]
+    assert got(make(rows)) == brute(rows)
+
+
+def test_columns_of_any_name(spark):
+    ddl = "doc_id long, text string, source string, target string, full int, threshold int, source_size string, copies string, key string, row int, n int, h int"
+    docs = spark.createDataFrame([(k, "w " * (k % 5 + 1), f"s{k % 4}", "t", 1, 2, "z", "c", "k", 3, 4, 5) for k in range(80)], ddl)
+    mixed = M.mix(docs)
+    plain = docs.select("doc_id", "text", "source")
+    assert mixed.columns == docs.columns
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in M.mix(plain).collect())
+    assert {tuple(r)[3:] for r in mixed.collect()} == {("t", 1, 2, "z", "c", "k", 3, 4, 5)}
+
+
 def test_query_equals_its_sql(spark):
     same(spark, "/root/testdata/sf0.001", QUERIES["op5_source_mix"], SQL["op5_source_mix"])
