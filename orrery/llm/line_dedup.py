@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, join_groups, staged
 
 #: Share of a host's pages above which a line is boilerplate, and the pages that must carry it at least.
 RATIO, MIN_PAGES = 0.05, 3
-#: Boilerplate tables up to so many lines (8 bytes each) are broadcast; beyond that hosts are joined by a shuffle.
+#: Boilerplate tables up to so many lines (8 bytes each) are broadcast; beyond that hosts are joined by a shuffle, but for
+#: the hot ones, whose lines are broadcast.
 MAX_BROADCAST_LINES = 1_000_000
 
 
@@ -35,28 +36,38 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
     return sized.filter(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "line")
 
 
-def dedup_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source") -> DataFrame:
-    """``docs`` without boilerplate lines, plus ``n_lines`` (before) and ``n_dropped``.
+def _host(host: Column) -> Column:
+    """A host as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit(""))
+
+
+def dedup_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", counts: bool = True) -> DataFrame:
+    """``docs`` without boilerplate lines, plus ``n_lines`` (before) and ``n_dropped`` unless ``counts`` is false.
 
     Texts without such a line come back unchanged, null texts stay null with 0 lines, and a null host is a host of
-    its own. The texts are never shuffled while the boilerplate table is small enough to broadcast. Rows are
-    neither added nor lost; extra columns are kept.
+    its own. Rows, repeated ones too, are neither added nor lost; an empty table gives none. Extra columns are kept,
+    whatever their names, but for those called as the two counts. No text is shuffled while the boilerplate table is
+    small enough to broadcast; beyond that only texts of hosts that aren't hot are, by host.
     """
     found = staged(boilerplate(docs, ratio, min_pages, host_col), "lines-boilerplate")
-    by_host = found.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__drop"))
+    by_host = found.groupBy(_host(F.col("host")).alias("__host")).agg(F.collect_set("line").alias("__drop"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row")).withColumn("__host", _host(F.col("__row")[host_col]))
     if found.count() <= MAX_BROADCAST_LINES:
-        by_host = F.broadcast(by_host)
-    joined = docs.join(by_host, F.col(host_col).eqNullSafe(F.col("__host")), "left")
-    joined = joined.withColumn("__lines", F.split("text", "\n"))
+        joined = rows.join(F.broadcast(by_host), "__host", "left")
+    else:
+        sizes = rows.groupBy("__host").agg(F.count("*").alias("__n"))
+        joined = join_groups(rows, staged(by_host.join(sizes, "__host"), "lines-hosts"), ["__host"], "__n", max(rows.count(), 1), "left")
+    joined = joined.withColumn("__lines", F.split("__row.text", "\n"))
     kept = F.filter("__lines", lambda x: ~F.array_contains("__drop", _line_hash(x)) | (F.trim(x) == ""))
     joined = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(kept))
     count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    return joined.withColumns(
-        {"text": F.array_join("__kept", "\n"), "n_lines": count("__lines"), "n_dropped": count("__lines") - count("__kept")}
-    ).select(*docs.columns, "n_lines", "n_dropped")
+    numbers = {"n_lines": count("__lines"), "n_dropped": count("__lines") - count("__kept")} if counts else {}
+    columns = [F.array_join("__kept", "\n").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns if c not in numbers]
+    return joined.select(*columns, *(v.alias(k) for k, v in numbers.items()))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dedup_lines`` of all documents."""
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 

@@ -50,6 +50,15 @@ def test_large_tables_are_joined_without_broadcast(make, monkeypatch):
     assert got(L.dedup_lines(make(rows))) == brute(rows)
 
 
+def test_columns_of_any_name(spark):
+    ddl = "doc_id long, text string, source string, n_lines string, n_dropped int, __lines int, __host string, __drop int, host int"
+    rows = [(k, f"menu\nbody {k}", "hot") for k in range(60)]
+    docs = spark.createDataFrame([(*r, "x", 1, 2, "h", 3, 4) for r in rows], ddl)
+    with_counts, plain = L.dedup_lines(docs), L.dedup_lines(docs, counts=False)
+    assert got(with_counts) == brute(rows) and sorted(with_counts.columns) == sorted(docs.columns)
+    assert plain.columns == docs.columns and {(r.n_lines, r.n_dropped, r.host) for r in plain.collect()} == {("x", 1, 4)}
+
+
 def test_empty_table(make):
     assert L.dedup_lines(make([])).count() == 0
 
