@@ -54,5 +54,16 @@ def test_shuffled_cells_give_the_same(make, monkeypatch):
     assert got(X.exact_dedup(make(rows))) == brute(rows)
 
 
+def test_a_hot_text_beyond_the_broadcast_bound(make, monkeypatch):
+    rows = [(k, "hot") for k in range(500)] + [(k, f"text {k // 2}") for k in range(500, 1500)]
+    monkeypatch.setattr(X, "MAX_BROADCAST_BITS", 1)
+    assert got(X.exact_dedup(make(rows))) == brute(rows)
+
+
+def test_a_null_id_comes_last(make):
+    found = {r.doc_id: (r.keep_id, r.kept) for r in X.exact_dedup(make([(None, "a b"), (5, "a b"), (7, "a b"), (None, "alone")])).collect() if r.group_size > 1}
+    assert found == {None: (5, False), 5: (5, True), 7: (5, False)}
+
+
 def test_query_equals_its_sql(spark):
     same(spark, "/root/testdata/sf0.001", QUERIES["op9_exact_dedup"], SQL["op9_exact_dedup"])
