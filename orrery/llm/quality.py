@@ -1,9 +1,10 @@
 """Quality classifier by co-training.
 
-Two logistic models see a document from two sides: its text (words, word shapes and repetition) and its page
-(host, language, size, layout and character statistics). They learn from a bounded sample of labelled documents;
-over some rounds each one labels the documents of a bounded pool it is sure about for the other one. Both are
-calibrated on labelled documents kept out of training, combined, and score every document.
+Two logistic models see a document from two sides: its text (words, word shapes and repetition) and the page's metadata
+(host, language, recorded size and their pairs), of which neither sees the other's. They learn from a bounded sample of
+labelled documents; in each round both label the documents they are sure about for each other, out of a fresh draw from
+all documents. Both are calibrated on labelled documents kept out of training, so is their weighted sum, and every
+document is scored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import Memo, documents, map_arrow
 
-#: Documented bounds of what the fit sees: labelled documents and the pool that the views label for each other.
+#: Documented bounds of what the fit sees: labelled documents, and the documents drawn in a round for the views to label
+#: for each other. Each round draws others from all documents.
 MAX_LABELLED, MAX_POOL = 5000, 5000
 ROUNDS, SURE = 3, 0.95
 #: Share of pool documents that one view may label for the other in a round.
@@ -34,10 +36,8 @@ MEMO = 150_000
 
 _CLASSES = bytes(0x58 if 65 <= c <= 90 else 0x78 if 97 <= c <= 122 or c >= 128 else 0x39 if 48 <= c <= 57 else c for c in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
-#: Character classes of the page view: other, lower, upper, digit, space, line feed, mark.
-_KIND = np.array([1 if 97 <= c <= 122 or c >= 128 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c == 32 else 5 if c == 10 else 6 if 33 <= c <= 126 else 0 for c in range(256)], np.uint8)
-STATS, BINS, HOSTS, LANGS = 12, 16, 256, 64
-PAGE_SIZE = STATS * BINS + HOSTS + LANGS
+HOSTS, LANGS, SIZES, PAIRS = 1024, 64, 40, 2048
+PAGE_SIZE = HOSTS + LANGS + SIZES + 2 * PAIRS
 
 
 def _bucket(value: bytes, size: int) -> int:
@@ -75,18 +75,16 @@ def text_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return at, values / (np.sqrt((values * values).sum()) or 1.0)
 
 
-def page_features(text: bytes, words: list[bytes], source: str | None, lang: str | None) -> np.ndarray:
-    """Numbers of the page view's features, each of value one: binned statistics, host and language."""
-    kinds = np.bincount(_KIND[np.frombuffer(text, np.uint8)], minlength=7)
-    size, n, lines = max(len(text), 1), max(len(words), 1), int(kinds[5]) + 1
-    shares = [kinds[k] / size for k in (1, 2, 3, 4, 6)]
-    stats = [
-        np.log2(size + 1) / 20, np.log2(lines) / 12, np.log2(size / lines + 1) / 16, (size / n) / 20,
-        len(set(words)) / n, shares[0], 4 * shares[1], 8 * shares[2], 3 * shares[3], 4 * shares[4], np.log2(n + 1) / 16, shares[1] / (shares[0] + shares[1] + 1e-9),
-    ]
-    bins = np.clip((np.array(stats) * BINS).astype(np.int64), 0, BINS - 1) + np.arange(STATS) * BINS
-    host = STATS * BINS + _bucket((source or "").encode(), HOSTS)
-    return np.append(bins, [host, STATS * BINS + HOSTS + _bucket((lang or "").encode(), LANGS)])
+def page_features(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    """Numbers of the page view's features, each of value one: host, language, recorded size in steps of half a power of two,
+    host with language and language with size. Nulls are values of their own."""
+    host, tongue = b"-" if source is None else b"=" + source.encode(), b"-" if lang is None else b"=" + lang.encode()
+    size = 0 if n_chars is None else min(SIZES - 1, 1 + int(2 * np.log2(max(n_chars, 0) + 1)))
+    at, out = 0, []
+    for value, width in ((host, HOSTS), (tongue, LANGS), (None, SIZES), (host + b" " + tongue, PAIRS), (tongue + b" %d" % size, PAIRS)):
+        out.append(at + (size if value is None else _bucket(value, width)))
+        at += width
+    return np.array(out)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -148,38 +146,61 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
+def combination(zt: np.ndarray, zp: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
+    """Weights of both calibrated log odds and an offset that give a calibrated sum (Newton steps). They are drawn towards
+    (1, 1, -prior), which is right where the views are independent given the class."""
+    x, start = np.stack([zt, zp, np.ones_like(zt)]), np.array([1.0, 1.0, -prior])
+    pos, neg = y.sum(), len(y) - y.sum()
+    aim = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+
+    def loss(w: np.ndarray) -> float:
+        t = w @ x
+        return float((np.logaddexp(0, t) - aim * t).sum() + 0.5 * ((w - start) ** 2).sum())
+
+    w, now = start, loss(start)
+    for _ in range(100):
+        p = sigmoid(w @ x)
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + np.eye(3), x @ (p - aim) + (w - start))
+        size = 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-8:
+            size /= 2
+        w, before, now = w - size * step, now, then
+        if before - now < 1e-9:
+            break
+    return w
+
+
 @dataclass
 class Model:
-    """Weights and calibrations of both views; ``prior`` is the log odds of the labels."""
+    """Weights and calibrations of both views, and the weights of their log odds in the sum."""
 
     text: np.ndarray
     page: np.ndarray
     text_scale: tuple[float, float]
     page_scale: tuple[float, float]
-    prior: float
-
-    def score(self, text: bytes, source: str | None, lang: str | None) -> tuple[float, float, float]:
-        """Calibrated probabilities of good quality: by the text, by the page, combined.
+    both: np.ndarray
 
-        Given the class the views count as independent, so log odds add up and the prior counts once.
-        """
-        words = text.split()
-        at, value = text_features(words)
+    def score(self, text: bytes, source: str | None, lang: str | None, n_chars: int | None) -> tuple[float, float, float]:
+        """Calibrated probabilities of good quality: by the text, by the page, combined."""
+        at, value = text_features(text.split())
         zt = self.text_scale[0] * ((value * self.text[at]).sum() + self.text[-1]) + self.text_scale[1]
-        zp = self.page_scale[0] * (self.page[page_features(text, words, source, lang)].sum() + self.page[-1]) + self.page_scale[1]
-        p = sigmoid(np.array([zt, zp, zt + zp - self.prior]))
+        zp = self.page_scale[0] * (self.page[page_features(source, lang, n_chars)].sum() + self.page[-1]) + self.page_scale[1]
+        p = sigmoid(np.array([zt, zp, self.both @ np.array([zt, zp, 1.0])]))
         return float(p[0]), float(p[1]), float(p[2])
 
 
-def co_train(text: Rows, page: Rows, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``y``: 1, 0, or -1 without a label. ``held``: labelled rows that only calibrate."""
+def co_train(text: Rows, page: Rows, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, draw: np.ndarray | None = None) -> Model:
+    """``y``: 1, 0, or -1 without a label. ``held``: labelled rows that only calibrate. ``draw``: the round for which a row
+    without a label is drawn; without it all of them are in every round."""
     known = (y >= 0) & ~held
     prior = float(np.clip(y[y >= 0].mean(), 1e-3, 1 - 1e-3))
     labels = {v: (np.where(known, y, 0).astype(float), known.astype(float)) for v in ("text", "page")}
     views = {"text": text, "page": page}
     weights = {v: views[v].fit(*labels[v]) for v in views}
-    pool = np.flatnonzero(y < 0)
-    for _ in range(rounds if len(pool) else 0):
+    for k in range(rounds):
+        pool = np.flatnonzero((y < 0) & (draw == k if draw is not None else True))
+        if not len(pool):
+            continue
         sure = {}
         for v in views:
             a, b = platt(views[v].dot(weights[v])[held], y[held]) if held.any() else (1.0, 0.0)
@@ -195,29 +216,33 @@ def co_train(text: Rows, page: Rows, y: np.ndarray, held: np.ndarray, rounds: in
                 target[rows], weight[rows] = value, PSEUDO_WEIGHT
         weights = {v: views[v].fit(*labels[v], weights[v]) for v in views}
     fold = held if held.any() else known
-    scales = {v: platt(views[v].dot(weights[v])[fold], y[fold]) for v in views}
-    return Model(weights["text"], weights["page"], scales["text"], scales["page"], float(np.log(prior / (1 - prior))))
+    z, scales = {}, {}
+    for v in views:
+        scales[v] = platt(views[v].dot(weights[v])[fold], y[fold])
+        z[v] = scales[v][0] * views[v].dot(weights[v])[fold] + scales[v][1]
+    both = combination(z["text"], z["page"], y[fold], float(np.log(prior / (1 - prior))))
+    return Model(weights["text"], weights["page"], scales["text"], scales["page"], both)
 
 
-SAMPLE = "doc_id long, y int, at array<int>, value array<float>, page array<int>"
+SAMPLE = "doc_id long, y int, draw int, at array<int>, value array<float>, page array<int>"
+#: The columns that both views see.
+SEEN = ("text", "lang", "source", "n_chars")
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         _features.use()
         rows = []
-        for doc_id, text, lang, source, y in zip(*(c.to_pylist() for c in b.columns)):
-            raw = (text or "").encode()
-            words = raw.split()
-            at, value = text_features(words)
-            rows.append((doc_id, y, at.astype(np.int32), value.astype(np.float32), page_features(raw, words, source, lang).astype(np.int32)))
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], ["doc_id", "y", "at", "value", "page"])
+        for doc_id, text, lang, source, n_chars, y, draw in zip(*(c.to_pylist() for c in b.columns)):
+            at, value = text_features((text or "").encode().split())
+            rows.append((doc_id, y, draw, at.astype(np.int32), value.astype(np.float32), page_features(source, lang, n_chars).astype(np.int32)))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], ["doc_id", "y", "draw", "at", "value", "page"])
     _end_task()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model | None:
-    """Train on samples drawn by a hash of the id, about ``max_labelled`` and ``max_pool`` documents at most.
+    """Train on samples drawn by a hash of the id: about ``max_labelled`` documents, and ``max_pool`` more in each round.
 
     Null labels are ignored; a document labelled more than once takes the rounded mean. Without labels of both
     classes there is no model (None).
@@ -227,10 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     spread = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_003))
     cut = lambda most, n: int(1_000_003 * min(1.0, most / max(n, 1)))
     drawn = F.broadcast(known.filter(spread < cut(max_labelled, n_labels)).withColumnRenamed("doc_id", "__id"))
-    joined = docs.select("doc_id", "text", "lang", "source").join(drawn, F.col("doc_id") == F.col("__id"), "left")
+    joined = docs.select("doc_id", *SEEN).join(drawn, F.col("doc_id") == F.col("__id"), "left")
     y = F.coalesce(F.col("__y"), F.lit(-1))
-    pool = spread >= 1_000_003 - cut(max_pool, n_docs)
-    rows = joined.filter(F.col("__y").isNotNull() | pool).select("doc_id", "text", "lang", "source", y.alias("y"))
+    pool = spread >= 1_000_003 - cut(max_pool * ROUNDS, n_docs)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(ROUNDS)).cast("int")
+    rows = joined.filter(F.col("__y").isNotNull() | pool).select("doc_id", *SEEN, y.alias("y"), draw.alias("draw"))
     table = map_arrow(rows, _sampled, SAMPLE).toArrow()
     order = np.lexsort((np.asarray(table["y"]), np.asarray(table["doc_id"].fill_null(-1))))
     table = table.take(pa.array(order)).combine_chunks()
@@ -248,21 +274,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     held = np.zeros(len(y), bool)
     for label in (0, 1):
         held[np.flatnonzero(y == label)[::5]] = (y == label).sum() >= 10
-    return co_train(sparse("at", "value", TEXT_SIZE), sparse("page", None, PAGE_SIZE), y, held)
+    draws = np.asarray(table["draw"]) if n_docs > max_pool * ROUNDS else None  # a small corpus is in every round
+    return co_train(sparse("at", "value", TEXT_SIZE), sparse("page", None, PAGE_SIZE), y, held, draw=draws)
 
 
 def _scores(model: Model | None, b: pa.RecordBatch) -> list[tuple[float, float, float]]:
     if model is None:
         return [(1.0, 1.0, 1.0)] * b.num_rows
     _features.use()
-    texts, sources, langs = b.column("text"), b.column("source").to_pylist(), b.column("lang").to_pylist()
-    return [model.score((t.as_py() or "").encode(), s, g) for t, s, g in zip(texts, sources, langs)]
+    rest = (b.column(c).to_pylist() for c in ("source", "lang", "n_chars"))
+    return [model.score((t.as_py() or "").encode(), *r) for t, *r in zip(b.column("text"), *rest)]
 
 
 def score(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """A row a document: doc_id, p_text, p_page, score, kept. Null texts are scored as empty ones.
+    """A row a document: doc_id, p_text, p_page, score, kept. Null texts are scored as empty ones, whole texts however long.
 
-    Without a model (no labels of both classes) every document scores 1 and is kept.
+    Without a model (no labels of both classes) every document scores 1 and is kept. Repeated rows are scored each and
+    alike, a score of exactly ``least`` is kept; an empty table gives no rows and other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,12 +299,13 @@ def score(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= least)], ["doc_id", "p_text", "p_page", "score", "kept"])
         _end_task()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *SEEN)
     return map_arrow(rows, run, "doc_id long, p_text double, p_page double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the model doesn't reject, with all their columns."""
+    """The rows of ``docs`` that the model doesn't reject, with all their columns, whatever their names; repeated rows are
+    all kept or all dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,5 +316,6 @@ def keep_good(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataF
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score`` of all documents by a model fit on the table of labels."""
     docs = documents(spark, sf_dir)
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

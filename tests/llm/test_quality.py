@@ -81,3 +81,40 @@ def test_query_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = Q.op1_quality(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
     assert (got.kept == (got.quality == 1)).mean() > 0.97
+
+
+def test_the_page_view_sees_metadata_alone(spark, make):
+    rows = corpus(3, 200)
+    labels = spark.createDataFrame([(k, y, 0) for k, _, _, y in rows if k % 3 == 0], LABELS)
+    docs = make([r[:3] for r in rows])
+    model = Q.fit(docs, labels)
+    at = Q.page_features("s", "en", 100)
+    assert len(set(at.tolist())) == len(at) and at.max() < Q.PAGE_SIZE
+    assert {tuple(Q.page_features(*x)) for x in ((None, None, None), ("", None, None), ("s", "en", 0), ("s", "en", -5), ("s", "en", 10**15))}
+    for text in (b"", b"one text", b"ANOTHER!! ###"):
+        assert model.score(text, "s", "en", 100)[1] == model.score(b"x", "s", "en", 100)[1]
+
+
+def test_combined_scores_are_calibrated_where_views_depend_on_each_other():
+    rng = np.random.default_rng(4)
+    y = (rng.random(6000) < 0.6).astype(float)
+    z = 2 * y - 1 + rng.normal(size=6000) * 1.2
+    a, b = Q.platt(z, y)
+    same = a * z + b  # both views say the same, so their sum would count it twice
+    w = Q.combination(same, same, y, float(np.log(0.6 / 0.4)))
+    p = Q.sigmoid(w[0] * same + w[1] * same + w[2])
+    for low in (0.1, 0.3, 0.5, 0.7):
+        there = (p >= low) & (p < low + 0.2)
+        assert abs(p[there].mean() - y[there].mean()) < 0.05
+
+
+def test_each_round_sees_its_own_draw():
+    rng = np.random.default_rng(5)
+    n = 600
+    y = (rng.random(n) < 0.5).astype(int)
+    view = Q.Rows(np.arange(n), y + 2 * rng.integers(0, 10, n), np.ones(n), n, 20)
+    known = np.where(np.arange(n) < 100, y, -1)
+    held = np.arange(n) < 30
+    models = [Q.co_train(view, view, known, held, 2, draw) for draw in (None, np.arange(n) % 2, np.full(n, 9))]
+    assert np.abs(models[1].text - models[2].text).max() > 0  # nothing is drawn in round 9
+    assert np.mean((view.dot(models[1].text) > 0) == y) > 0.95
