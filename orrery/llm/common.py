@@ -67,17 +67,17 @@ def documents(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataF
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``groups`` (one row per key, ``size`` rows of ``rows`` each) whatever a group's size.
 
-    A group with more than ``total / HOT_PARTS`` rows is hot; there are at most HOT_PARTS of those by
-    arithmetic, so they are broadcast and their rows stay where they are. All other groups are small, so the
-    shuffled join has no skewed key. Null keys never match.
+    A group with more than ``total / HOT_PARTS`` rows is hot; there are at most HOT_PARTS of those by arithmetic, so
+    their keys' hashes go into a filter, they are broadcast and their rows stay where they are. All other groups are
+    small, so the shuffled join has no skewed key. Null keys never match.
     """
-    limit = max(total // HOT_PARTS, 1)
-    hot = F.broadcast(groups.filter(F.col(size) > limit))
-    cold = groups.filter(F.col(size) <= limit)
-    flags = hot.select(*keys).withColumn("__hot", F.lit(True))
-    marked = rows.join(F.broadcast(flags), keys, "left")
-    in_hot = marked.filter("__hot").drop("__hot").join(hot, keys, "inner")
-    in_cold = marked.filter("__hot is null").drop("__hot").join(cold, keys, how)
+    key = F.xxhash64(*keys)
+    hashes = [r.h for r in groups.filter(F.col(size) > max(total // HOT_PARTS, 1)).select(key.alias("h")).collect()]
+    if not hashes:
+        return rows.join(groups, keys, how)
+    hot = key.isin(hashes)  # another group with the hash of a hot one is broadcast too
+    in_hot = rows.filter(hot).join(F.broadcast(groups.filter(hot)), keys, how)
+    in_cold = rows.filter(~hot).join(groups.filter(~hot), keys, how)
     return in_hot.unionByName(in_cold)
 
 
