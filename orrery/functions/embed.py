@@ -8,16 +8,21 @@ any function from an iterator of batches to vectors, loaded once a worker.
 from __future__ import annotations
 
 import hashlib
+import importlib.util
+import json
 import math
 import re
+import urllib.request
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from ..schema import DimensionMismatchError, EmbeddingError
 from ..session import map_arrow
 from .text import tokenize
 from .vectors import normalize
@@ -63,6 +68,94 @@ def hashing_blake2b(df: DataFrame, text_col: str, out_col: str = "vector", dim:
     return embed(df, text_col, lambda texts: [hashed_vector(t, dim) for t in texts], out_col)
 
 
+def embed_with(df: DataFrame, text_col: str, factory: Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]], out_col: str = "vector", batch: int = 128) -> DataFrame:
+    """As ``embed``, with a function that ``factory`` makes once a task (a model, a client), in calls of ``batch`` texts."""
+    made: list[Callable] = []
+
+    def function(texts: Sequence[str]) -> list[Sequence[float]]:
+        if not made:
+            made.append(factory())
+        return [v for at in range(0, len(texts), batch) for v in made[0](texts[at : at + batch])]
+
+    return embed(df, text_col, function, out_col)
+
+
+def _posted(url: str, body: dict, headers: dict[str, str], timeout: float) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return json.loads(answer.read())
+
+
+@dataclass(frozen=True)
+class LocalModel:
+    """Vectors of a local ONNX model by the fastembed package, where it is installed on the workers."""
+
+    model: str = "BAAI/bge-small-en-v1.5"
+    query: bool = False
+
+    def __call__(self) -> Callable[[Sequence[str]], list]:
+        try:
+            from fastembed import TextEmbedding
+        except ImportError as missing:
+            raise EmbeddingError("local models need the fastembed package") from missing
+        model = TextEmbedding(self.model)
+        run = model.query_embed if self.query else model.embed
+        return lambda texts: [v.tolist() for v in run(list(texts))]
+
+
+@dataclass(frozen=True)
+class HttpModel:
+    """Vectors of a server that takes lists of texts: ``style`` ollama (/api/embed), openai (/v1/embeddings) or azure.
+
+    ``prefix`` goes before every text (models that tell queries from documents); an empty text is sent as a blank.
+    Vectors come back in the order of the texts whatever the order of the answer, and ``dim`` is checked if given.
+    """
+
+    model: str
+    host: str = "http://localhost:11434"
+    style: str = "ollama"
+    prefix: str = ""
+    dim: int | None = None
+    key: str | None = None
+    api_version: str = "2024-02-01"
+    timeout: float = 60.0
+
+    @property
+    def id(self) -> str:
+        """What a cache keeps these vectors under."""
+        return f"{self.style}:{self.model}:{self.prefix}:{self.dim or ''}"
+
+    def __call__(self) -> Callable[[Sequence[str]], list]:
+        if self.style not in ("ollama", "openai", "azure"):
+            raise EmbeddingError(f"unknown style {self.style!r}")
+        return self._embed
+
+    def _embed(self, texts: Sequence[str]) -> list[list[float]]:
+        said = [self.prefix + t or " " for t in texts]
+        body: dict = {"model": self.model, "input": said}
+        if self.style != "ollama" and self.dim:
+            body["dimensions"] = self.dim
+        path = {"ollama": "/api/embed", "openai": "/v1/embeddings", "azure": f"/openai/deployments/{self.model}/embeddings?api-version={self.api_version}"}[self.style]
+        headers = {} if self.key is None else {"api-key": self.key} if self.style == "azure" else {"Authorization": f"Bearer {self.key}"}
+        try:
+            answer = _posted(self.host.rstrip("/") + path, body, headers, self.timeout)
+        except OSError as failed:
+            raise EmbeddingError(f"{self.host}: {failed}") from failed
+        vectors = answer.get("embeddings") if self.style == "ollama" else [x["embedding"] for x in sorted(answer.get("data") or [], key=lambda x: x["index"])]
+        if not vectors or len(vectors) != len(texts):
+            raise EmbeddingError(f"{len(vectors or [])} vectors for {len(texts)} texts")
+        if self.dim and any(len(v) != self.dim for v in vectors):
+            raise DimensionMismatchError(f"expected {self.dim} dimensions, got {sorted({len(v) for v in vectors})}")
+        return vectors
+
+
+def default_embedder(text_col: str = "text", out_col: str = "vector") -> Callable[[DataFrame], DataFrame]:
+    """The local model where its package is installed, or else feature hashing."""
+    if importlib.util.find_spec("fastembed") is not None:
+        return lambda df: embed_with(df, text_col, LocalModel(), out_col)
+    return lambda df: hashing_blake2b(df, text_col, out_col)
+
+
 def features(text: Column) -> Column:
     """Words, word pairs and character 4-grams of a text."""
     tokens = tokenize(text)
@@ -83,18 +176,45 @@ def hashing_native(df: DataFrame, id_col: str, text_col: str, dim: int = DIM) ->
     return cells.withColumn("weight", F.when(length == 0, 0.0).otherwise(F.col("w") / length)).filter("abs(weight) > 1e-12").select("id", "bucket", "weight")
 
 
+def dense(sparse: DataFrame, dim: int = DIM) -> DataFrame:
+    """id, vector of rows (id, bucket, weight) as ``hashing_native`` gives them; texts without features have no row."""
+    held = sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))  # dim entries at most
+    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0))).alias("vector"))
+
+
 def cache_misses(texts: DataFrame, cache: DataFrame, embedder: str, text_col: str = "text") -> DataFrame:
     """key, text of the distinct texts that a persisted cache (key) lacks; the key covers the embedder's name."""
     key = F.sha2(F.concat_ws("\u0000", F.lit(embedder), F.col(text_col)), 256)
     return texts.select(key.alias("key"), F.col(text_col).alias("text")).distinct().join(cache.select("key"), "key", "left_anti")
 
 
-def embed_cached(df: DataFrame, cache: DataFrame, embedder: str, function: Callable, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(``df`` with vectors, the cache with what was missing). Only missing distinct texts are embedded."""
+def embed_cached(df: DataFrame, cache: DataFrame, embedder: str, function: Callable, text_col: str = "text", max_entries: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with vectors, the cache with what was missing). Only missing distinct texts are embedded.
+
+    ``max_entries`` bounds the cache that comes back: beyond it the older half goes, in generations (column ``age``,
+    written back with the cache; what was just added has age 0).
+    """
     fresh = embed(cache_misses(df, cache, embedder, text_col), "text", function).select("key", "vector")
     full = cache.select("key", "vector").unionByName(fresh)
     key = F.sha2(F.concat_ws("\u0000", F.lit(embedder), F.col(text_col)), 256)
-    return df.withColumn("__key", key).join(full.withColumnRenamed("key", "__key"), "__key", "left").drop("__key"), full
+    out = df.withColumn("__key", key).join(full.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    return out, full if max_entries is None else evicted(cache, fresh, max_entries)
+
+
+def evicted(cache: DataFrame, fresh: DataFrame, max_entries: int) -> DataFrame:
+    """key, vector, age of a cache with fresh entries; with more than ``max_entries`` the oldest go until half as many are left."""
+    old = F.col("age") + 1 if "age" in cache.columns else F.lit(1)
+    both = cache.select("key", "vector", old.cast("int").alias("age")).unionByName(fresh.select("key", "vector", F.lit(0).alias("age")))
+    if both.count() <= max_entries:
+        return both
+    sizes = sorted((r.age, r.n) for r in both.groupBy("age").agg(F.count("*").alias("n")).collect())  # a row a generation
+    room, last = max_entries // 2, -1
+    for age, n in sizes:
+        if n > room:
+            break
+        room, last = room - n, age
+    # of the generation on the edge the entries with the smallest keys stay
+    return both.filter(F.col("age") <= last).unionByName(both.filter(F.col("age") > last).orderBy("age", "key").limit(room))
 
 
 def normalized(df: DataFrame, vector_col: str = "vector") -> DataFrame:

@@ -10,18 +10,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DimensionMismatchError
-from ..session import map_arrow
+from ..session import map_arrow, ship
 
 SCORE_DIGITS = 9
 METRICS = ("cosine", "ip", "l2", "manhattan")
-#: Queries scored in one pass over the index; more are done in further passes.
+#: Queries that are sent to every worker as one matrix; more are dealt into blocks of as many, against blocks of the index.
 MAX_QUERIES = 4096
-#: Rows of a block in a self-search.
-BLOCK = 2048
+#: Rows of a block in a self-search, and of the index in a search with many queries.
+BLOCK, INDEX_BLOCK = 2048, 16_384
 
 
 def doubles(v: Column) -> Column:
@@ -74,41 +75,107 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().cast(pa.float64())).reshape(len(column), -1)
 
 
+def best_rows(s: np.ndarray, k: int) -> np.ndarray:
+    """For each column the rows of its k highest scores, best first; among equal ones the lower row."""
+    if len(s) > 4 * k:
+        part = np.argpartition(-s, k - 1, axis=0)[:k]
+        least = np.take_along_axis(s, part, 0).min(axis=0)
+        sure = (s >= least).sum(axis=0) == k  # no tie at the edge
+        part.sort(axis=0)
+        order = np.argsort(-np.take_along_axis(s, part, 0), axis=0, kind="stable")
+        best = np.take_along_axis(part, order, 0)
+        if not sure.all():
+            best[:, ~sure] = np.argsort(-s[:, ~sure], axis=0, kind="stable")[:k]
+        return best
+    return np.argsort(-s, axis=0, kind="stable")[:k]
+
+
+class Best:
+    """The k best rows so far of every query; holds k rows a query, however many it sees."""
+
+    def __init__(self, matrix: np.ndarray, k: int, metric: str) -> None:
+        self.matrix, self.k, self.metric = matrix, k, metric
+        self.names: pa.Array | None = None
+        self.at = np.zeros((0, len(matrix)), np.int64)  # places in names, which are in order
+        self.score = np.zeros((0, len(matrix)))
+
+    def see(self, names: pa.Array, rows: np.ndarray) -> None:
+        if rows.shape[1] != self.matrix.shape[1]:
+            raise DimensionMismatchError(f"index has {rows.shape[1]} dimensions, queries {self.matrix.shape[1]}")
+        order = pc.sort_indices(names)
+        names, rows = names.take(order), rows[np.asarray(order)]
+        s = scores(rows, self.matrix, self.metric)
+        best = best_rows(s, self.k)
+        score = np.take_along_axis(s, best, 0)
+        if self.names is not None:
+            used, place = np.unique(best, return_inverse=True)
+            both = pa.concat_arrays([self.names, names.take(pa.array(used))])
+            order = pc.sort_indices(both)
+            rank = np.empty(len(both), np.int64)
+            rank[np.asarray(order)] = np.arange(len(both))
+            at = np.concatenate([rank[self.at], rank[len(self.names) + place.reshape(best.shape)]])
+            score = np.concatenate([self.score, score])
+            keep = np.lexsort((at, -score), axis=0)[: self.k]
+            names, best, score = both.take(order), np.take_along_axis(at, keep, 0), np.take_along_axis(score, keep, 0)
+        used, place = np.unique(best, return_inverse=True)
+        self.names, self.at, self.score = names.take(pa.array(used)), place.reshape(best.shape), score
+
+    def table(self, ids: pa.Array, id_col: str) -> pa.RecordBatch:
+        if self.names is None:
+            return pa.RecordBatch.from_arrays([ids[:0], pa.nulls(0), pa.array([], pa.float64())], ["query_id", id_col, "score"])
+        who = ids.take(pa.array(np.repeat(np.arange(len(ids)), len(self.at))))
+        return pa.RecordBatch.from_arrays([who, self.names.take(pa.array(self.at.T.ravel())), pa.array(self.score.T.ravel())], ["query_id", id_col, "score"])
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "tool_id", vector_col: str = "vector") -> DataFrame:
     """query_id, tool_id, score, rank: the k best rows of ``index`` for each row (query_id, vector) of ``queries``.
 
-    Order is score descending, id ascending. Filters belong on ``index``, where they reach the scan. The index is
-    streamed in blocks against the matrix of queries; each block passes on k rows a query at most, so what is
-    shuffled doesn't grow with the index's blocks but by k. Queries beyond MAX_QUERIES take further passes.
+    Order is score descending, id ascending. Filters belong on ``index``, where they reach the scan. Up to MAX_QUERIES
+    queries are sent to the workers as one matrix, and the index is streamed past it without a shuffle; a task keeps k
+    rows a query. More queries are dealt into blocks, as is the index, and every pair of blocks is one matrix product;
+    no query comes to the driver then.
     """
-    asked = queries.select("query_id", doubles(F.col("vector")).alias("vector")).orderBy("query_id").toArrow()
-    out: DataFrame | None = None
-    id_type = dict(index.dtypes)[id_col]
-    q_type = dict(queries.dtypes)["query_id"]
-    schema = f"query_id {q_type}, {id_col} {id_type}, score double"
-    kind = asked.schema.field("query_id").type
-    for at in range(0, max(asked.num_rows, 1), MAX_QUERIES):
-        part = asked.slice(at, MAX_QUERIES).combine_chunks()
-        ids = part["query_id"].to_pylist()
-        matrix = _matrix(part["vector"].combine_chunks()) if ids else np.zeros((0, 1))
-
-        def run(batches: Iterator[pa.RecordBatch], ids: list = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows or not ids:
-                    continue
-                rows = _matrix(b.column(1))
-                if rows.shape[1] != matrix.shape[1]:
-                    raise DimensionMismatchError(f"index has {rows.shape[1]} dimensions, queries {matrix.shape[1]}")
-                order = np.argsort(np.asarray(b.column(0)), kind="stable")
-                s = scores(rows[order], matrix, metric)
-                best = np.argsort(-s, axis=0, kind="stable")[:k]
-                names = b.column(0).take(pa.array(order[best].T.ravel()))
-                who = [q for q in ids for _ in range(best.shape[0])]
-                yield pa.RecordBatch.from_arrays([pa.array(who, kind), names, pa.array(np.take_along_axis(s, best, 0).T.ravel())], ["query_id", id_col, "score"])
-
-        hits = map_arrow(index.select(id_col, doubles(F.col(vector_col)).alias("v")), run, schema)
-        out = hits if out is None else out.unionByName(hits)
-    return ranked(out, k, id_col)
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {id_col} {dict(index.dtypes)[id_col]}, score double"
+    asked = queries.select("query_id", doubles(F.col("vector")).alias("v"))
+    rows = index.select(id_col, doubles(F.col(vector_col)).alias("v"))
+    few = asked.limit(MAX_QUERIES + 1).toArrow()
+    if few.num_rows > MAX_QUERIES:
+        return ranked(_by_blocks(rows, asked, k, metric, id_col, schema), k, id_col)
+    few = few.combine_chunks()
+    ids = few["query_id"].combine_chunks() if few.num_rows else pa.array([], few.schema.field("query_id").type)
+    matrix = _matrix(few["v"].combine_chunks()) if few.num_rows else np.zeros((0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(matrix, k, metric)
+        for b in batches:
+            if b.num_rows and len(matrix):
+                best.see(b.column(0), _matrix(b.column(1)))
+        if best.names is not None:
+            yield best.table(ids, id_col)
+
+    return ranked(map_arrow(rows, run, schema), k, id_col)
+
+
+def _by_blocks(rows: DataFrame, asked: DataFrame, k: int, metric: str, id_col: str, schema: str) -> DataFrame:
+    """The k best of every pair of a block of queries and a block of the index."""
+    parts = max(1, -(-rows.count() // INDEX_BLOCK))
+    sets = max(1, -(-asked.count() // MAX_QUERIES))
+    mine = rows.select(F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("i"), F.explode(F.expr(f"sequence(0L, {sets - 1}L)")).alias("j"), F.col(id_col).alias("id"), F.lit(None).cast(dict(asked.dtypes)["query_id"]).alias("q"), "v")
+    theirs = asked.select(F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(sets)).alias("j"), F.lit(None).cast(dict(rows.dtypes)[id_col]).alias("id"), F.col("query_id").alias("q"), "v")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        wants = group.filter(pc.is_valid(group["q"]))
+        held = group.filter(pc.is_valid(group["id"]))
+        ids = wants["q"].combine_chunks()
+        best = Best(_matrix(wants["v"].combine_chunks()) if len(ids) else np.zeros((0, 1)), k, metric)
+        if len(ids) and held.num_rows:
+            best.see(held["id"].combine_chunks(), _matrix(held["v"].combine_chunks()))
+            return pa.Table.from_batches([best.table(ids, id_col)])
+        return pa.table({"query_id": ids[:0], id_col: held["id"].combine_chunks()[:0], "score": pa.array([], pa.float64())})
+
+    ship(rows.sparkSession)
+    return mine.unionByName(theirs).groupBy("i", "j").applyInArrow(run, schema)
 
 
 def ranked(hits: DataFrame, k: int, id_col: str = "tool_id") -> DataFrame:
@@ -120,31 +187,33 @@ def ranked(hits: DataFrame, k: int, id_col: str = "tool_id") -> DataFrame:
 def nearest(index: DataFrame, id_col: str = "tool_id", vector_col: str = "vector", k: int = 2) -> DataFrame:
     """id, other, score, rank: each row's k best rows by cosine, itself included as any other.
 
-    Rows are dealt to blocks by a hash of the id; every pair of blocks is one task's matrix product and passes on
-    k rows for each row. No pair of rows is ever a row of a DataFrame.
+    Rows are dealt to blocks by a hash of the id; every unordered pair of blocks is one task's matrix product and passes
+    on k rows for each row. No pair of rows is ever a row of a DataFrame, but the work is that of all pairs.
     """
     total = index.count()
     n = max(1, -(-total // BLOCK))
     id_type = dict(index.dtypes)[id_col]
-    rows = index.select(F.col(id_col).alias("id"), doubles(F.col(vector_col)).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("block"))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    left = rows.withColumn("j", F.explode(every)).withColumn("i", F.col("block")).withColumn("side", F.lit(0))
-    right = rows.withColumn("i", F.explode(every)).withColumn("j", F.col("block")).withColumn("side", F.lit(1))
+    block = F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    rows = index.select(F.col(id_col).alias("id"), doubles(F.col(vector_col)).alias("v"), block.alias("block"))
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    blocks = spread.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v")
 
     def run(group: pa.Table) -> pa.Table:
-        side = np.asarray(group["side"])
-        ids, vectors = group["id"].combine_chunks(), _matrix(group["v"].combine_chunks())
-        mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        theirs = theirs[np.argsort(np.asarray(ids.take(pa.array(theirs))), kind="stable")]
-        s = scores(vectors[theirs], vectors[mine], "cosine")
-        best = np.argsort(-s, axis=0, kind="stable")[:k]
-        return pa.table(
-            {"query_id": ids.take(pa.array(np.repeat(mine, best.shape[0]))), "other": ids.take(pa.array(theirs[best].T.ravel())), "score": np.take_along_axis(s, best, 0).T.ravel()}
-        )
-
-    from ..session import ship
+        group = group.combine_chunks()
+        block, ids, vectors = np.asarray(group["block"]), group["id"].combine_chunks(), _matrix(group["v"].combine_chunks())
+        order = np.asarray(pc.sort_indices(ids))
+        left, right = order[block[order] == group["i"][0].as_py()], order[block[order] == group["j"][0].as_py()]
+        s = scores(vectors[right], vectors[left], "cosine")
+        sides = [(left, right, s)] if group["i"][0].as_py() == group["j"][0].as_py() else [(left, right, s), (right, left, s.T)]
+        who, other, score = [], [], []
+        for mine, theirs, at in sides:
+            best = best_rows(at, k) if len(mine) and len(theirs) else np.zeros((0, len(mine)), np.int64)
+            who.append(np.repeat(mine, best.shape[0]))
+            other.append(theirs[best].T.ravel())
+            score.append(np.take_along_axis(at, best, 0).T.ravel())
+        take = lambda x: ids.take(pa.array(np.concatenate(x).astype(np.int64)))
+        return pa.table({"query_id": take(who), "other": take(other), "score": np.concatenate(score)})
 
     ship(index.sparkSession)
-    blocks = left.select("i", "j", "side", "id", "v").unionByName(right.select("i", "j", "side", "id", "v"))
     hits = blocks.groupBy("i", "j").applyInArrow(run, f"query_id {id_type}, other {id_type}, score double")
     return ranked(hits, k, "other").withColumnRenamed("query_id", "id")

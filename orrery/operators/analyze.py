@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .policy import AgentPolicies
@@ -88,3 +88,39 @@ def savings(selections: DataFrame) -> DataFrame:
     )
     saved = 1 - F.col("tokens_sent") / F.when(F.col("tokens_if_full") > 0, F.col("tokens_if_full"))
     return sums.withColumn("saved_share", F.coalesce(saved, F.lit(0.0)))
+
+
+#: Characters of the pieces by which ids are looked up.
+GRAM = 4
+
+
+def hints(visible: DataFrame, asked: DataFrame, most: int = 5) -> DataFrame:
+    """ask_id, hint: the first ``most`` ids that contain what was asked for (ask_id, wanted) or whose name it is.
+
+    An id contains a string only if it has all the string's pieces of GRAM characters, so each question is joined with
+    the ids that have its rarest piece. Questions shorter than a piece are compared with every id.
+    """
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda k: F.substring(c, k, F.lit(GRAM))))
+    long = asked.filter(F.length("wanted") >= GRAM).select("ask_id", "wanted", F.explode(pieces(F.col("wanted"))).alias("piece"))
+    wanted = long.select("piece").distinct()
+    held = visible.filter(F.length("tool_id") >= GRAM).select("tool_id", F.explode(pieces(F.col("tool_id"))).alias("piece")).join(wanted, "piece", "left_semi")
+    sizes = held.groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = long.join(sizes, "piece", "left").groupBy("ask_id", "wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("piece"))).alias("r"))
+    near = rarest.filter("r.n > 0").select("ask_id", "wanted", F.col("r.piece").alias("piece")).join(held, "piece").filter(F.col("tool_id").contains(F.col("wanted")))
+    short = asked.filter(F.length("wanted") < GRAM).select("ask_id", "wanted")
+    every = visible.select("tool_id").join(short, F.col("tool_id").contains(F.col("wanted")))
+    by_name = visible.select("tool_id", F.col("name").alias("wanted")).join(asked.select("ask_id", "wanted"), "wanted")
+    found = near.select("ask_id", "tool_id").unionByName(every.select("ask_id", "tool_id")).unionByName(by_name.select("ask_id", "tool_id")).distinct()
+    place = F.row_number().over(Window.partitionBy("ask_id").orderBy("tool_id"))
+    first = found.withColumn("k", place).filter(F.col("k") <= most)
+    return first.groupBy("ask_id").agg(F.array_join(F.array_sort(F.collect_list("tool_id")), ", ").alias("hint"))
+
+
+def routed(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``calls`` (tool_id, ...) with ``source_id``, the source that carries the call out; null for an unknown item."""
+    return calls.join(catalogue.select("tool_id", "source_id"), "tool_id", "left")
+
+
+def unhealthy(found: DataFrame) -> DataFrame:
+    """Findings with an issue, those with most issues first."""
+    return found.filter(F.size("issues") > 0).orderBy(F.desc(F.size("issues")), "tool_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_phrase
@@ -63,3 +65,40 @@ def contextual_queries(turns: DataFrame, max_turns: int = MAX_TURNS, weight: int
 
 def latest_user_turn(turns: DataFrame) -> DataFrame:
     return turns.filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+
+
+def alias_weights(events: DataFrame, as_of: Column, half_life: float = ALIAS_HALF_LIFE) -> DataFrame:
+    """tool_id, phrase, weight: every phrase's decayed weight, the light ones too."""
+    return learnt_aliases(events, as_of, half_life, min_weight=0.0, most=1 << 30).drop("rank")
+
+
+def forget(events: DataFrame, ids: DataFrame, key: str = "tool_id") -> DataFrame:
+    """Events (usage or aliases) without those of ``ids``; an item that comes back starts from nothing."""
+    return events.join(ids.select(key).distinct(), key, "left_anti")
+
+
+@dataclass
+class Conversation:
+    """Turns as they are said, on the driver; ``rows`` are what ``contextual_queries`` folds."""
+
+    spark: SparkSession
+    conv_id: int = 0
+    turns: list[tuple[str, str]] = field(default_factory=list)
+
+    def add(self, role: str, text: str) -> Conversation:
+        self.turns.append((role, text))
+        return self
+
+    def add_user(self, text: str) -> Conversation:
+        return self.add("user", text)
+
+    def add_assistant(self, text: str) -> Conversation:
+        return self.add("assistant", text)
+
+    def rows(self) -> DataFrame:
+        said = [(self.conv_id, k, role, text) for k, (role, text) in enumerate(self.turns)]
+        return self.spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+
+    def query(self, **how) -> str:
+        found = contextual_queries(self.rows(), **how).first()
+        return found["query"] if found else ""

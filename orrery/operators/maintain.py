@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import TextConfig, content_hash, index_text
 from ..schema import RISK_TIERS, tier
@@ -24,8 +28,14 @@ def duplicate_ids(items: DataFrame, id_col: str = "tool_id") -> DataFrame:
     return items.groupBy(id_col).agg((F.count("*") - 1).alias("skipped")).filter("skipped > 0")
 
 
+def last_wins(records: DataFrame, id_col: str = "tool_id") -> DataFrame:
+    """One row an id, the last one in the order of the table's partitions."""
+    return dedup_last_wins(records.withColumn("__seq", F.monotonically_increasing_id()), "__seq", id_col).drop("first_seq")
+
+
 def upsert(existing: DataFrame, records: DataFrame, id_col: str = "tool_id") -> DataFrame:
-    return existing.join(records.select(id_col), id_col, "left_anti").unionByName(records)
+    """``existing`` with ``records`` in place of the rows of their ids; of records with one id the last one counts."""
+    return existing.join(records.select(id_col), id_col, "left_anti").unionByName(last_wins(records, id_col))
 
 
 def delete(existing: DataFrame, ids: DataFrame, id_col: str = "tool_id") -> DataFrame:
@@ -60,8 +70,8 @@ def classify(existing: DataFrame, incoming: DataFrame, answered: DataFrame | Non
     Both sides need ``text``. A row that is gone is removed only if its source answered (``answered``: source_id);
     without ``answered`` all sources did.
     """
-    left = existing.select("tool_id", F.col("text").alias("old_text"), _state().alias("old_state"), F.col("source_id").alias("old_source"))
-    right = incoming.select("tool_id", F.col("text").alias("new_text"), _state().alias("new_state"))
+    left = existing.select("tool_id", F.xxhash64("text").alias("old_text"), _state().alias("old_state"), F.col("source_id").alias("old_source"))
+    right = incoming.select("tool_id", F.xxhash64("text").alias("new_text"), _state().alias("new_state"))
     both = left.join(right, "tool_id", "full_outer")
     gone = F.lit(prune)
     if answered is not None:
@@ -77,6 +87,25 @@ def classify(existing: DataFrame, incoming: DataFrame, answered: DataFrame | Non
     return both.select("tool_id", action.alias("action"))
 
 
+def apply_sync(existing: DataFrame | None, incoming: DataFrame, embed: Callable[[DataFrame], DataFrame], answered: DataFrame | None = None, prune: bool = True) -> DataFrame:
+    """The next version of an index: ``embed`` runs on new rows and on rows with another text only.
+
+    Rows that changed elsewhere are rewritten with the vector they have, unchanged ones stay as they are, and rows that
+    are gone go if their source answered (see ``classify``). Of incoming rows with one id the last counts. ``embed`` maps
+    rows with ``text`` to the same rows with the columns that only the index has.
+    """
+    incoming = last_wins(incoming)
+    if existing is None:
+        return embed(incoming)
+    acts = classify(existing, incoming, answered, prune)
+    fresh = incoming.join(acts.filter(F.col("action").isin("added", "reembed", "rewrite")), "tool_id")
+    made = embed(fresh.filter("action <> 'rewrite'").drop("action"))
+    own = [c for c in existing.columns if c not in incoming.columns]
+    rewritten = fresh.filter("action = 'rewrite'").drop("action").join(existing.select("tool_id", *own), "tool_id")
+    kept = existing.join(acts.filter(F.col("action").isin("unchanged", "kept")), "tool_id", "left_semi")
+    return kept.unionByName(rewritten.select(*existing.columns)).unionByName(made.select(*existing.columns))
+
+
 def report(classified: DataFrame) -> DataFrame:
     """One row of counts: added, reembedded, rewritten, unchanged, removed, total (without removed and kept)."""
     n = lambda *a: F.count_if(F.col("action").isin(*a))
@@ -127,40 +156,128 @@ class DriftGuard:
         state = F.when(F.col("old_digest").isNull(), fresh).when(differs, F.when(F.lit(self.quarantine) & ~approved, "held").otherwise("changed")).otherwise("same")
         return both.select("tool_id", state.alias("state"))
 
+    def accepted(self, previous: DataFrame, incoming: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(the rows to serve, the approvals afterwards).
+
+        A held item is served in its previous version and a held new one not at all; all that is served as it came is
+        approved by its digest.
+        """
+        states = self.decide(previous, incoming, approvals)
+        held = states.filter(F.col("state").isin("held", "held_new"))
+        served = incoming.join(held, "tool_id", "left_anti")
+        old = previous.join(states.filter("state = 'held'"), "tool_id", "left_semi")
+        return served.unionByName(old, allowMissingColumns=True), upsert(approvals, approvals_of(served))
+
+
+def approvals_of(items: DataFrame) -> DataFrame:
+    """tool_id, digest of items as they are: what approving them records."""
+    return items.select("tool_id", sensitive_digest(F.col("description"), F.col("input_schema")).alias("digest"))
+
 
 class VersionedStore:
-    """An index as Parquet versions below one folder with a pointer to the current one.
+    """An index as Parquet folders below one path and a manifest a version, which names the folder of every partition.
 
-    A new version is written beside the old one and the pointer moves last, so readers and failed writers never see
-    half an index and no path is read and overwritten at once.
+    A change writes the partitions that it touches and a new manifest; the others stay where they are. Readers see the
+    last manifest, which appears last, so neither they nor failed writers see half an index. Two writers of one version
+    collide on the manifest's name, and the second one fails.
     """
 
     def __init__(self, spark: SparkSession, path: str, partition_by: tuple[str, ...] = ("namespace",)) -> None:
         self.spark, self.path, self.partition_by = spark, path.rstrip("/"), partition_by
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    def _fs(self) -> tuple[Any, Any]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def versions(self) -> list[str]:
+    def _names(self, start: str) -> list[str]:
         fs, path = self._fs()
-        root = path(self.path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("v")) if fs.exists(root) else []
+        found = [s.getPath().getName() for s in fs.listStatus(path(self.path))] if fs.exists(path(self.path)) else []
+        return sorted(n for n in found if n.startswith(start))
+
+    def versions(self) -> list[str]:
+        return [n for n in self._names("v") if n.endswith(".json")]
+
+    def manifest(self, version: str | None = None) -> dict[str, Any] | None:
+        """schema and folders (by partition) of a version, the last one unless named; None where there is none."""
+        names = self.versions()
+        if not names:
+            return None
+        (text,) = self.spark.read.text(f"{self.path}/{version or names[-1]}", wholetext=True).collect()
+        return json.loads(text.value)
 
     def current(self) -> DataFrame | None:
-        done = [v for v in self.versions() if self._fs()[0].exists(self._fs()[1](f"{self.path}/{v}/_SUCCESS"))]
-        return self.spark.read.parquet(f"{self.path}/{done[-1]}") if done else None
+        held = self.manifest()
+        if held is None:
+            return None
+        schema = StructType.fromJson(held["schema"])
+        if not held["folders"]:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.option("basePath", self.path).schema(schema).parquet(*(f"{self.path}/{f}" for f in sorted(set(held["folders"].values())))).select(*schema.names)
+
+    def _keys(self, df: DataFrame) -> list[str]:
+        return [c for c in self.partition_by if c in df.columns]
+
+    def _put(self, df: DataFrame) -> dict[str, str]:
+        """Writes rows to a folder of their own; its partitions by name."""
+        fs, path = self._fs()
+        folder, keys = f"batch=u{uuid.uuid4().hex}", self._keys(df)
+        if not keys:
+            df.write.parquet(f"{self.path}/{folder}")
+            return {"all": folder}
+        df.repartition(*keys).sortWithinPartitions(*keys).write.partitionBy(*keys).parquet(f"{self.path}/{folder}")
+
+        def partitions(at: str, depth: int) -> list[str]:
+            names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/{folder}/{at}".rstrip("/"))) if s.isDirectory()]
+            below = [f"{at}/{n}".lstrip("/") for n in names if "=" in n]
+            return below if depth == 1 else [x for b in below for x in partitions(b, depth - 1)]
+
+        return {p: f"{folder}/{p}" for p in partitions("", len(keys))}
+
+    def _commit(self, schema: StructType, folders: dict[str, str]) -> None:
+        fs, path = self._fs()
+        text = json.dumps({"schema": schema.jsonValue(), "folders": folders})
+        out = fs.create(path(f"{self.path}/v{len(self.versions()):08d}.json"), False)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
 
     def write(self, df: DataFrame) -> None:
-        at = len(self.versions())
-        target = f"{self.path}/v{at:08d}-{uuid.uuid4().hex[:8]}"
-        keys = [c for c in self.partition_by if c in df.columns]
-        (df.write.partitionBy(*keys) if keys else df.write).parquet(target)
+        """A version of these rows alone."""
+        self._commit(df.schema, self._put(df))
+
+    def change(self, records: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """A version with ``records`` in place of the rows of their ids and without the ids in ``gone``; rewrites only the
+        partitions in which such rows are or come to be."""
+        held, now = self.manifest(), self.current()
+        if held is None or now is None:
+            if records is not None:
+                self.write(last_wins(records))
+            return
+        ids = [x.select("tool_id") for x in (records, gone) if x is not None]
+        touched = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])
+        keys = self._keys(now)
+        if not held["folders"]:
+            dirs: set[str] = set()
+        elif keys:
+            hit = now.join(touched, "tool_id", "left_semi").select(*keys)
+            hit = (hit if records is None else hit.unionByName(records.select(*keys))).distinct()
+            located = now.select(*keys, F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("__dir"))
+            same = [located[k].eqNullSafe(hit[k]) for k in keys]
+            found = {r[0] for r in located.join(hit, same, "left_semi").select("__dir").distinct().collect()}  # a row a partition
+            dirs = {p for p, f in held["folders"].items() if any(d.endswith("/" + f) or d.endswith("/" + f.replace("%", "%25")) for d in found)}
+        else:
+            dirs = set(held["folders"])
+        rest = None
+        if dirs:
+            read = self.spark.read.option("basePath", self.path).schema(now.schema).parquet(*(f"{self.path}/{held['folders'][d]}" for d in sorted(dirs))).select(*now.columns)
+            rest = read.join(touched, "tool_id", "left_anti")
+        new = None if records is None else last_wins(records).select(*now.columns)
+        both = rest if new is None else new if rest is None else rest.unionByName(new)
+        self._commit(now.schema, {p: f for p, f in held["folders"].items() if p not in dirs} | ({} if both is None else self._put(both)))
 
     def upsert(self, records: DataFrame) -> None:
-        now = self.current()
-        self.write(records if now is None else upsert(now, records))
+        self.change(records)
 
     def delete(self, ids: DataFrame) -> int:
         now = self.current()
@@ -168,5 +285,49 @@ class VersionedStore:
             return 0
         gone = now.join(ids.select("tool_id"), "tool_id", "left_semi").count()
         if gone:
-            self.write(delete(now, ids))
+            self.change(gone=ids)
         return gone
+
+    def sync(self, incoming: DataFrame, embed: Callable[[DataFrame], DataFrame], answered: DataFrame | None = None, prune: bool = True) -> dict[str, int] | None:
+        """Brings the index in step with ``incoming`` (with ``text``) and gives the report; None for the first version.
+
+        Only rows with a new text are embedded, only partitions with a change are written.
+        """
+        now = self.current()
+        if now is None:
+            self.write(apply_sync(None, incoming, embed))
+            return None
+        incoming = last_wins(incoming)
+        acts = classify(now, incoming, answered, prune).persist()
+        try:
+            counts = report(acts).first().asDict()
+            changed = acts.filter(F.col("action").isin("added", "reembed", "rewrite")).select("tool_id")
+            after = apply_sync(now, incoming, embed, answered, prune).join(changed, "tool_id", "left_semi")
+            if counts["added"] + counts["reembedded"] + counts["rewritten"] + counts["removed"]:
+                self.change(after, acts.filter("action = 'removed'").select("tool_id"))
+        finally:
+            acts.unpersist()
+        return counts
+
+    def get(self, *ids: str) -> list:
+        now = self.current()
+        return [] if now is None else now.filter(F.col("tool_id").isin(*ids)).orderBy("tool_id").collect()
+
+    def clear(self) -> None:
+        """A version without rows."""
+        held = self.manifest()
+        if held is not None:
+            self._commit(StructType.fromJson(held["schema"]), {})
+
+    def __len__(self) -> int:
+        now = self.current()
+        return 0 if now is None else now.count()
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes the folders that none of the last ``keep`` versions names; gives their number."""
+        fs, path = self._fs()
+        used = {f.split("/")[0] for v in self.versions()[-keep:] for f in (self.manifest(v) or {"folders": {}})["folders"].values()}
+        old = [n for n in self._names("batch=") if n not in used]
+        for n in old:
+            fs.delete(path(f"{self.path}/{n}"), True)
+        return len(old)

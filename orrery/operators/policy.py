@@ -337,3 +337,13 @@ def build_policy(config: Mapping) -> Policy:
     if config.get("max_tools") is not None:
         selection.append(MaxTools(int(config["max_tools"]), tuple(config.get("pinned", ()))))
     return Policy(tuple(rules), tuple(selection), config.get("mode", "deny_overrides"), config.get("default", ALLOW), bool(config.get("dry_run")))
+
+
+def describe_rules(policy: Policy) -> list[dict[str, object]]:
+    """The rules of a policy in their order, then its selection rules: kind, name, mandatory and settings."""
+
+    def one(rule) -> dict[str, object]:
+        settings = {k: list(v) if isinstance(v, tuple) else v for k, v in vars(rule).items() if k not in ("name", "mandatory") and not callable(v)}
+        return {"kind": type(rule).__name__, "name": rule.name, "mandatory": bool(getattr(rule, "mandatory", False)), "settings": settings}
+
+    return [one(r) for r in (*policy.rules, *policy.selection)]

@@ -35,30 +35,60 @@ def hybrid_size(width: int, overfetch: float = HYBRID_OVERFETCH) -> int:
 class KeywordIndex:
     """BM25 over a corpus: postings (term, id, tf, length), terms (term, df, idf), stats (n, avg_length).
 
-    Statistics cover the whole corpus whatever a query filters. Postings combine map-side and shuffle by
-    (term, id); persist or write them bucketed by term to answer many batches of queries.
+    Statistics cover the whole corpus whatever a query filters. A corpus is tokenised once: ``counts`` has, besides the
+    postings, a row without a term for each document, from which the statistics come. It is cached until ``release``.
     """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    counts: DataFrame | None = None
 
     @staticmethod
     def build(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> KeywordIndex:
         """``only`` (term) keeps the postings of these terms alone, so that a search without a stored index shuffles
         no other token; it is broadcast up to MAX_TERMS terms. Statistics are the whole corpus's all the same."""
         tokens = corpus.select(F.col(id_col).alias("id"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-        sized = tokens.select("id", F.size("tokens").alias("length"), "tokens")
-        words = sized.select("id", "length", F.explode("tokens").alias("term"))
+        each = F.explode(F.concat("tokens", F.array(F.lit(None).cast("string"))))  # the null is the document's own row
+        words = tokens.select("id", F.size("tokens").alias("length"), each.alias("term"))
         if only is not None:
             few = only.limit(MAX_TERMS + 1).count() <= MAX_TERMS
-            words = words.join(F.broadcast(only) if few else only, "term", "left_semi")
-        postings = words.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-        stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+            wanted = only.select(F.col("term").alias("__t"))
+            words = words.join(F.broadcast(wanted) if few else wanted, F.col("term") == F.col("__t"), "left").select("id", "length", F.col("__t").alias("term"))
+        counts = words.groupBy("term", "id", "length").agg(F.count("*").alias("tf")).persist()
+        return KeywordIndex._of(counts)
+
+    @staticmethod
+    def _of(counts: DataFrame) -> KeywordIndex:
+        postings = counts.filter("term is not null").select("term", "id", "length", "tf")
+        stats = counts.filter("term is null").agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
         df = postings.groupBy("term").agg(F.count("*").alias("df"))
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         terms = df.join(F.broadcast(stats), how="cross").select("term", "df", idf.alias("idf"))
-        return KeywordIndex(postings, terms, stats)
+        return KeywordIndex(postings, terms, stats, counts)
+
+    @staticmethod
+    def stored(corpus: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> KeywordIndex:
+        """The index of a corpus as kept below ``path``; built and written when the corpus is another than last time.
+
+        The corpus's signature (rows and a hash over ids and texts, whatever their order) names the folder.
+        """
+        spark = corpus.sparkSession
+        row = F.xxhash64(F.col(id_col), F.col(text_col))
+        n, one, two = corpus.agg(F.count("*"), F.bit_xor(row), F.sum(F.pmod(row, F.lit(1 << 40)))).first()
+        at = f"{path.rstrip('/')}/{n}-{(one or 0) & (1 << 64) - 1:016x}-{two or 0:x}"
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        done = hadoop(f"{at}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            built = KeywordIndex.build(corpus, id_col, text_col)
+            built.counts.sortWithinPartitions("term").write.mode("overwrite").parquet(at)
+            built.release()
+        return KeywordIndex._of(spark.read.parquet(at))
+
+    def release(self) -> None:
+        """Gives back what the index keeps in the executors; its tables are computed anew when they are used again."""
+        if self.counts is not None:
+            self.counts.unpersist()
 
     @staticmethod
     def terms_of(queries: DataFrame) -> DataFrame:
@@ -71,7 +101,7 @@ class KeywordIndex:
         reduce the postings before anything is shuffled by document.
         """
         asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        weighted = asked.join(self.terms, "term")
+        weighted = asked.join(self.terms.withColumnRenamed("df", "__df"), "term")
         length = F.greatest(F.col("length"), F.lit(1))
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / F.col("avg_length")))
         hits = self.postings.join(weighted, "term").join(F.broadcast(self.stats), how="cross")
@@ -126,7 +156,8 @@ def resilient(primary: Callable[[], DataFrame], fallback: Callable[[], DataFrame
             raise
         if on_error == "empty" or fallback is None:
             try:
-                return primary().limit(0), True
+                empty = primary()
+                return empty.sparkSession.createDataFrame([], empty.schema), True  # the plan that failed isn't run again
             except Exception:
                 raise error from None
         try:

@@ -43,6 +43,22 @@ class DimensionMismatchError(OrreryError):
     """Vectors of another width than the index."""
 
 
+class EmbeddingError(OrreryError):
+    """An embedder that is missing or doesn't answer as it should."""
+
+
+class StoreError(OrreryError):
+    """A table that can't be read or written."""
+
+
+class InvocationError(OrreryError):
+    """An item that nothing can carry out."""
+
+
+class ToolNotFoundError(OrreryError):
+    """An id that the catalogue doesn't have."""
+
+
 class NotIndexedError(OrreryError):
     """A query before anything was indexed."""
 
@@ -80,9 +96,11 @@ def valid_identifier(value: Column) -> Column:
 def normalised_items(df: DataFrame) -> DataFrame:
     """Defaults filled, identifiers stripped and checked, ``tool_id``, ``risk_level`` and ``cost_level`` added.
 
-    A row with an invalid identifier or tier fails the job with its value in the message.
+    A row with an invalid identifier or tier fails the job with its value, and its ``position`` if there is one, in the
+    message.
     """
     have = set(df.columns)
+    where = F.concat(F.lit("item "), F.col("position"), F.lit(": ")) if "position" in have else F.lit("")
     defaults = {"namespace": F.lit("default"), "description": F.lit(""), "input_schema": F.lit("{}"), "risk": F.lit("low"), "cost": F.lit("free"), "source_id": F.lit("inline")}
     out = df
     for f in ITEM.fields:
@@ -96,8 +114,8 @@ def normalised_items(df: DataFrame) -> DataFrame:
         out = out.withColumn(f.name, base)
     for name in ("name", "namespace"):
         value = F.trim(F.col(name))
-        out = out.withColumn(name, F.when(valid_identifier(value), value).otherwise(F.raise_error(F.concat(F.lit(f"invalid {name}: "), F.coalesce(value, F.lit("null"))))))
+        out = out.withColumn(name, F.when(valid_identifier(value), value).otherwise(F.raise_error(F.concat(where, F.lit(f"invalid {name}: "), F.coalesce(value, F.lit("null"))))))
     for name, tiers in (("risk", RISK_TIERS), ("cost", COST_TIERS)):
         lv = level(F.col(name), tiers)
-        out = out.withColumn(f"{name}_level", F.coalesce(lv, F.raise_error(F.concat(F.lit(f"unknown {name}: "), F.col(name))).cast("int")))
-    return out.withColumn("tool_id", item_id(F.col("namespace"), F.col("name")))
+        out = out.withColumn(f"{name}_level", F.coalesce(lv, F.raise_error(F.concat(where, F.lit(f"unknown {name}: "), F.col(name))).cast("int")))
+    return out.drop("position").withColumn("tool_id", item_id(F.col("namespace"), F.col("name")))

@@ -16,14 +16,17 @@ CONCURRENCY = 8
 
 
 def read_items(spark: SparkSession, path: str, source_id: str | None = None) -> DataFrame:
-    """Items of a ``.jsonl`` file (one object a line) or a ``.json`` one (a list, or an object with ``tools``)."""
+    """Items of a ``.jsonl`` file (one object a line) or a ``.json`` one (a list, or an object with ``tools``).
+
+    An invalid item of a list fails the job with its index from 0 in the message.
+    """
     if path.endswith(".jsonl"):
         df = spark.read.schema(ITEM).option("mode", "FAILFAST").json(path)
     else:
         whole = spark.read.text(path, wholetext=True)
         listed = F.from_json("value", ArrayType(ITEM), {"mode": "FAILFAST"})
         nested = F.from_json("value", StructType([StructField("tools", ArrayType(ITEM))]), {"mode": "FAILFAST"})["tools"]
-        df = whole.select(F.inline(F.when(F.ltrim("value").startswith("["), listed).otherwise(nested)))
+        df = whole.select(F.posexplode(F.when(F.ltrim("value").startswith("["), listed).otherwise(nested)).alias("position", "item")).select("position", "item.*")
     out = normalised_items(df)
     return stamped(out, source_id) if source_id else out
 
@@ -60,9 +63,12 @@ def discover(spark: SparkSession, readers: Mapping[str, Callable[[], DataFrame]]
     return (union_sources(good) if good else None), failures
 
 
-#: Words of the synthetic catalogue; fixed values.
+#: Words of the synthetic catalogue.
 FILLER_VERBS = ("get", "list", "create", "update", "delete", "search", "export", "sync")
-FILLER_NOUNS = ("account", "order", "invoice", "ticket", "report", "user", "project", "asset", "shipment", "contract", "lead", "event", "device", "policy", "payment", "message", "file", "task", "alert", "session")
+FILLER_NOUNS = ("barge", "beacon", "buoy", "cable", "chart", "crane", "depot", "dock", "ferry", "gauge", "harbour", "jetty", "keel", "lantern", "mast", "pilot", "quay", "sluice", "tide", "wharf")
+#: Areas and what is done in each of the core items.
+CORE_AREAS = ("berths", "cargo", "crews", "customs", "fuel", "moorings", "tariffs", "weather")
+CORE_WORK = (("find", "Find {0} by name, place or date.", "low"), ("check", "Check the present state of {0}.", "low"), ("book", "Book or reserve {0} for a ship.", "medium"), ("change", "Change what is recorded about {0}.", "medium"), ("cancel", "Cancel {0} and release what they hold.", "high"))
 
 
 def filler_catalogue(spark: SparkSession, n: int) -> DataFrame:
@@ -79,6 +85,19 @@ def filler_catalogue(spark: SparkSession, n: int) -> DataFrame:
     )
 
 
+def core_catalogue(spark: SparkSession) -> DataFrame:
+    """Forty described items: five kinds of work in eight areas."""
+    rows = [(f"{verb}_{area}", area, about.format(area), [area, "write" if risk != "low" else "read"], risk) for area in CORE_AREAS for verb, about, risk in CORE_WORK]
+    return normalised_items(spark.createDataFrame(rows, "name string, namespace string, description string, tags array<string>, risk string"))
+
+
+def sized_catalogue(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
+    """The core items and as many synthetic ones as make ``n``, with ``position``: an order drawn by ``seed``."""
+    core = core_catalogue(spark).select("name", "namespace", "tool_id", "description")
+    both = core.unionByName(filler_catalogue(spark, max(0, n - len(CORE_AREAS) * len(CORE_WORK))))
+    return both.withColumn("position", F.xxhash64("tool_id", F.lit(seed)))
+
+
 def from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue that a parts table stands for."""
     return catalogue_view(spark.read.parquet(f"{sf_dir}/part.parquet"))

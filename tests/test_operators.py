@@ -99,6 +99,25 @@ def test_search_against_brute_force_with_ties(spark, metric):
         assert [got[q, r + 1] for r in range(4)] == [f"t{k:02d}" for k in order]
 
 
+def test_search_in_blocks_and_batches_gives_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    v = np.round(rng.normal(size=(300, 3)), 1)  # many ties
+    index = spark.createDataFrame([(f"t{k:03d}", x.tolist()) for k, x in enumerate(v)], "tool_id string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(k, v[k].tolist()) for k in range(0, 300, 4)], "query_id int, vector array<double>")
+    s = vectors.scores(v, v, "l2")
+    want = [(q, r + 1, f"t{o:03d}") for q in range(0, 300, 4) for r, o in enumerate(sorted(range(300), key=lambda j: (-s[j, q], j))[:6])]
+    got = lambda: sorted((r.query_id, r["rank"], r.tool_id) for r in vectors.search(index, asked, 6, "l2").collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        assert got() == want
+        monkeypatch.setattr(vectors, "MAX_QUERIES", 20)
+        monkeypatch.setattr(vectors, "INDEX_BLOCK", 70)
+        assert got() == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert vectors.search(index, asked.limit(0), 3).count() == 0 and vectors.search(index.limit(0), asked, 3).count() == 0
+
+
 def test_search_refuses_other_widths(spark):
     index = spark.createDataFrame([("a", [1.0, 0.0])], "tool_id string, vector array<double>")
     with pytest.raises(Exception, match="dimensions"):
