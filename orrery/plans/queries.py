@@ -74,6 +74,11 @@ def filler_catalogue(spark, sf):
     return C.filler_catalogue(spark, 1000)
 
 
+@query("core_catalogue", f"select verb || '_' || area as name, area as namespace, area || '/' || verb || '_' || area as tool_id, replace(about, '{{0}}', area) as description, risk from (select unnest({list(C.CORE_AREAS)}) as area), (select unnest({[w[0] for w in C.CORE_WORK]}) as verb, unnest({[w[1] for w in C.CORE_WORK]}) as about, unnest({[w[2] for w in C.CORE_WORK]}) as risk)")
+def core_catalogue(spark, sf):
+    return C.core_catalogue(spark).select("name", "namespace", "tool_id", "description", "risk")
+
+
 @query("store_upsert", S.q(S.CAT, S.NEW, "select tool_id, description, risk_level from new union all select tool_id, description, risk_level from cat where tool_id not in (select tool_id from new)"))
 def store_upsert(spark, sf):
     part = table(spark, sf, "part")
@@ -324,6 +329,30 @@ def usage_weight_sweep(spark, sf):
     return known.groupBy("weight").agg(r6(F.avg((F.col("label") == F.col("want")).cast("int")), "precision"))
 
 
+def random_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts that have nothing to do with use."""
+    return indexed(spark, sf).select("tool_id", (F.col("key") * 7919 % 13).cast("double").alias("count"))
+
+
+_ARMS = [(arm, w) for arm in ("informed", "random") for w in (0.05, 0.2)]
+
+
+@query("usage_arms", S.q(S.SCORED, S.hits(20), _USED, "rnd as (select tool_id, (key * 7919 % 13)::double as count from idx)",
+                         ", ".join(_BOOST.format(w=w).replace("boosted as", f"b{k} as").replace("cnt", "rnd" if arm == "random" else "cnt") for k, (arm, w) in enumerate(_ARMS)),
+                         "a as (" + " union all ".join(f"select '{arm}' as arm, {w}::double as weight, * from (select *, row_number() over (partition by query_id order by score desc, tool_id) as rank from b{k} qualify rank <= 5)" for k, (arm, w) in enumerate(_ARMS)) + ")",
+                         "select arm, weight, round(avg((i.label = r.label)::int), 6) as precision from a join idx i using (tool_id) join req r using (query_id) group by 1, 2"))
+def usage_arms(spark, sf):
+    base = hits(spark, sf)
+    counts = {"informed": usage_of(spark, sf), "random": random_usage(spark, sf)}
+    labels = indexed(spark, sf).select("key", "tool_id", "label")
+    out = None
+    for arm, w in _ARMS:
+        one = rerank.usage_boost(base, counts[arm], w, 5).select(F.lit(arm).alias("arm"), F.lit(w).alias("weight"), "query_id", "tool_id")
+        out = one if out is None else out.unionByName(one)
+    known = out.join(labels.select("tool_id", "label"), "tool_id").join(labels.select(F.col("key").alias("query_id"), F.col("label").alias("want")), "query_id")
+    return known.groupBy("arm", "weight").agg(r6(F.avg((F.col("label") == F.col("want")).cast("int")), "precision"))
+
+
 @query("graph_expand", S.q(S.SCORED, S.hits(5), "edge as (select a.tool_id as src, b.tool_id as dst from idx a join idx b on b.key = a.key + 1)",
                            "x as (select query_id, tool_id, score from hits union all select query_id, dst, round(score * 0.99::double, 9) from hits join edge on tool_id = src)",
                            "m as (select query_id, tool_id, max(score) as score from x group by 1, 2)", "select query_id, tool_id, row_number() over (partition by query_id order by score desc, tool_id)::int as rank, round(score, 6) as score from m"))
@@ -494,9 +523,8 @@ def proxy_describe(spark, sf):
     wanted = F.when(k % 2 == 0, F.concat(F.lit("small/blue_bolt_"), k)).otherwise(F.concat(F.lit("bolt_1"), k))
     asked = table(spark, sf, "supplier").select(k.alias("ask_id"), wanted.alias("wanted"))
     visible = P.Policy((P.MaxRisk("medium"),)).judged(parts(spark, sf)).filter("decision = 'allow'").select("tool_id", "name", "description")
-    near = visible.join(F.broadcast(asked), F.col("tool_id").contains(F.col("wanted")) | (F.col("name") == F.col("wanted")))
-    hint = near.groupBy("ask_id").agg(F.array_join(F.slice(F.array_sort(F.collect_list("tool_id")), 1, 5), ", ").alias("hint"))
     found = visible.select(F.col("tool_id").alias("wanted"), "description")
+    hint = analyze.hints(visible, asked.join(found, "wanted", "left_anti"))
     out = asked.join(found, "wanted", "left").join(hint, "ask_id", "left")
     return out.select("ask_id", "wanted", "description", F.when(F.col("description").isNull(), F.coalesce("hint", F.lit(""))).alias("hint"))
 
@@ -536,6 +564,44 @@ def sync_prune(spark, sf):
     return maintain.prunable(old, new, answered(spark)).select("tool_id")
 
 
+def marked(df: DataFrame, mark: str) -> DataFrame:
+    """A stand-in for an embedder that shows when a vector was made."""
+    return df.withColumn("vector", F.concat(F.lit(mark), F.md5("text")))
+
+
+_MADE = "case when action in ('added', 'reembed') then 'new:' || md5(n.text) else 'old:' || md5(o.text) end as vector, case when action in ('kept', 'unchanged') then o.risk_level else n.risk_level end as risk_level"
+
+
+@query("sync_apply", S.q(*_ACTION, f"select act.tool_id as tool_id, {_MADE} from act left join o on o.tool_id = act.tool_id left join n on n.tool_id = act.tool_id where action <> 'removed'"))
+def sync_apply(spark, sf):
+    old, new = versions(spark, sf)
+    return maintain.apply_sync(marked(old, "old:"), new, lambda df: marked(df, "new:"), answered(spark)).select("tool_id", "vector", "risk_level")
+
+
+_REFRESHED = (*_ACTION[:2], _ACTION[2].replace("from new)", "from new where source_id <> 'src3')"), _ACTION[3])
+
+
+@query("refresh", S.q(*_REFRESHED, f"select act.tool_id as tool_id, {_MADE} from act left join o on o.tool_id = act.tool_id left join n on n.tool_id = act.tool_id where action <> 'removed'"))
+def refresh(spark, sf):
+    old, new = versions(spark, sf)
+
+    def down() -> DataFrame:
+        raise OSError("no answer")
+
+    readers = {f"src{k}": (lambda k=k: new.filter(F.col("source_id") == f"src{k}")) for k in range(3)} | {"src3": down}
+    rows, failures = C.discover(spark, readers)
+    heard = spark.createDataFrame([(n,) for n in readers], "source_id string").join(failures, "source_id", "left_anti")
+    return maintain.apply_sync(marked(old, "old:"), rows, lambda df: marked(df, "new:"), heard).select("tool_id", "vector", "risk_level")
+
+
+@query("route_calls", S.q(S.CAT, "ask as (select 'small/blue_bolt_' || s_suppkey as tool_id, s_suppkey as call_id from supplier union all select tool_id, key from cat where key % 3 = 0)", "select call_id, ask.tool_id as tool_id, source_id from ask left join cat using (tool_id)"))
+def route_calls(spark, sf):
+    cat = parts(spark, sf)
+    calls = table(spark, sf, "supplier").select(F.concat(F.lit("small/blue_bolt_"), "s_suppkey").alias("tool_id"), F.col("s_suppkey").alias("call_id"))
+    calls = calls.unionByName(cat.filter("key % 3 = 0").select("tool_id", F.col("key").alias("call_id")))
+    return analyze.routed(calls, cat).select("call_id", "tool_id", "source_id")
+
+
 _SCHEMA_OF = "'{\"k\":' || (key % 3) || '}'"
 _WITH_SCHEMA = (S.CAT, S.NEW, f"o as (select *, {_SCHEMA_OF} as input_schema from cat), n as (select *, case when key % 13 = 0 then '{{\"k\":9}}' else {_SCHEMA_OF} end as input_schema from new)")
 
@@ -576,6 +642,14 @@ def drift_hold(spark, sf):
     return maintain.DriftGuard(trust_on_first_use=False).decide(old, new, approvals(new))
 
 
+@query("drift_accept", S.q(*_WITH_SCHEMA, _APPROVED, f"j as (select n.tool_id as tool_id, n.description as d1, o.description as d0, o.tool_id is null as fresh, o.description <> n.description or o.input_schema <> n.input_schema or {_PRIV.format('o')} <> {_PRIV.format('n')} as differs, ok.tool_id is not null as approved from n left join o on o.tool_id = n.tool_id left join ok on ok.tool_id = n.tool_id)",
+                           "select tool_id, case when differs and not approved then d0 else d1 end as description from j where not fresh or approved"))
+def drift_accept(spark, sf):
+    old, new = schema_versions(spark, sf)
+    served, _ = maintain.DriftGuard(trust_on_first_use=False).accepted(old, new, approvals(new))
+    return served.select("tool_id", "description")
+
+
 _TWICE = "w as (select namespace || '/' || tags[2] as tool_id, description, key from cat)"
 
 
@@ -612,14 +686,32 @@ def render_collisions(spark, sf):
     return render.collisions(parts(spark, sf).withColumn("name", F.element_at("tags", 1)))
 
 
-@query("render_openai")
+_FLAT = "regexp_replace(namespace || '__' || name, '[^a-zA-Z0-9_-]', '_', 'g')"
+_SHAPE = """case when key % 3 = 0 then '{"type":"object","properties":{}}' else '{"type":"object","properties":{"size":{"type":"integer","description":"of part ' || key || '"}},"required":["size"]}' end"""
+
+
+def shaped(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue with a schema for two items of three."""
+    full = F.concat(F.lit('{"type":"object","properties":{"size":{"type":"integer","description":"of part '), F.col("key"), F.lit('"}},"required":["size"]}'))
+    return parts(spark, sf).withColumn("description", F.concat(F.col("description"), F.lit(' "so-called"'))).withColumn("input_schema", F.when(F.col("key") % 3 == 0, "{}").otherwise(full))
+
+
+_SAID = """to_json(description || ' "so-called"')::varchar"""
+
+
+@query("render_openai", S.q(S.CAT, f"""select tool_id, '{{"type":"function","function":{{"name":' || to_json({_FLAT})::varchar || ',"description":' || {_SAID} || ',"parameters":' || {_SHAPE} || '}}}}' as rendered from cat"""))
 def render_openai(spark, sf):
-    return render.openai(parts(spark, sf).withColumn("input_schema", F.lit("{}")))
+    return render.openai(shaped(spark, sf))
 
 
-@query("render_anthropic")
+@query("render_anthropic", S.q(S.CAT, f"""select tool_id, '{{"name":' || to_json({_FLAT})::varchar || ',"description":' || {_SAID} || ',"input_schema":' || {_SHAPE} || '}}' as rendered from cat"""))
 def render_anthropic(spark, sf):
-    return render.anthropic(parts(spark, sf).withColumn("input_schema", F.lit("{}")))
+    return render.anthropic(shaped(spark, sf))
+
+
+@query("describe_schema", S.q(S.CAT, "select tool_id, case when key % 3 <> 0 then 'parameters: size: of part ' || key || ' [required]' end as parameters from cat"))
+def describe_schema(spark, sf):
+    return shaped(spark, sf).select("tool_id", text.describe_schema(F.col("input_schema")).alias("parameters"))
 
 
 # statistics and evaluation ----------------------------------------------------------------------------------------
@@ -725,6 +817,15 @@ def recall_ceiling(spark, sf):
     return evaluate.recall_ceiling(hits(spark, sf, 200), expected, cases).select("depth", "reached", r6("share"))
 
 
+@query("recall_unreachable", S.q(S.SCORED, S.hits(40), "good as (select query_id, tool_id, 'c' || req.label as category from req join idx on req.label = idx.label where tool_id not in (select tool_id from idx where key % 20 = 0))", "f as (select query_id, min(rank) as first from hits join good using (query_id, tool_id) group by 1)",
+                                 "select category, count(*) as cases, count(*) filter (first is null) as unreachable from (select distinct query_id, category from good) left join f using (query_id) group by 1"))
+def recall_unreachable(spark, sf):
+    labels = indexed(spark, sf).select("key", "tool_id", "label")
+    cases = labels.filter("key % 20 = 0").select(F.col("key").alias("query_id"), "label", F.concat(F.lit("c"), F.col("label")).alias("category"))
+    expected = cases.join(labels.filter("key % 20 <> 0").select("tool_id", "label"), "label").select("query_id", "tool_id")
+    return evaluate.unreachable(hits(spark, sf, 40), expected, cases, 40)
+
+
 _FLOORS = (0.0, 0.2, 0.3, 0.4)
 
 
@@ -737,6 +838,12 @@ def threshold_sweep(spark, sf):
     return evaluate.threshold_sweep(hits(spark, sf, 10), expected, cases, _FLOORS).select("floor", r6("hit_rate"), r6("mean_precision"))
 
 
+@query("threshold_sweep_split", SQL["threshold_sweep"].split("select floor, round(avg(")[0] + "select floor, round(avg(case when wants then (good > 0)::int end), 6) as positive_hit_rate, round(avg(case when not wants then (n = 0)::int end), 6) as negative_hit_rate from e group by 1")
+def threshold_sweep_split(spark, sf):
+    _, expected, cases = judged_cases(spark, sf)
+    return evaluate.threshold_sweep(hits(spark, sf, 10), expected, cases, _FLOORS).select("floor", r6("positive_hit_rate"), r6("negative_hit_rate"))
+
+
 @query("e2e_outcomes", S.q(S.SCORED, S.hits(5), "good as (select query_id, tool_id from req join idx on req.label = idx.label where req.label <> 9)",
                            f"w as (select query_id, h.tool_id as tool_id, rank, list_distinct({S.TOKENS.format('h.description')}) as t, list_distinct({S.TOKENS.format('(r.tags[2] || $ $ || r.namespace)')}) as s from hits h join idx r on r.key = query_id)".replace("$", "'"),
                            "c as (select query_id, tool_id as chosen from (select *, round(len(list_intersect(t, s)) / sqrt(len(t)::double), 9) as score from w) where score > 0 qualify row_number() over (partition by query_id order by score desc, rank) = 1)",
@@ -773,6 +880,14 @@ def alias_topk(spark, sf):
     return feedback.learnt_aliases(events, F.lit(_AS_OF)).select("tool_id", "phrase", r6("weight"), "rank")
 
 
+@query("alias_snapshot", f"select (props->>'$.k')::bigint as tool_id, lower(event_type) as phrase, round(sum(pow(0.5::double, ({_AS_OF}::double - epoch_us(ts) / 1e6::double) / 7776000)), 6) as weight from events where (props->>'$.k')::bigint % 5 <> 0 group by 1, 2")
+def alias_snapshot(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("long")
+    events = table(spark, sf, "events").select(k.alias("tool_id"), F.col("event_type").alias("phrase"), "ts", F.lit(1.0).alias("weight"))
+    events = feedback.forget(events, events.filter("tool_id % 5 = 0"))
+    return feedback.alias_weights(events, F.lit(_AS_OF)).select("tool_id", "phrase", r6("weight"))
+
+
 @query("savings_report", "with s as (select o_orderkey % 7 as tools_sent, 200 as catalogue, 40 * (o_orderkey % 7) as est_sent, 8000 as est_full, case when o_orderkey % 3 = 0 then 50 * (o_orderkey % 7) + 1 end as actual from orders) select count(*) as selections, sum(tools_sent)::bigint as tools_sent, sum(catalogue)::bigint as tools_in_catalogue, sum(coalesce(actual, est_sent))::bigint as tokens_sent, sum(case when actual is not null and est_sent > 0 then floor(est_full * (actual / est_sent::double)) else est_full end)::bigint as tokens_if_full, bool_and(actual is not null) as measured, round(1 - sum(coalesce(actual, est_sent))::double / sum(case when actual is not null and est_sent > 0 then floor(est_full * (actual / est_sent::double)) else est_full end)::double, 6) as saved_share from s")
 def savings_report(spark, sf):
     k = F.col("o_orderkey") % 7
@@ -850,6 +965,13 @@ def diagnose_findings(spark, sf):
     return analyze.findings(indexed(spark, sf), self_probe(spark, sf), empty).select("tool_id", "self_rank", F.array_join("issues", ",").alias("issues"))
 
 
+@query("diagnose_twinned", S.q(*_NEAR, "select id as tool_id, round(gap, 6) as nearest_gap from gaps where gap <= 0.5::double"))
+def diagnose_twinned(spark, sf):
+    none = spark.createDataFrame([], "description string, tool_id string, rank int")
+    found = analyze.findings(indexed(spark, sf), none, gaps(spark, sf), margin=0.5)
+    return found.filter(F.array_contains("issues", analyze.TWINNED)).select("tool_id", r6("nearest_gap"))
+
+
 @query("diagnose_unreached", S.q(*_PROBE, "select tool_id from idx where tool_id not in (select tool_id from found)"))
 def diagnose_unreached(spark, sf):
     return indexed(spark, sf).select("tool_id").join(self_probe(spark, sf).select("tool_id").distinct(), "tool_id", "left_anti")
@@ -864,21 +986,33 @@ def hash_embed(spark, sf):
     return out.select("tool_id", F.size("vector").alias("dim"), r6(vectors.norm(F.col("vector")), "length"))
 
 
-@query("hash_embed_native", S.q(S.CAT, f"t as (select tool_id as id, {S.TOKENS.format('(' + S.index_text() + ')')} as t from cat)", "l as (select *, array_to_string(t, ' ') as line from t)",
-                                "f as (select id, unnest(list_concat(list_concat(t, list_transform(range(1, len(t)), lambda k: t[k] || '_' || t[k + 1])), list_transform(range(1, length(line) - 2), lambda k: '#' || substr(line, k, 4)))) as f from l)",
-                                "c as (select id, ('0x' || substr(md5(f), 1, 15))::bigint as code, count(*) as n from f group by id, f)",
-                                "w as (select id, (code % 512)::int as bucket, sum(case when (code >> 59) % 2 = 1 then 1 else -1 end * (1 + ln(n))) as w from c group by 1, 2)",
-                                "u as (select id, bucket, w / sqrt(sum(w * w) over (partition by id)) as weight from w)", "select id, bucket, round(weight, 6) as weight from u where abs(weight) > 1e-12::double"))
+def _hashed_sql(source: str, id_: str, text_: str, p: str = "") -> tuple[str, ...]:
+    """CTEs that end in {p}u (id, bucket, weight): the native hashed vectors of a source's texts."""
+    return (
+        f"{p}t as (select {id_} as id, {S.TOKENS.format('(' + text_ + ')')} as t from {source})", f"{p}l as (select *, array_to_string(t, ' ') as line from {p}t)",
+        f"{p}f as (select id, unnest(list_concat(list_concat(t, list_transform(range(1, len(t)), lambda k: t[k] || '_' || t[k + 1])), list_transform(range(1, length(line) - 2), lambda k: '#' || substr(line, k, 4)))) as f from {p}l)",
+        f"{p}c as (select id, ('0x' || substr(md5(f), 1, 15))::bigint as code, count(*) as n from {p}f group by id, f)",
+        f"{p}w as (select id, (code % 512)::int as bucket, sum(case when (code >> 59) % 2 = 1 then 1 else -1 end * (1 + ln(n))) as w from {p}c group by 1, 2)",
+        f"{p}u as (select id, bucket, w / sqrt(sum(w * w) over (partition by id)) as weight from {p}w)",
+    )
+
+
+@query("hash_embed_native", S.q(S.CAT, *_hashed_sql("cat", "tool_id", S.index_text()), "select id, bucket, round(weight, 6) as weight from u where abs(weight) > 1e-12::double"))
 def hash_embed_native(spark, sf):
     out = embed.hashing_native(maintain.with_text(parts(spark, sf)).select("tool_id", "text"), "tool_id", "text")
     return out.select("id", "bucket", r6("weight"))
 
 
-@query("semantic_retrieve")
+@query("semantic_retrieve", S.q(S.CAT, *_hashed_sql("cat", "tool_id", S.index_text()), *_hashed_sql("supplier", "s_suppkey", "'red bolt of type economy ' || s_suppkey", "q"),
+                               "pair as (select qu.id as query_id, u.id as tool_id, sum(qu.weight * u.weight) as score from qu join u using (bucket) group by 1, 2)",
+                               "every as (select s_suppkey as query_id, tool_id, round(coalesce(score, 0), 9) + 0.0::double as score from supplier cross join cat left join pair on pair.query_id = s_suppkey and pair.tool_id = cat.tool_id)".replace("select s_suppkey as query_id, tool_id,", "select s_suppkey as query_id, cat.tool_id as tool_id,"),
+                               "hits as (select *, row_number() over (partition by query_id order by score desc, tool_id)::int as rank from every qualify rank <= 5)", _TOP))
 def semantic_retrieve(spark, sf):
-    index = embed.hashing_blake2b(maintain.with_text(parts(spark, sf)).select("tool_id", "text"), "text")
-    asked = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("red bolt of type economy "), F.col("s_suppkey")).alias("text"))
-    return vectors.search(index, embed.hashing_blake2b(asked, "text"), 5).select("query_id", "tool_id", "rank", r6("score"))
+    items = maintain.with_text(parts(spark, sf)).select("tool_id", "text")
+    index = embed.dense(embed.hashing_native(items, "tool_id", "text")).withColumnRenamed("id", "tool_id")
+    asked = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("red bolt of type economy "), F.col("s_suppkey")).alias("text"))
+    vectors_ = embed.dense(embed.hashing_native(asked, "s_suppkey", "text")).withColumnRenamed("id", "query_id")
+    return vectors.search(index, vectors_, 5).select("query_id", "tool_id", "rank", r6("score"))
 
 
 def overlap(query: str, texts: list[str]) -> list[float]:
@@ -894,29 +1028,62 @@ def model_rerank(spark, sf):
     return rerank.model_rerank(hits(spark, sf), asked, idx.select("tool_id", "text"), overlap, 20, 0.7).select("query_id", "tool_id", "rank", r6("score"))
 
 
-@query("enrichment_ablation")
+_NAME = S.index_text().split("concat_ws(chr(10), ")[1].split(" end,")[0] + " end"
+_VARIANTS = {
+    "default": (text.TextConfig(), S.index_text()),
+    "no_name": (text.TextConfig(include_name=False), S.index_text().replace(_NAME + ",", "")),
+    "name_x3": (text.TextConfig(name_weight=3), S.index_text().replace(_NAME + ",", f"{_NAME}, {_NAME}, {_NAME},")),
+    "no_tags": (text.TextConfig(include_tags=False), S.index_text().replace(", 'tags: ' || array_to_string(list_sort(tags), ', ')", "")),
+}
+
+
+def _ablated(name: str, text_sql: str) -> str:
+    corpus = f"corpus as (select tool_id as id, {text_sql} as text from cat), question as (select key as query_id, split_part(name, '_', 2) || ' ' || namespace || ' ' || tags[1] as text from cat where key % 20 = 0)"
+    found = "hit as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank from bm where score > 0 qualify rank <= 5)"
+    last = f"select '{name}' as variant, round(avg((i.namespace = q.namespace)::int), 6) as precision from hit join cat i on i.tool_id = hit.id join cat q on q.key = hit.query_id"
+    return "select * from (" + S.q(S.CAT, corpus, S.BM25, found, last) + ")"
+
+
+@query("enrichment_ablation", " union all ".join(_ablated(n, t) for n, (_, t) in _VARIANTS.items()))
 def enrichment_ablation(spark, sf):
+    """Precision of keyword retrieval, by what goes into the index text, for a question about every twentieth item."""
     cat = parts(spark, sf)
-    asked = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("query_id"), F.lit("small blue ring economy").alias("text"))
+    asked = cat.filter("key % 20 = 0").select(F.col("key").alias("query_id"), F.col("namespace").alias("want"), F.concat_ws(" ", F.split_part("name", F.lit("_"), F.lit(2)), "namespace", F.element_at("tags", 1)).alias("text"))
     out = None
-    for name, config in {"default": text.TextConfig(), "no_name": text.TextConfig(include_name=False), "name_x3": text.TextConfig(name_weight=3), "no_tags": text.TextConfig(include_tags=False)}.items():
-        index = embed.hashing_blake2b(maintain.with_text(cat, config).select("tool_id", "namespace", "text"), "text")
-        found = vectors.search(index, embed.hashing_blake2b(asked, "text"), 5).join(cat.select("tool_id", "namespace"), "tool_id")
-        one = found.groupBy().agg(F.lit(name).alias("variant"), r6(F.avg((F.col("namespace") == "economy").cast("int")), "precision"))
+    for name, (config, _) in _VARIANTS.items():
+        index = retrieve.KeywordIndex.build(maintain.with_text(cat, config), "tool_id", only=retrieve.KeywordIndex.terms_of(asked))
+        found = index.search(asked, 5).join(cat.select("tool_id", "namespace"), "tool_id").join(asked.select("query_id", "want"), "query_id")
+        one = found.agg(r6(F.avg((F.col("namespace") == F.col("want")).cast("int")), "precision")).select(F.lit(name).alias("variant"), "precision")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("multiturn_sweep")
+_TURNS = [(turns, weight) for turns in (0, 1, 2) for weight in (1, 2)]
+
+
+@query("multiturn_sweep", S.q(r"t as (select *, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) as said from conversations), n as (select * from t where said <> '')",
+                             "l as (select conv_id, max(turn) as last from n group by 1)",
+                             "h as (select n.*, row_number() over (partition by conv_id order by turn desc) as place from n join l using (conv_id) where turn < last and role = 'user' and length(text) <= 400)",
+                             "v as (select * from (values " + ", ".join(f"({t}, {w})" for t, w in _TURNS) + ") x(turns, weight))",
+                             "x as (select turns, weight, conv_id, turn, said from h, v where place <= turns union all select turns, weight, n.conv_id, turn, case weight when 2 then said || chr(10) || said else said end from v, n join l on n.conv_id = l.conv_id and turn = last)",
+                             "question as (select conv_id * 100 + turns * 10 + weight as query_id, string_agg(said, chr(10) order by turn) as text from x group by turns, weight, conv_id)",
+                             "corpus as (select conv_id as id, arg_min(text, turn) as text from conversations group by 1)", S.BM25,
+                             "hit as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank from bm where score > 0 qualify rank <= 5)",
+                             "good as (select query_id from hit where id = query_id // 100)",
+                             "select (q.query_id // 10 % 10)::int as turns, (q.query_id % 10)::int as weight, count(*) as queries, round(avg((g.query_id is not null)::int), 6) as recall from question q left join good g using (query_id) group by 1, 2"))
 def multiturn_sweep(spark, sf):
+    """Whether a folded conversation finds its own opening among those of all conversations, by turns and weight."""
     turns = table(spark, sf, "conversations")
-    out = None
-    for n in (0, 1, 2):
-        for weight in (1, 2):
-            folded = feedback.contextual_queries(turns, n, weight)
-            one = folded.agg(F.lit(n).alias("turns"), F.lit(weight).alias("weight"), F.count("*").alias("queries"), r6(F.avg(F.size(text.tokenize(F.col("query")))), "mean_tokens"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    corpus = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    asked = None
+    for n, weight in _TURNS:
+        one = feedback.contextual_queries(turns, n, weight).select((F.col("conv_id") * 100 + n * 10 + weight).alias("query_id"), F.col("query").alias("text"))
+        asked = one if asked is None else asked.unionByName(one)
+    found = retrieve.KeywordIndex.build(corpus, "conv_id", only=retrieve.KeywordIndex.terms_of(asked)).search(asked, 5, "conv_id")
+    good = found.filter(F.col("conv_id") == F.floor(F.col("query_id") / 100)).select("query_id", F.lit(1).alias("good"))
+    per = asked.select("query_id").join(good, "query_id", "left")
+    turn = (F.floor(F.col("query_id") / 10) % 10).cast("int")
+    return per.groupBy(turn.alias("turns"), (F.col("query_id") % 10).cast("int").alias("weight")).agg(F.count("*").alias("queries"), r6(F.avg(F.coalesce("good", F.lit(0))), "recall"))
 
 
 # extensions: event time -------------------------------------------------------------------------------------------
