@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -264,8 +265,8 @@ class VersionedStore:
             hit = (hit if records is None else hit.unionByName(records.select(*keys))).distinct()
             located = now.select(*keys, F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("__dir"))
             same = [located[k].eqNullSafe(hit[k]) for k in keys]
-            found = {r[0] for r in located.join(hit, same, "left_semi").select("__dir").distinct().collect()}  # a row a partition
-            dirs = {p for p, f in held["folders"].items() if any(d.endswith("/" + f) or d.endswith("/" + f.replace("%", "%25")) for d in found)}
+            found = {unquote(r[0]) for r in located.join(hit, same, "left_semi").select("__dir").distinct().collect()}  # a row a partition
+            dirs = {p for p, f in held["folders"].items() if any(d.endswith("/" + f) for d in found)}
         else:
             dirs = set(held["folders"])
         rest = None
@@ -324,10 +325,16 @@ class VersionedStore:
         return 0 if now is None else now.count()
 
     def vacuum(self, keep: int = 1) -> int:
-        """Deletes the folders that none of the last ``keep`` versions names; gives their number."""
+        """Deletes the folders that none of the last ``keep`` versions names, and those of failed writes; gives their number.
+
+        Versions before them can't be read any more. Not to be called while somebody writes.
+        """
         fs, path = self._fs()
-        used = {f.split("/")[0] for v in self.versions()[-keep:] for f in (self.manifest(v) or {"folders": {}})["folders"].values()}
-        old = [n for n in self._names("batch=") if n not in used]
-        for n in old:
-            fs.delete(path(f"{self.path}/{n}"), True)
+        held = [set((self.manifest(v) or {"folders": {}})["folders"].values()) for v in self.versions()]
+        used = set().union(*held[-keep:]) if held else set()
+        named = set().union(*held) if held else set()
+        unnamed = {n for n in self._names("batch=") if not any(f.split("/")[0] == n for f in named)}
+        old = [f for f in sorted((named - used) | unnamed) if fs.exists(path(f"{self.path}/{f}"))]
+        for f in old:
+            fs.delete(path(f"{self.path}/{f}"), True)
         return len(old)

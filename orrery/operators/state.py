@@ -6,6 +6,7 @@ import logging
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ class Table:
             df = self.spark.read.parquet(self.path).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema))
             df.limit(1).collect()
             return df
-        except (StoreError, PySparkException) as broken:
+        except (StoreError, PySparkException, Py4JJavaError) as broken:
             if not self.missing_ok:
                 raise StoreError(f"{self.path} can't be read") from broken
             log.warning("%s is taken as empty: %s", self.path, str(broken).splitlines()[0])
