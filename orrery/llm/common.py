@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import map_arrow, ship, spread
 
-__all__ = ["Memo", "documents", "join_groups", "map_arrow", "shared_dir", "ship", "staged", "word_count"]
+__all__ = ["Memo", "documents", "join_groups", "map_arrow", "release_staged", "shared_dir", "ship", "staged", "word_count"]
 
 #: ASCII white space, the separator of words in every operator here.
 WHITE = r"[\x20\x09-\x0D]"
@@ -20,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_PARTS = 1024
 
 _own_dirs: dict[str, str] = {}
+_staged: list[str] = []
 
 
 class Memo(dict):
@@ -41,10 +43,13 @@ class Memo(dict):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session that is all in one process may
+    leave it unset and gets a temporary one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="orrery-")
@@ -55,9 +60,21 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_staged(spark: SparkSession) -> int:
+    """Deletes what ``staged`` has written for this driver so far, once the results that read it are written themselves;
+    gives the number of tables."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _staged:
+        path = at(_staged.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def documents(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
     """The documents as they are stored; over all cores, unless their order within a file is wanted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

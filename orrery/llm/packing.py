@@ -402,4 +402,5 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SEQUENC
 
 
 def op3_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pack`` of all documents in their stored order."""
     return pack(documents(spark, sf_dir, in_order=True))

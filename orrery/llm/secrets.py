@@ -303,7 +303,8 @@ def scan_secrets(docs: DataFrame, threshold: float = NOVELTY) -> DataFrame:
     """A row a document: doc_id, counts by kind, base_sha256, spans, n_novel; whole texts, null as empty.
 
     Spans are code points ``kind:start:end``, end exclusive. Documents without any span have empty ``spans``.
-    Repeated rows are scanned each; an empty table gives no rows. Extra columns are ignored.
+    Time is linear in a text's length. Repeated rows are scanned each and alike; an empty table gives no rows. Extra
+    columns are ignored, whatever their names.
     """
     identifiers = identifier_dictionary(docs)
     pairs = letter_pairs(identifiers)
@@ -323,4 +324,5 @@ def scan_secrets(docs: DataFrame, threshold: float = NOVELTY) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scan_secrets`` of all documents."""
     return scan_secrets(documents(spark, sf_dir))

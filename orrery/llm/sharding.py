@@ -80,7 +80,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Law ``rows``: shards are consecutive runs of the curve whose row counts differ by one at most. Within a cell
     the order is by hash slice, then doc_id, checksum and size; rows equal in all of these are interchangeable.
-    Null texts count as empty. An empty table gives no rows.
+    Null texts count as empty; repeated rows are placed each. An empty table gives no rows, extra columns are ignored.
     """
     spark = docs.sparkSession
     rows = staged(placed(docs), "hilbert-rows")
@@ -128,4 +128,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, rows_per_file
 
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hilbert_shards`` of all documents, in sixteen shards."""
     return hilbert_shards(documents(spark, sf_dir))

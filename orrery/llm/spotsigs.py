@@ -27,6 +27,8 @@ CHAIN, PASSED = 2, 3
 #: One word in so many, chosen by its hash, is an anchor too; that covers texts without function words.
 HASHED = 16
 
+_UNSPACED = "[\\u0E00-\\u0EFF\\u1780-\\u17FF\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF]"
+
 _SEEN = sorted(set(ANCHORS.split()))
 _ALTERNATIVES = "|".join(c + "(?:" + "|".join(sorted((w[1:] for w in words), key=len, reverse=True)) + ")" for c, words in ((c, list(g)) for c, g in groupby(_SEEN, key=lambda w: w[0])))
 
@@ -34,9 +36,11 @@ _ALTERNATIVES = "|".join(c + "(?:" + "|".join(sorted((w[1:] for w in words), key
 def signatures(text: Column) -> Column:
     """The sorted set of 32-bit spot signatures of a text; empty for a null or empty one.
 
-    A text with words has at least the signature of its start; one of marks only has its whole as signature.
+    A text with words has at least the signature of its start; one of marks only has its whole as signature. Scripts
+    that are written without spaces (Han, kana, Thai, Lao, Khmer) have a word a letter.
     """
-    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    parted = F.when(text.rlike(_UNSPACED), F.regexp_replace(text, _UNSPACED, " $0 ")).otherwise(text)
+    words = F.trim(F.regexp_replace(F.lower(parted), r"[^\p{L}\p{N}]+", " "))
     padded = F.concat(F.lit(" "), words, F.lit(" "))
     anchors = F.regexp_extract_all(padded, F.lit(f" ({_ALTERNATIVES})(?= )"), F.lit(1))
     pieces = F.split(padded, f" (?:{_ALTERNATIVES})(?= )")
@@ -89,7 +93,8 @@ BLOCK = 128
 def spot_links(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """a, b, likeness: all pairs of texts whose fingerprints are alike to ``least`` or more, a below b.
 
-    Equal sets form one class under its smallest id. A set of n signatures looks only at its n - ceil(least * n)
+    Equal sets form one class under its smallest id; null and empty texts have no pairs, an empty table gives no rows and
+    extra columns are ignored. A set of n signatures looks only at its n - ceil(least * n)
     + 1 rarest: alike sets share one of those. Postings are split by length partition, sets meet only in their own
     and the next one. All sets there are compared, two blocks at a time inside a task, each pair only at the first
     signature it shares; just the alike ones become rows.
@@ -190,7 +195,8 @@ def edit_report(docs: DataFrame) -> DataFrame:
     """How far fingerprints bear edits: a row a document with the likeness to its edited text and to the next document.
 
     The edited text is the text with its last floor(n / 2) code points replaced by as many of the next document's
-    first ones (or all). Null texts count as empty; repeated rows follow each other.
+    first ones (or all). Null texts count as empty; repeated rows and rows without an id follow each other, in the order
+    of their texts' hashes. Whole texts count however long; an empty table gives no rows, extra columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), signatures(text).alias("sigs"), F.xxhash64(text).alias("__order"))
@@ -206,4 +212,5 @@ def edit_report(docs: DataFrame) -> DataFrame:
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edit_report`` of all documents."""
     return edit_report(documents(spark, sf_dir))

@@ -113,3 +113,48 @@ def test_links_are_those_of_brute_force(make, monkeypatch):
         want = sorted((a, b) for k, (a, s) in enumerate(found) for b, t in found[k + 1 :] if len(s & t) / len(s | t) >= least)
         got = sorted((r.a, r.b) for r in S.spot_links(docs, least).collect())
         assert got == want and len(want) > 20
+
+
+def parts_of(text):
+    """What each signature hashes, by plain loops over the words: a common word with the next content words, and triples."""
+    import re
+
+    spaced = re.sub("([\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff])", r" \1 ", text)
+    words = re.findall(r"[^\W_]+", spaced.lower())
+    common = set(S.ANCHORS.split())
+    chains = []
+    for k, w in enumerate(words):
+        if w in common:
+            chain, passed = [], 0
+            for x in words[k + 1 :]:
+                if x in common:
+                    passed += 1
+                    if passed > S.PASSED:
+                        break
+                elif len(chain) < S.CHAIN:
+                    chain.append(x)
+            chains.append((w, " ".join(chain)))
+    triples = [tuple(words[k : k + S.CHAIN + 1]) for k in range(len(words) - S.CHAIN)]
+    return words, chains, triples
+
+
+def test_signatures_against_plain_loops(spark, make):
+    rng = random.Random(21)
+    words = ["the", "of", "and", "für", "el", "Über", "river", "stone", "x1", "42", "naïve", "Zürich", "glass,", "door.", "(wind)", "the-end"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(60)] + ["日本語のテキスト", "one", "the", "the of", "a b", "the cat"]
+    for text, got in zip(texts, (set(r.s) for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", S.signatures(F.col("t")).alias("s")).orderBy("k").collect())):
+        said, chains, triples = parts_of(text)
+        if len(said) > S.CHAIN:
+            hashed = spark.createDataFrame([(said[k], *t) for k, t in enumerate(triples)], "w string, a string, b string, c string").select("w", F.hash("a", "b", "c").alias("h"), (F.pmod(F.hash("w"), F.lit(S.HASHED)) == 0).alias("on")).collect()
+            want = {r.h for k, r in enumerate(hashed) if k == 0 or r.on}
+        else:
+            want = {spark.range(1).select(F.hash(F.lit(" ".join(said)))).first()[0]}
+        if chains:
+            want |= {r.h for r in spark.createDataFrame(chains, "a string, c string").select(F.hash("a", "c").alias("h")).collect()}
+        assert got == want, text
+
+
+def test_scripts_without_spaces_have_words(spark):
+    near = lambda a, b: spark.range(1).select(S.likeness(S.signatures(F.lit(a)), S.signatures(F.lit(b)))).first()[0]
+    a = "今天天气很好我们一起去公园散步然后回家吃饭看书睡觉明天再去学校上课学习新的知识和朋友们聊天"
+    assert near(a, a[:-2] + "玩耍") > 0.5 > near(a, a[::-1])
