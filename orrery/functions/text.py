@@ -7,12 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Where identifiers part; fixed value.
 _SPLIT = r"[_\-./]+|(?<=[a-z0-9])(?=[A-Z])"
 
 #: Leading verbs of the default risk guess; fixed values.
 DESTRUCTIVE = ("delete", "remove", "drop", "destroy", "purge", "revoke", "terminate", "wipe", "erase")
 MUTATING = ("create", "update", "write", "send", "post", "put", "patch", "set", "insert", "modify", "restart", "deploy")
 
+#: Labels of the sections of index texts; fixed values.
+NAMESPACE_LABEL = "namespace: "
+TAGS_LABEL = "tags: "
+EXAMPLES_LABEL = "examples: "
+PARAMETERS_LABEL = "parameters: "
+REQUIRED_LABEL = " [required]"
+
 #: Names that models accept: at most 64 characters, namespace and name joined by this separator.
 NAME_SEPARATOR, MAX_NAME = "__", 64
 
@@ -85,9 +93,9 @@ def describe_schema(schema: Column, max_parameters: int = 12) -> Column:
         spec = F.element_at(specs, name)
         about = F.when(F.length(spec["description"]) > 0, F.concat(F.lit(": "), spec["description"]))
         kind = F.when(spec["type"].isNotNull(), F.concat(F.lit(" ("), spec["type"], F.lit(")")))
-        return F.concat(humanize(name), F.coalesce(about, kind, F.lit("")), F.when(F.array_contains(required, name), " [required]").otherwise(""))
+        return F.concat(humanize(name), F.coalesce(about, kind, F.lit("")), F.when(F.array_contains(required, name), REQUIRED_LABEL).otherwise(""))
 
-    return F.when(F.size(names) > 0, F.concat(F.lit("parameters: "), F.array_join(F.transform(names, piece), "; ")))
+    return F.when(F.size(names) > 0, F.concat(F.lit(PARAMETERS_LABEL), F.array_join(F.transform(names, piece), "; ")))
 
 
 def index_text(columns: set[str], config: TextConfig = TextConfig()) -> Column:
@@ -99,14 +107,14 @@ def index_text(columns: set[str], config: TextConfig = TextConfig()) -> Column:
         line = F.when(readable == c("name"), c("name")).otherwise(F.concat(c("name"), F.lit(" ("), readable, F.lit(")")))
         parts += [line] * config.name_weight
     if config.include_namespace and "namespace" in columns:
-        parts.append(F.when(c("namespace") != "default", F.concat(F.lit("namespace: "), humanize(c("namespace")))))
+        parts.append(F.when(c("namespace") != "default", F.concat(F.lit(NAMESPACE_LABEL), humanize(c("namespace")))))
     if config.include_description and "description" in columns and config.description_weight:
         text = F.substring(F.trim(c("description")), 1, config.max_description_chars)
         parts += [F.when(c("description") != "", text)] * config.description_weight
     if config.include_tags and "tags" in columns:
-        parts.append(F.when(F.size("tags") > 0, F.concat(F.lit("tags: "), F.array_join(F.array_sort("tags"), ", "))))
+        parts.append(F.when(F.size("tags") > 0, F.concat(F.lit(TAGS_LABEL), F.array_join(F.array_sort("tags"), ", "))))
     if config.include_parameters and "input_schema" in columns:
         parts.append(describe_schema(c("input_schema"), config.max_parameters))
     if config.include_examples and "examples" in columns:
-        parts.append(F.when(F.size("examples") > 0, F.concat(F.lit("examples: "), F.array_join("examples", " | "))))
+        parts.append(F.when(F.size("examples") > 0, F.concat(F.lit(EXAMPLES_LABEL), F.array_join("examples", " | "))))
     return F.concat_ws("\n", *parts)

@@ -9,11 +9,14 @@ from .policy import AgentPolicies
 
 UNDESCRIBED, SHADOWED, THIN, TWINNED = "undescribed", "shadowed", "thin", "twinned"
 MIN_DESCRIPTION = 16
+#: Agents that are broadcast to the catalogue's rows; the result has a row a pair in any case.
+MAX_AGENTS = 10_000
 
 
 def reach(policies: AgentPolicies, catalogue: DataFrame, agents: DataFrame) -> DataFrame:
     """agent, tool_id, risk_level, reachable for every agent (agent, scopes, tenant) by the static per-item rules."""
-    every = catalogue.join(F.broadcast(agents), how="cross").withColumn("score", F.lit(1.0)).withColumn("query_id", F.col("agent"))
+    few = agents.limit(MAX_AGENTS + 1).count() <= MAX_AGENTS
+    every = catalogue.join(F.broadcast(agents) if few else agents, how="cross").withColumn("score", F.lit(1.0)).withColumn("query_id", F.col("agent"))
     return policies.judged(every).select("agent", "tool_id", "risk_level", (F.col("decision") == "allow").alias("reachable"))
 
 

@@ -18,6 +18,24 @@ from ..schema import COST_TIERS, RISK_TIERS, PolicyError, tier
 ALLOW, DENY = "allow", "deny"
 VERDICT = "struct<decision:string,reason:string>"
 
+#: Reasons of verdicts. Exclusions are compared by them.
+DENIED = "denied by pattern"
+ALLOWED = "matched allow pattern "
+NOT_ALLOWED = "not in the allowlist"
+NO_SCOPES = "missing scopes: "
+ALL_SCOPES = "all required scopes held"
+SHARED = "shared tool, no tenant"
+UNOWNED = "tool has no tenant and shared tools are disabled"
+NO_TENANT = "request declared no tenant"
+OTHER_TENANT = "belongs to another tenant"
+OWN_TENANT = "tenant "
+DENIED_TAGS = "carries denied tag(s): "
+NO_TAGS = "missing required tag(s): "
+BY_DEFAULT = "denied by default policy"
+ABOVE = " exceeds ceiling "
+BELOW = " below threshold "
+BEYOND = "beyond max_tools limit of "
+
 
 def glob_regex(pattern: str) -> str:
     """A shell pattern as an anchored Java regular expression: ``*`` and ``?`` cross ``/``, ``[...]`` is a class."""
@@ -73,7 +91,7 @@ def _quoted(c: Column) -> Column:
 @dataclass(frozen=True)
 class DenyTools(Rule):
     patterns: tuple[str, ...] = ()
-    reason: str = "denied by pattern"
+    reason: str = DENIED
     case_sensitive: bool = False
 
     def check(self) -> Column:
@@ -90,7 +108,7 @@ class AllowTools(Rule):
 
     def check(self) -> Column:
         hit = first_match(self.patterns, self.case_sensitive)
-        return F.when(hit.isNotNull(), verdict(ALLOW, F.concat(F.lit("matched allow pattern "), _quoted(hit)))).otherwise(verdict(DENY, "not in the allowlist"))
+        return F.when(hit.isNotNull(), verdict(ALLOW, F.concat(F.lit(ALLOWED), _quoted(hit)))).otherwise(verdict(DENY, NOT_ALLOWED))
 
 
 @dataclass(frozen=True)
@@ -100,8 +118,8 @@ class RequireScopes(Rule):
     def check(self) -> Column:
         need = F.coalesce(F.col("required_scopes"), F.array().cast("array<string>"))
         missing = F.array_sort(F.array_except(need, F.coalesce(F.col("scopes"), F.array().cast("array<string>"))))
-        denied = verdict(DENY, F.concat(F.lit("missing scopes: "), F.array_join(missing, ", ")))
-        return F.when(F.size(need) == 0, F.lit(None).cast(VERDICT)).when(F.size(missing) > 0, denied).otherwise(verdict(ALLOW, "all required scopes held"))
+        denied = verdict(DENY, F.concat(F.lit(NO_SCOPES), F.array_join(missing, ", ")))
+        return F.when(F.size(need) == 0, F.lit(None).cast(VERDICT)).when(F.size(missing) > 0, denied).otherwise(verdict(ALLOW, ALL_SCOPES))
 
 
 @dataclass(frozen=True)
@@ -113,12 +131,12 @@ class TenantIsolation(Rule):
 
     def check(self) -> Column:
         owner, tenant = F.col("owner"), F.col("tenant")
-        unowned = verdict(ALLOW, "shared tool, no tenant") if self.shared else verdict(DENY, "tool has no tenant and shared tools are disabled")
+        unowned = verdict(ALLOW, SHARED) if self.shared else verdict(DENY, UNOWNED)
         return (
             F.when(owner.isNull(), unowned)
-            .when(tenant.isNull(), verdict(DENY, "request declared no tenant"))
-            .when(owner != tenant, verdict(DENY, "belongs to another tenant"))
-            .otherwise(verdict(ALLOW, F.concat(F.lit("tenant "), owner)))
+            .when(tenant.isNull(), verdict(DENY, NO_TENANT))
+            .when(owner != tenant, verdict(DENY, OTHER_TENANT))
+            .otherwise(verdict(ALLOW, F.concat(F.lit(OWN_TENANT), owner)))
         )
 
 
@@ -130,7 +148,7 @@ class MaxLevel(Rule):
     def check(self) -> Column:
         tiers = RISK_TIERS if self.kind == "risk" else COST_TIERS
         level = F.col(f"{self.kind}_level")
-        reason = F.concat(F.lit(f"{self.kind} "), tier(level, tiers), F.lit(f" exceeds ceiling {self.ceiling}"))
+        reason = F.concat(F.lit(f"{self.kind} "), tier(level, tiers), F.lit(ABOVE + self.ceiling))
         return F.when(level > tiers.index(self.ceiling), verdict(DENY, reason))
 
 
@@ -148,7 +166,7 @@ class DenyTags(Rule):
 
     def check(self) -> Column:
         hit = F.array_sort(F.array_intersect(F.coalesce("tags", F.array().cast("array<string>")), _words(self.tags)))
-        return F.when(F.size(hit) > 0, verdict(DENY, F.concat(F.lit("carries denied tag(s): "), F.array_join(hit, ", "))))
+        return F.when(F.size(hit) > 0, verdict(DENY, F.concat(F.lit(DENIED_TAGS), F.array_join(hit, ", "))))
 
 
 @dataclass(frozen=True)
@@ -157,7 +175,7 @@ class RequireTags(Rule):
 
     def check(self) -> Column:
         missing = F.array_sort(F.array_except(_words(self.tags), F.coalesce("tags", F.array().cast("array<string>"))))
-        return F.when(F.size(missing) > 0, verdict(DENY, F.concat(F.lit("missing required tag(s): "), F.array_join(missing, ", "))))
+        return F.when(F.size(missing) > 0, verdict(DENY, F.concat(F.lit(NO_TAGS), F.array_join(missing, ", "))))
 
 
 @dataclass(frozen=True)
@@ -181,7 +199,7 @@ class MinScore:
     name: str = "min_score"
 
     def dropped(self, df: DataFrame) -> Column:
-        reason = F.concat(F.lit("score "), F.format_string("%.4f", "score"), F.lit(f" below threshold {self.threshold:.4f}"))
+        reason = F.concat(F.lit("score "), F.format_string("%.4f", "score"), F.lit(f"{BELOW}{self.threshold:.4f}"))
         return F.when(F.col("score") < self.threshold, reason)
 
     def apply(self, df: DataFrame) -> DataFrame:
@@ -205,7 +223,7 @@ class MaxTools:
         place = F.row_number().over(Window.partitionBy("query_id", "__live", "__pin").orderBy("rank"))
         room = F.greatest(F.lit(self.limit) - pins, F.lit(0))
         out = df.withColumn("__pin", pin).withColumn("__room", room).withColumn("__place", place)
-        reason = F.lit(f"beyond max_tools limit of {self.limit}")
+        reason = F.lit(f"{BEYOND}{self.limit}")
         over = F.col("__live") & ~F.col("__pin") & (F.col("__place") > F.col("__room"))
         return out.withColumn("__drop", F.when(over, reason)).drop("__pin", "__room", "__place")
 
@@ -276,7 +294,7 @@ class Policy:
 def _explained(judged: DataFrame) -> DataFrame:
     denials = F.filter("firings", lambda x: x["decision"] == DENY)
     said = F.array_join(F.transform(denials, lambda x: F.concat(x["rule"], F.lit(": "), x["reason"])), "; ")
-    reason = F.when(F.size(denials) > 0, said).otherwise("denied by default policy")
+    reason = F.when(F.size(denials) > 0, said).otherwise(BY_DEFAULT)
     return judged.withColumn("reason", F.when(F.col("decision") == DENY, reason))
 
 
