@@ -121,10 +121,13 @@ def manifest(sharded: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, rows_per_file: int = 100_000) -> None:
-    """Write ``docs`` into ``path/shard=N`` in slot order; doc_id must be unique. Each text is shuffled once."""
+    """Write ``docs`` into ``path/shard=N`` in slot order; doc_id must be unique, and a column ``shard`` gives way. Each text
+    is shuffled once."""
     where = hilbert_shards(docs, shards).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    out = docs.join(where, docs["doc_id"].eqNullSafe(F.col("__id"))).drop("__id")
-    out.repartition("shard", F.expr(f"slot div {rows_per_file}")).sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"))
+    out = rows.join(where, rows["__row.doc_id"].eqNullSafe(where["__id"]))
+    out = out.repartition("shard", F.expr(f"slot div {rows_per_file}")).sortWithinPartitions("shard", "slot")
+    out.select(*(F.col("__row")[c].alias(c) for c in docs.columns if c != "shard"), "shard").write.partitionBy("shard").parquet(path)
 
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
