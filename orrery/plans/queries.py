@@ -980,7 +980,7 @@ def diagnose_unreached(spark, sf):
 # embedding and model surfaces --------------------------------------------------------------------------------------
 
 
-@query("hash_embed")
+@query("hash_embed", S.q(S.CAT, "select tool_id, 512::int as dim, 1.0::double as length from cat"))
 def hash_embed(spark, sf):
     out = embed.hashing_blake2b(maintain.with_text(parts(spark, sf)).select("tool_id", "text"), "text")
     return out.select("tool_id", F.size("vector").alias("dim"), r6(vectors.norm(F.col("vector")), "length"))
@@ -1021,7 +1021,9 @@ def overlap(query: str, texts: list[str]) -> list[float]:
     return [len(want & set(embed.words_of(t))) / max(len(want), 1) for t in texts]
 
 
-@query("model_rerank")
+@query("model_rerank", S.q(S.SCORED, S.hits(20), f"w as (select h.query_id as query_id, h.tool_id as tool_id, h.score as score, list_distinct({S.TOKENS.format('r.description')}) as want, list_distinct({S.TOKENS.format('(' + S.index_text('h.') + ')')}) as have from hits h join idx r on r.key = h.query_id)",
+                           "m as (select query_id, tool_id, round(0.7::double * (len(list_intersect(want, have)) / greatest(len(want), 1)::double) + (1 - 0.7::double) * score, 9) as score from w)",
+                           "select query_id, tool_id, row_number() over (partition by query_id order by score desc, tool_id)::int as rank, round(score, 6) as score from m"))
 def model_rerank(spark, sf):
     idx = maintain.with_text(indexed(spark, sf))
     asked = idx.select(F.col("key").alias("query_id"), F.col("description").alias("text"))
