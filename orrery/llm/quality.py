@@ -9,7 +9,6 @@ document is scored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, map_arrow
+from .common import documents, map_arrow
+from .words import hashes_and_shapes
 
 #: Documented bounds of what the fit sees: labelled documents, and the documents drawn in a round for the views to label
 #: for each other. Each round draws others from all documents.
@@ -32,10 +32,6 @@ PSEUDO_WEIGHT = 0.5
 TEXT_BITS = 14
 TEXT_SIZE = 1 << TEXT_BITS
 STEPS, MORE_STEPS, RATE, RIDGE = 80, 25, 0.2, 1e-5
-MEMO = 150_000
-
-_CLASSES = bytes(0x58 if 65 <= c <= 90 else 0x78 if 97 <= c <= 122 or c >= 128 else 0x39 if 48 <= c <= 57 else c for c in range(256))
-_RUNS = re.compile(rb"(.)\1+", re.S)
 HOSTS, LANGS, SIZES, PAIRS = 1024, 64, 40, 2048
 PAGE_SIZE = HOSTS + LANGS + SIZES + 2 * PAIRS
 
@@ -44,31 +40,15 @@ def _bucket(value: bytes, size: int) -> int:
     return xxhash.xxh3_64_intdigest(value) % size
 
 
-class WordFeatures(Memo):
-    """Two feature numbers of a word, as bytes: of the word itself and of its shape (Xx. for Word.)."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        shape = _RUNS.sub(rb"\1", word.translate(_CLASSES))[:16]
-        # shapes have the upper half of the numbers, without the last one
-        pair = np.array([_bucket(word, TEXT_SIZE // 2), TEXT_SIZE // 2 + _bucket(shape, TEXT_SIZE // 2 - 1)], "<u2").tobytes()
-        if len(word) <= 64:
-            self[word] = pair
-        return pair
-
-
-_features = WordFeatures(MEMO)
-
-
-def _end_task() -> None:
-    """Idle workers hold no words; a function of the module, so that workers reach their own memo."""
-    _features.clear()
-
+def text_features(hashes: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and values (log counts, unit length) of the text view, from the hashes of words and of their shapes.
 
-def text_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and values (log counts, unit length) of the text view."""
-    pairs = np.frombuffer(b"".join(map(_features.__getitem__, words)), "<u2")
-    counts = np.bincount(pairs, minlength=TEXT_SIZE).astype(np.float64)
-    own = pairs[::2]
+    Words have the lower half of the numbers and shapes the upper one, but for the last: words that follow themselves.
+    """
+    half = np.uint64(TEXT_SIZE // 2)
+    own = (hashes % half).astype(np.int64)
+    forms = (shapes % (half - np.uint64(1))).astype(np.int64) + TEXT_SIZE // 2
+    counts = np.bincount(np.concatenate([own, forms]), minlength=TEXT_SIZE).astype(np.float64)
     counts[TEXT_SIZE - 1] = np.count_nonzero(own[1:] == own[:-1])
     at = np.flatnonzero(counts)
     values = np.log1p(counts[at])
@@ -91,6 +71,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+#: Values of sparse rows that are multiplied at a time, so that a fit holds little besides the rows.
+AT_ONCE = 1 << 18
+
+
 @dataclass
 class Rows:
     """Sparse rows: row numbers, feature numbers and values."""
@@ -102,18 +86,29 @@ class Rows:
     width: int
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.at], self.n) + w[-1]
+        return self._by(self.row, self.at, w, self.n) + w[-1]
+
+    def _by(self, into: np.ndarray, of: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
+        """Sums of value * w[of] by ``into``."""
+        out = np.zeros(size)
+        for k in range(0, len(self.value), AT_ONCE):
+            part = slice(k, k + AT_ONCE)
+            out += np.bincount(into[part], self.value[part] * w[of[part]], size)
+        return out
+
+    def weighted(self, weight: np.ndarray) -> Rows:
+        """The rows with a weight, under their own numbers."""
+        used = weight[self.row] > 0
+        return Rows(self.row[used], self.at[used], self.value[used], self.n, self.width)
 
     def fit(self, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
         """Weighted logistic regression (the last number is the intercept) by Adam over all rows, from earlier weights on."""
-        used = weight[self.row] > 0
-        row, at, value = self.row[used], self.at[used], self.value[used]
+        rows = self.weighted(weight)
         w = np.zeros(self.width + 1) if start is None else start
         m, v, total = np.zeros_like(w), np.zeros_like(w), max(weight.sum(), 1e-9)
         for step in range(1, (STEPS if start is None else MORE_STEPS) + 1):
-            z = np.bincount(row, value * w[at], self.n) + w[-1]
-            g = weight * (sigmoid(z) - y) / total
-            grad = np.append(np.bincount(at, value * g[row], self.width), g.sum()) + RIDGE * w
+            g = weight * (sigmoid(rows.dot(w)) - y) / total
+            grad = np.append(rows._by(rows.at, rows.row, g, self.width), g.sum()) + RIDGE * w
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return w
@@ -182,7 +177,10 @@ class Model:
 
     def score(self, text: bytes, source: str | None, lang: str | None, n_chars: int | None) -> tuple[float, float, float]:
         """Calibrated probabilities of good quality: by the text, by the page, combined."""
-        at, value = text_features(text.split())
+        return self.scored(*next(hashes_and_shapes(pa.array([text], pa.binary()))), source, lang, n_chars)
+
+    def scored(self, hashes: np.ndarray, shapes: np.ndarray, source: str | None, lang: str | None, n_chars: int | None) -> tuple[float, float, float]:
+        at, value = text_features(hashes, shapes)
         zt = self.text_scale[0] * ((value * self.text[at]).sum() + self.text[-1]) + self.text_scale[1]
         zp = self.page_scale[0] * (self.page[page_features(source, lang, n_chars)].sum() + self.page[-1]) + self.page_scale[1]
         p = sigmoid(np.array([zt, zp, self.both @ np.array([zt, zp, 1.0])]))
@@ -224,21 +222,20 @@ def co_train(text: Rows, page: Rows, y: np.ndarray, held: np.ndarray, rounds: in
     return Model(weights["text"], weights["page"], scales["text"], scales["page"], both)
 
 
-SAMPLE = "doc_id long, y int, draw int, at array<int>, value array<float>, page array<int>"
+SAMPLE = "doc_id long, y int, draw int, at array<short>, value array<float>, page array<short>"
 #: The columns that both views see.
 SEEN = ("text", "lang", "source", "n_chars")
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        _features.use()
         rows = []
-        for doc_id, text, lang, source, n_chars, y, draw in zip(*(c.to_pylist() for c in b.columns)):
-            at, value = text_features((text or "").encode().split())
-            rows.append((doc_id, y, draw, at.astype(np.int32), value.astype(np.float32), page_features(source, lang, n_chars).astype(np.int32)))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32())]
+        texts, rest = hashes_and_shapes(b.column(1).cast(pa.binary())), (c.to_pylist() for k, c in enumerate(b.columns) if k != 1)
+        for seen, doc_id, lang, source, n_chars, y, draw in zip(texts, *rest):
+            at, value = text_features(*seen)
+            rows.append((doc_id, y, draw, at.astype(np.int16), value.astype(np.float32), page_features(source, lang, n_chars).astype(np.int16)))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int16()), pa.list_(pa.float32()), pa.list_(pa.int16())]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], ["doc_id", "y", "draw", "at", "value", "page"])
-    _end_task()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model | None:
@@ -267,9 +264,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     def sparse(at: str, value: str | None, width: int) -> Rows:
         lists = table[at].combine_chunks()
         lengths = np.diff(np.asarray(lists.offsets))
-        flat = np.asarray(lists.flatten()).astype(np.int64)
-        values = np.asarray(table[value].combine_chunks().flatten()).astype(np.float64) if value else np.ones(len(flat))
-        return Rows(np.repeat(np.arange(len(lengths)), lengths), flat, values, len(lengths), width)
+        flat = np.asarray(lists.flatten())
+        values = np.asarray(table[value].combine_chunks().flatten()) if value else np.ones(len(flat), np.float32)
+        return Rows(np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), flat, values, len(lengths), width)
 
     held = np.zeros(len(y), bool)
     for label in (0, 1):
@@ -281,9 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
 def _scores(model: Model | None, b: pa.RecordBatch) -> list[tuple[float, float, float]]:
     if model is None:
         return [(1.0, 1.0, 1.0)] * b.num_rows
-    _features.use()
     rest = (b.column(c).to_pylist() for c in ("source", "lang", "n_chars"))
-    return [model.score((t.as_py() or "").encode(), *r) for t, *r in zip(b.column("text"), *rest)]
+    return [model.scored(*seen, *r) for seen, *r in zip(hashes_and_shapes(b.column("text").cast(pa.binary())), *rest)]
 
 
 def score(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
@@ -297,7 +293,6 @@ def score(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame
         for b in batches:
             p = np.round(np.array(_scores(model, b), np.float64).reshape(-1, 3), 6)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= least)], ["doc_id", "p_text", "p_page", "score", "kept"])
-        _end_task()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *SEEN)
     return map_arrow(rows, run, "doc_id long, p_text double, p_page double, score double, kept boolean")
@@ -310,7 +305,6 @@ def keep_good(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([round(p, 6) >= least for _, _, p in _scores(model, b)], pa.bool_()))
-        _end_task()
 
     return map_arrow(docs, run, docs.schema)
 
