@@ -7,12 +7,14 @@ vectors tie whatever the order of summation.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ..schema import DimensionMismatchError
 from ..session import map_arrow, ship
@@ -160,8 +162,13 @@ def _by_blocks(rows: DataFrame, asked: DataFrame, k: int, metric: str, id_col: s
     """The k best of every pair of a block of queries and a block of the index."""
     parts = max(1, -(-rows.count() // INDEX_BLOCK))
     sets = max(1, -(-asked.count() // MAX_QUERIES))
-    mine = rows.select(F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("i"), F.explode(F.expr(f"sequence(0L, {sets - 1}L)")).alias("j"), F.col(id_col).alias("id"), F.lit(None).cast(dict(asked.dtypes)["query_id"]).alias("q"), "v")
-    theirs = asked.select(F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(sets)).alias("j"), F.lit(None).cast(dict(rows.dtypes)[id_col]).alias("id"), F.col("query_id").alias("q"), "v")
+    mine = rows.select(F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("i"), F.explode(F.expr(f"sequence(0L, {sets - 1}L)")).alias("j"), F.col(id_col).alias("id"), "v")
+    theirs = asked.select(F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(sets)).alias("j"), F.col("query_id").alias("q"), "v")
+    return _met(mine, theirs, k, metric, id_col, schema)
+
+
+def _met(mine: DataFrame, theirs: DataFrame, k: int, metric: str, id_col: str, schema: str) -> DataFrame:
+    """The k best rows (i, j, id, v) of each block (i, j) for its queries (i, j, q, v)."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -174,8 +181,78 @@ def _by_blocks(rows: DataFrame, asked: DataFrame, k: int, metric: str, id_col: s
             return pa.Table.from_batches([best.table(ids, id_col)])
         return pa.table({"query_id": ids[:0], id_col: held["id"].combine_chunks()[:0], "score": pa.array([], pa.float64())})
 
-    ship(rows.sparkSession)
-    return mine.unionByName(theirs).groupBy("i", "j").applyInArrow(run, schema)
+    ship(mine.sparkSession)
+    both = mine.unionByName(theirs, allowMissingColumns=True).select("i", "j", "id", "q", "v")
+    return both.groupBy("i", "j").applyInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """An approximate index: rows lie in the cell of the centroid that is nearest by angle; a search looks into some cells.
+
+    ``fit`` sees a bounded sample, ``place`` puts every row into a cell, whatever cells they are when stored; recall is
+    measured by ``recall`` against the exact search.
+    """
+
+    centroids: np.ndarray
+
+    @staticmethod
+    def fit(index: DataFrame, cells: int = 64, sample: int = 20_000, rounds: int = 12, id_col: str = "tool_id", vector_col: str = "vector") -> Cells:
+        """Centroids from about ``sample`` rows drawn by a hash of their id (spherical k-means)."""
+        share = min(1.0, sample / max(index.count(), 1))
+        drawn = index.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < int(1_000_003 * share)).orderBy(id_col)
+        rows = _units(_matrix(drawn.select(doubles(F.col(vector_col)).alias("v")).toArrow().combine_chunks()["v"].combine_chunks()))
+        rng = np.random.default_rng(0)
+        at = rows[rng.choice(len(rows), min(cells, len(rows)), replace=False)]
+        for _ in range(rounds):
+            own = np.argmax(rows @ at.T, axis=1)
+            sums = np.zeros_like(at)
+            np.add.at(sums, own, rows)
+            at = np.where((np.bincount(own, minlength=len(at)) > 0)[:, None], _units(sums), at)
+        return Cells(at)
+
+    def _nearest(self, df: DataFrame, vector_col: str, n: int, out: str) -> DataFrame:
+        centroids = self.centroids
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                near = np.argsort(-(_matrix(b.column(b.num_columns - 1)) @ centroids.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+                flat = pa.array(near.ravel())
+                cells = flat if n == 1 else pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), flat)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], cells], [*b.schema.names[:-1], out])
+
+        kind = IntegerType() if n == 1 else ArrayType(IntegerType())
+        fields = StructType([*df.schema.fields]).add(out, kind)
+        return map_arrow(df.withColumn("__v", doubles(F.col(vector_col))), run, fields)
+
+    def place(self, index: DataFrame, vector_col: str = "vector") -> DataFrame:
+        """``index`` with its rows' ``cell``; write it partitioned or sorted by cell, so that a search reads those it needs."""
+        return self._nearest(index, vector_col, 1, "cell")
+
+    def search(self, placed: DataFrame, queries: DataFrame, k: int, probes: int = 8, metric: str = "cosine", id_col: str = "tool_id", vector_col: str = "vector") -> DataFrame:
+        """As ``search``, in the ``probes`` nearest cells of each query. Cells are cut into blocks, so a large one is many tasks."""
+        schema = f"query_id {dict(queries.dtypes)['query_id']}, {id_col} {dict(placed.dtypes)[id_col]}, score double"
+        probed = self._nearest(queries.select("query_id", "vector"), "vector", max(probes, 2), "cells").select("query_id", doubles(F.col("vector")).alias("v"), F.explode(F.slice("cells", 1, probes)).alias("cell"))
+        sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / INDEX_BLOCK).cast("int").alias("parts"))  # a row a cell
+        asked = probed.groupBy("cell").agg(F.ceil(F.count("*") / MAX_QUERIES).cast("int").alias("sets"))
+        cells = F.broadcast(sizes.join(asked, "cell"))
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        block = lambda part, set_: [F.struct("cell", part.alias("part")).alias("i"), set_.alias("j")]
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        mine = placed.join(cells, "cell").withColumn("set", F.explode(every("sets"))).select(*block(deal(id_col, "parts"), F.col("set")), F.col(id_col).alias("id"), doubles(F.col(vector_col)).alias("v"))
+        theirs = probed.join(cells, "cell").withColumn("part", F.explode(every("parts"))).select(*block(F.col("part"), deal("query_id", "sets")), F.col("query_id").alias("q"), "v")
+        return ranked(_met(mine, theirs, k, metric, id_col, schema), k, id_col)
+
+
+def recall(found: DataFrame, exact: DataFrame, id_col: str = "tool_id") -> float:
+    """Share of the exact hits (query_id, id) that an approximate search found."""
+    total = exact.count()
+    return 1.0 if not total else exact.join(found.select("query_id", id_col), ["query_id", id_col], "left_semi").count() / total
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
+    length = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return rows / np.where(length == 0, 1, length)
 
 
 def ranked(hits: DataFrame, k: int, id_col: str = "tool_id") -> DataFrame:

@@ -78,3 +78,11 @@ def explain(row) -> str:
     lines += [f"  {k + 1}. {h.tool_id}  {h.score:.4f}" for k, h in enumerate(row.hits)]
     lines += [f"  - {x.tool_id} [{x.stage}] {x.reason}" for x in row.exclusions]
     return "\n".join(lines)
+
+
+def payload(row) -> dict:
+    """One request's nested row as plain values, scores rounded to four digits."""
+    return {
+        "query": row.query_id, "selected": [{"id": h.tool_id, "rank": k + 1, "score": round(h.score, 4)} for k, h in enumerate(row.hits)],
+        "excluded": [{"id": x.tool_id, "stage": x.stage, "reason": x.reason} for x in row.exclusions], "firings": [f.asDict() for f in row.firings or []],
+    }

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import inspect
 import json
+import keyword
 import re
 import types
 import typing
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, MapType, NullType, StringType, StructField, StructType
 
 from ..schema import ITEM
 from .catalogue import normalised_items
@@ -32,6 +34,42 @@ def type_schema(hint: Any) -> dict[str, Any]:
     return {"type": _JSON[hint]} if hint in _JSON else {}
 
 
+_SPARK = {"string": StringType(), "integer": LongType(), "number": DoubleType(), "boolean": BooleanType(), "null": NullType()}
+
+
+def safe_field_name(name: str) -> str:
+    """A name that is an identifier: other characters become underlines, a digit in front gets one before it."""
+    clean = re.sub(r"\W", "_", name, flags=re.A) or "_"
+    return f"_{clean}" if clean[0].isdigit() or keyword.iskeyword(clean) else clean
+
+
+def spark_type(schema: Any) -> DataType:
+    """The Spark type of a JSON Schema; what isn't one plain type is a string."""
+    if not isinstance(schema, Mapping):
+        return StringType()
+    kind = schema.get("type")
+    if isinstance(kind, list):  # a type or null
+        kinds = [k for k in kind if k != "null"]
+        return spark_type({**schema, "type": kinds[0]}) if len(kinds) == 1 else StringType()
+    if kind == "array":
+        return ArrayType(spark_type(schema.get("items")))
+    if kind == "object" or (kind is None and "properties" in schema):
+        return struct_type(schema) if schema.get("properties") else MapType(StringType(), StringType())
+    return _SPARK.get(kind, StringType())
+
+
+def struct_type(schema: Mapping[str, Any]) -> StructType:
+    """The Spark struct of an object schema: declaration order, required fields not null, names made safe and unique."""
+    required, fields, taken = set(schema.get("required") or ()), [], set()
+    for name, field in (schema.get("properties") or {}).items():
+        safe = safe_field_name(str(name))
+        while safe in taken:
+            safe += "_"
+        taken.add(safe)
+        fields.append(StructField(safe, spark_type(field), name not in required))
+    return StructType(fields)
+
+
 def split_docstring(doc: str | None) -> tuple[str, dict[str, str]]:
     """The first paragraph and the parameters under ``Args:``."""
     text = inspect.cleandoc(doc or "")

@@ -272,3 +272,44 @@ def test_texts_of_reports(spark):
     assert report.savings_text(analyze.savings(rows)) == "1 selections: 60 of 4000 tokens sent (measured), 98.5% saved"
     floors = spark.createDataFrame([(90, 0.5, 0.9, 0.1, 0.2)], "percentile int, floor double, noise_rejected double, samples_emptied double, samples_thinned double")
     assert "p90: floor 0.5000" in report.calibration_text(floors) and evaluate.recommended(floors) == 0.5 and evaluate.recommended(floors, 50) is None
+
+
+def test_approximate_index_reaches_its_recall(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("tool_id"), F.col("embedding").alias("vector"))
+    asked = e.filter("tool_id % 20 = 0").select(F.col("tool_id").alias("query_id"), "vector")
+    exact = vectors.search(e, asked, 10).persist()
+    cells = vectors.Cells.fit(e, 16)
+    placed = cells.place(e).persist()
+    assert placed.count() == e.count() and placed.select("cell").distinct().count() > 8
+    found = cells.search(placed, asked, 10, 11).persist()
+    assert vectors.recall(found, exact) >= 0.9 and vectors.recall(cells.search(placed, asked, 10, 16), exact) == 1.0
+    monkeypatch.setattr(vectors, "INDEX_BLOCK", 5)
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 2)
+    again = cells.search(placed, asked, 10, 11)
+    key = lambda df: sorted((r.query_id, r["rank"], r.tool_id) for r in df.collect())
+    assert key(again) == key(found)
+    assert cells.search(placed, asked.limit(0), 10).count() == 0
+
+
+def test_schemas_become_structs():
+    from orrery.sources import functions as f
+
+    made = f.struct_type({"properties": {"a b": {"type": "integer"}, "a_b": {"type": ["string", "null"]}, "class": {"type": "array", "items": {"type": "number"}}, "1x": {"type": "object", "properties": {"y": {}}}, "m": {"type": "object"}, "o": True}, "required": ["a b"]})
+    assert made.simpleString() == "struct<a_b:bigint,a_b_:string,_class:array<double>,_1x:struct<y:string>,m:map<string,string>,o:string>"
+    assert [x.nullable for x in made.fields] == [False, True, True, True, True, True]
+
+
+def test_protocols_and_async(spark, tmp_path):
+    import asyncio
+
+    from orrery import aio, protocols
+    from orrery.operators.select import Engine, nested, payload
+
+    assert isinstance(maintain.VersionedStore(spark, str(tmp_path)), protocols.Store) and isinstance(P.AllowTools("x"), protocols.PolicyRule)
+    index = conformance.sample(spark).withColumn("cost_level", F.lit(0)).withColumn("required_scopes", F.array().cast("array<string>")).withColumn("owner", F.lit(None).cast("string"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0], None, [], None)], "query_id int, vector array<double>, agent string, scopes array<string>, tenant string")
+    engine = Engine(index)
+    rows = asyncio.run(aio.select(engine, asked, 2))
+    assert [r.tool_id for r in sorted(rows, key=lambda r: r["rank"])][0] == "ns0/item_0" and len(rows) == 2
+    made = payload(nested(engine.evaluated(asked, 2)).first())
+    assert made["selected"][0] == {"id": "ns0/item_0", "rank": 1, "score": 1.0} and len(made["selected"]) == 2 and made["excluded"][0]["stage"] == "truncation"
