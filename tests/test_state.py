@@ -313,3 +313,25 @@ def test_protocols_and_async(spark, tmp_path):
     assert [r.tool_id for r in sorted(rows, key=lambda r: r["rank"])][0] == "ns0/item_0" and len(rows) == 2
     made = payload(nested(engine.evaluated(asked, 2)).first())
     assert made["selected"][0] == {"id": "ns0/item_0", "rank": 1, "score": 1.0} and len(made["selected"]) == 2 and made["excluded"][0]["stage"] == "truncation"
+
+
+def test_streams_of_aliases_savings_and_audits(spark, tmp_path):
+    from orrery.streaming import feedback as stream
+
+    events = spark.createDataFrame([("a", " Red  Bolt", 10, 3.0), ("a", "red bolt", 110, 1.0), ("b", "", 60, 2.0), ("b", "x" * 121, 60, 2.0)], "tool_id string, phrase string, s int, weight double")
+    events = events.withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    events.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = stream.alias_weights(source, 0.0, 100.0).writeStream.outputMode("complete").format("memory").queryName("aliases").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = stream.decayed(spark.table("aliases"), F.lit(210.0), 0.0, 100.0).collect()
+    want = feedback.alias_weights(events, F.lit(210.0), 100.0).collect()
+    assert [(r.tool_id, r.phrase, round(r["count"], 9)) for r in got] == [(r.tool_id, r.phrase, r.weight) for r in want] == [("a", "red bolt", 0.75 + 0.5)]
+    sent = spark.createDataFrame([(3, 200, 120, 8000, 60), (2, 200, 80, 8000, None)], "tools_sent int, catalogue int, est_sent int, est_full int, actual int")
+    sent.write.parquet(str(tmp_path / "sent"))
+    totals = stream.savings_totals(spark.readStream.schema(sent.schema).parquet(str(tmp_path / "sent")))
+    totals.writeStream.outputMode("complete").format("memory").queryName("saved").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("saved").first() == analyze.savings(sent).first()
+    for _ in range(2):
+        stream.append_sink(spark.readStream.schema(sent.schema).parquet(str(tmp_path / "sent")), str(tmp_path / "audit"), str(tmp_path / "c3")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 2  # each row once, however often the stream is started
