@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, join_groups, map_arrow, ship, staged
+from .common import documents, join_groups, map_arrow, ship, staged
 from .components import components
+from .words import lowered_hashes, mix
 
 #: 32 bands of 4 rows: a pair at similarity 0.8 misses every band with probability 5e-8.
 BANDS, ROWS = 32, 4
@@ -34,61 +35,32 @@ BATCH, MISS = 32, 1e-6
 MINOR, MAJOR = 512, 1024
 #: Slots of a bit table a wanted document, and the table's size up to which it is sent to every worker (16 MB).
 SPARE, MAX_TABLE_BITS = 8, 27
-#: Words a worker remembers the hash of.
-MEMO = 200_000
 
 _random = np.random.default_rng(20240229)
 _A = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
-_S = np.uint64(33)
+_M3 = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _S)) * _M1
-    x = (x ^ (x >> _S)) * _M2
-    return x ^ (x >> _S)
-
-
-class WordHashes(Memo):
-    """64-bit hashes of words, as bytes."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        h = xxhash.xxh3_64_digest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_hashes = WordHashes(MEMO)
-
-
-def _begin_batch() -> None:
-    """A function of the module, so that workers reach their own memo and not a pickled copy."""
-    _hashes.use()
-
-
-def _end_task() -> None:
-    """Idle workers hold no words."""
-    _hashes.clear()
-
-
-def shingles(text: bytes | None, words: int) -> np.ndarray:
-    """The sorted set of 64-bit hashes of ``words``-word shingles; A-Z are lower-cased.
+def shingled(h: np.ndarray, words: int) -> np.ndarray:
+    """The sorted set of 64-bit hashes of the ``words``-word shingles of a text, given its words' hashes.
 
     With fewer words than that the whole sequence is the one shingle; without words the set is empty.
     """
-    parts = (text or b"").lower().split()  # bytes: only A-Z change, only ASCII white space separates
-    if not parts:
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.frombuffer(b"".join(map(_hashes.__getitem__, parts)), "<u8")
-    n = min(words, len(parts))
+    n = min(words, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        out = _mix(out * _M3 + h[k : len(h) - n + 1 + k])
+        out = mix(out * _M3 + h[k : len(h) - n + 1 + k])
     return np.unique(out)
 
 
+def shingles(text: bytes | None, words: int) -> np.ndarray:
+    """``shingled`` of one text; A-Z are lower-cased, ASCII white space separates."""
+    return shingled(next(lowered_hashes(pa.array([text], pa.binary()))), words)
+
+
 def signature(values: np.ndarray) -> np.ndarray:
     """HASHES minima, 32 bits each, of a non-empty set."""
     low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
@@ -100,7 +72,7 @@ def signature(values: np.ndarray) -> np.ndarray:
 def band_keys(sig: np.ndarray) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64)
     for part in sig.reshape(BANDS, ROWS).T:
-        key = _mix(key * _M3 + part)
+        key = mix(key * _M3 + part)
     return key.view(np.int64)
 
 
@@ -110,10 +82,9 @@ SIGNED = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sig
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _begin_batch()
             size, sets, bands, sigs = [], [], [], []
-            for text in b.column(1).cast(pa.binary()):
-                s = shingles(text.as_py(), words)
+            for h in lowered_hashes(b.column(1).cast(pa.binary())):
+                s = shingled(h, words)
                 size.append(len(s))
                 sets.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sig = signature(s) if len(s) else None
@@ -121,7 +92,6 @@ def _sign(words: int):
                 sigs.append(None if sig is None else sig.astype("<u2").tobytes())  # 16 bits tell a match from chance
             arrays = [pa.array(size, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n_shingles", "set_hash", "bands", "sig"])
-        _end_task()
 
     return run
 
@@ -212,14 +182,12 @@ class Verifier:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                _begin_batch()
                 slot = b.column(2).to_numpy()
                 at = np.arange(len(slot)) if table is None else np.flatnonzero(table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                 at = pa.array(at)
                 texts = b.column(1).take(at).cast(pa.binary())
-                sets = pa.array([shingles(t.as_py(), count).tobytes() for t in texts], pa.binary())
+                sets = pa.array([shingled(h, count).tobytes() for h in lowered_hashes(texts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), sets], ["doc_id", "set"])
-            _end_task()
 
         return map_arrow(docs.select("doc_id", "text", _slot(bits)), run, "doc_id long, set binary")
 

@@ -32,6 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def groups(texts: pa.BinaryArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Texts in groups of about _BYTES: the bytes, each text closed by a space, and where texts begin (and the end)."""
+    if not len(texts):
+        return
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     held = texts.buffers()[2]
     raw = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
