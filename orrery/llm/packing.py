@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow
+from .words import KEPT
+from .words import spans as word_spans
 
 SEQUENCE = 2048
 END_ID = 1
@@ -49,7 +51,6 @@ _CLASS[0xC3] = _FIRST
 _CLASS[0x9F:0xC0] = _SECOND
 _CLASS[0xB7] = 0
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Bytes of text in work at a time, and chunks that are looked up at a time.
 _BYTES, _AT_ONCE = 1 << 20, 1 << 14
 
@@ -179,6 +180,8 @@ class WordIds:
 
     def all_ids(self, texts: pa.BinaryArray) -> Iterator[np.ndarray]:
         """The ids of each text; a null one has none. About _BYTES of text are in work at a time."""
+        if not len(texts):
+            return
         ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         held = texts.buffers()[2]
         raw = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
@@ -195,8 +198,7 @@ class WordIds:
         own = [bool(odd) and any(whole.find(x, a, b) >= 0 for x in odd) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         apart = {k: self.encode(whole[ends[k] : ends[k + 1]].decode()) for k, is_own in enumerate(own) if is_own}
         easy, ends = spaced(raw, ends)
-        white = np.concatenate([[True], _WHITE[easy], [True]])
-        begins, stops = np.flatnonzero(white[:-2] & ~white[1:-1]), np.flatnonzero(~white[1:-1] & white[2:]) + 1
+        begins, stops = word_spans(easy)
         easy = np.append(easy, np.zeros(self.table.LONGEST + 1, np.uint8))
         parts, sizes = [np.empty(0, np.uint16)], [np.zeros(1, np.int64)]
         for at in range(0, len(begins), _AT_ONCE):
@@ -216,7 +218,7 @@ class WordIds:
         keys = []
         for at in (0, 8, 16):
             held = np.clip(lengths - at, 0, 8)
-            keys.append(eights[np.minimum(begins + at, len(raw) - 8)].view("<u8") & _KEPT[held])
+            keys.append(eights[np.minimum(begins + at, len(raw) - 8)].view("<u8") & KEPT[held])
         keys[2] |= lengths.astype(np.uint64) << np.uint64(56)
         long = lengths > table.LONGEST
         value = table.find(keys)
@@ -250,10 +252,6 @@ class WordIds:
                 known = {c: ids[a:b] for c, a, b in zip(plain, [0, *ends], ends)}
         return [known[c] if c in known else self.encode(c.decode()) for c in chunks]
 
-
-#: Masks that keep so many first bytes of eight.
-_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-
 _word_ids: dict[str, WordIds] = {}
 
 
