@@ -157,16 +157,18 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     at = [k / slices for k in range(slices)]
     bounds = ids.agg(F.percentile_approx("doc_id", at, slices * 16).alias("q"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     edges = sorted({bounds.lo, *(bounds.q or [])}) if bounds.lo is not None else [0]
-    edges.append(max(edges[-1], bounds.hi or 0) + 1)
+    tops = [*edges[1:], max(edges[-1], bounds.hi or 0)]
     steps = F.array(*(F.lit(1 << k) for k in range(len(edges).bit_length() - 1, -1, -1)))
-    array = F.array(*map(F.lit, edges)).cast("array<bigint>")
+    array, upper = F.array(*map(F.lit, edges)).cast("array<bigint>"), F.array(*map(F.lit, tops)).cast("array<double>")
+
     def climb(low: Column, power: Column) -> Column:
         up = low + power
         return F.when(F.coalesce(F.try_element_at(array, up) <= F.col("doc_id"), F.lit(False)), up).otherwise(low)
 
     rank = F.greatest(F.aggregate(steps, F.lit(0), climb), F.lit(1))
-    low, high = F.element_at(array, F.col("__slice")), F.element_at(array, F.col("__slice") + 1)
-    part = F.coalesce(F.least(F.lit(parts - 1), F.floor((F.col("doc_id") - low).cast("double") / (high - low) * parts)), F.lit(0))
+    low = F.element_at(array, F.col("__slice")).cast("double")  # ids may be further apart than a long holds
+    width = F.greatest(F.element_at(upper, F.col("__slice")) - low, F.lit(1.0))
+    part = F.coalesce(F.least(F.lit(parts - 1), F.floor((F.col("doc_id").cast("double") - low) / width * parts)), F.lit(0))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.withColumn("__slice", rank).withColumn("__bucket", (F.col("__slice") * parts + part).cast("long"))

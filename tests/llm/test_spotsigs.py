@@ -158,3 +158,11 @@ def test_scripts_without_spaces_have_words(spark):
     near = lambda a, b: spark.range(1).select(S.likeness(S.signatures(F.lit(a)), S.signatures(F.lit(b)))).first()[0]
     a = "今天天气很好我们一起去公园散步然后回家吃饭看书睡觉明天再去学校上课学习新的知识和朋友们聊天"
     assert near(a, a[:-2] + "玩耍") > 0.5 > near(a, a[::-1])
+
+
+def test_ids_at_the_ends_of_their_range(make, monkeypatch):
+    monkeypatch.setattr(S, "SLICE_ROWS", 1)
+    rng = random.Random(8)
+    ids = sorted({-(1 << 63), (1 << 63) - 1, (1 << 63) - 2, 0, -1, 1, *(rng.randrange(-(1 << 63), 1 << 63) for _ in range(40))})
+    rows = [(i, f"the word {i} of a text " * (k % 3)) for k, i in enumerate(ids)]
+    check(rows, report(S.edit_report(make(rows))))
