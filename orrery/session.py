@@ -56,6 +56,12 @@ def _trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system: after large tables were on the driver, or in a worker."""
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors; workers give memory back after each batch."""
     ship(df.sparkSession)
@@ -63,8 +69,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFra
     def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in run(batches):
             yield out
-            pa.default_memory_pool().release_unused()
-            _trim()
+            give_back()
         _trim()
 
     return df.mapInArrow(frugal, schema)
