@@ -36,8 +36,8 @@ def ship(spark: SparkSession) -> None:
     Sends the package to the executors once an application, so that they need no installation, and lowers Spark's
     default of 64 MB a batch, which several copies of a batch in each worker would multiply.
     """
-    if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
-        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    if spark.conf.get(_BATCH_KEY) == _BATCH_DEFAULT:  # with a default of its own, get would not tell Spark's
+        spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

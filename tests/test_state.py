@@ -335,3 +335,20 @@ def test_streams_of_aliases_savings_and_audits(spark, tmp_path):
     for _ in range(2):
         stream.append_sink(spark.readStream.schema(sent.schema).parquet(str(tmp_path / "sent")), str(tmp_path / "audit"), str(tmp_path / "c3")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 2  # each row once, however often the stream is started
+
+
+def test_batches_to_python_are_bounded(spark):
+    import pyarrow as pa
+
+    from orrery import session
+
+    session.ship(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{session.BATCH_BYTES}b"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    rows = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("t"))
+    found = [r.n for r in session.map_arrow(rows, sizes, "n long").collect()]
+    assert len(found) > 3 and max(found) < 1.1 * session.BATCH_BYTES
