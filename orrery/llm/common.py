@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import map_arrow, ship, spread
+from ..session import give_back, map_arrow, ship, spread
 
-__all__ = ["Memo", "documents", "join_groups", "map_arrow", "release_staged", "shared_dir", "ship", "staged", "word_count"]
+__all__ = ["Memo", "documents", "give_back", "join_groups", "map_arrow", "release_staged", "shared_dir", "ship", "staged", "word_count"]
 
 #: ASCII white space, the separator of words in every operator here.
 WHITE = r"[\x20\x09-\x0D]"

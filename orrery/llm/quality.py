@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow
+from .common import documents, give_back, map_arrow
 from .words import hashes_and_shapes
 
 #: Documented bounds of what the fit sees: labelled documents, and the documents drawn in a round for the views to label
@@ -245,6 +245,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     classes there is no model (None).
     """
     known = labels.filter(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.round(F.avg(label_col)).cast("int").alias("__y"))
+    try:
+        return _fitted(docs, known, max_labelled, max_pool)
+    finally:
+        give_back()
+
+
+def _fitted(docs: DataFrame, known: DataFrame, max_labelled: int, max_pool: int) -> Model | None:
     n_labels, n_docs = known.count(), docs.count()
     spread = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_003))
     cut = lambda most, n: int(1_000_003 * min(1.0, most / max(n, 1)))
