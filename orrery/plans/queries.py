@@ -1008,7 +1008,7 @@ def _hashed_sql(source: str, id_: str, text_: str, p: str = "") -> tuple[str, ..
 
 @query("hash_embed_native", S.q(S.CAT, *_hashed_sql("cat", "tool_id", S.index_text()), "select id, bucket, round(weight, 6) as weight from u where abs(weight) > 1e-12::double"))
 def hash_embed_native(spark, sf):
-    out = embed.hashing_native(maintain.with_text(parts(spark, sf)).select("tool_id", "text"), "tool_id", "text")
+    out = embed.hashing_native(maintain.with_text(spread(parts(spark, sf))).select("tool_id", "text"), "tool_id", "text")
     return out.select("id", "bucket", r6("weight"))
 
 

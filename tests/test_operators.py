@@ -488,3 +488,10 @@ def test_nearest_rank_of_nothing_and_of_many(spark):
     values = [(k * k % 10007) / 3 for k in range(5000)]
     got = {r.percentile: r.value for r in evaluate.nearest_rank(spark.createDataFrame([(v,) for v in values], "v double"), "v", (1, 37, 99)).collect()}
     assert got == {p: sorted(values)[round(p / 100 * 4999)] for p in (1, 37, 99)}
+
+
+def test_native_hashing_shuffles_nothing(spark):
+    df = spark.createDataFrame([(1, "a b a b a"), (2, ""), (3, None)], "id long, text string")
+    out = embed.hashing_native(df, "id", "text", 64)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in out.collect()} == {1}
