@@ -1017,11 +1017,11 @@ def hash_embed_native(spark, sf):
                                "every as (select s_suppkey as query_id, tool_id, round(coalesce(score, 0), 9) + 0.0::double as score from supplier cross join cat left join pair on pair.query_id = s_suppkey and pair.tool_id = cat.tool_id)".replace("select s_suppkey as query_id, tool_id,", "select s_suppkey as query_id, cat.tool_id as tool_id,"),
                                "hits as (select *, row_number() over (partition by query_id order by score desc, tool_id)::int as rank from every qualify rank <= 5)", _TOP))
 def semantic_retrieve(spark, sf):
-    items = maintain.with_text(parts(spark, sf)).select("tool_id", "text")
-    index = embed.dense(embed.hashing_native(items, "tool_id", "text")).withColumnRenamed("id", "tool_id")
+    items = maintain.with_text(spread(parts(spark, sf))).select("tool_id", "text")
+    index = embed.hashed_rows(items, "tool_id", "text").withColumnRenamed("id", "tool_id")
     asked = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("red bolt of type economy "), F.col("s_suppkey")).alias("text"))
-    vectors_ = embed.dense(embed.hashing_native(asked, "s_suppkey", "text")).withColumnRenamed("id", "query_id")
-    return vectors.search(index, vectors_, 5).select("query_id", "tool_id", "rank", r6("score"))
+    vectors_ = embed.hashed_rows(asked, "s_suppkey", "text").withColumnRenamed("id", "query_id")
+    return vectors.search(index, vectors_, 5, dim=embed.DIM).select("query_id", "tool_id", "rank", r6("score"))
 
 
 def overlap(query: str, texts: list[str]) -> list[float]:

@@ -490,6 +490,19 @@ def test_nearest_rank_of_nothing_and_of_many(spark):
     assert got == {p: sorted(values)[round(p / 100 * 4999)] for p in (1, 37, 99)}
 
 
+def test_sparse_searches_equal_their_sql_in_blocks_and_give_texts_without_features_a_row(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, f"red bolt {k}" if k else "..") for k in range(40)], "id long, text string")
+    index = embed.hashed_rows(texts, "id", "text", 64).withColumnRenamed("id", "tool_id")
+    asked = embed.hashed_rows(texts.filter("id < 9"), "id", "text", 64).withColumnRenamed("id", "query_id")
+    whole = sorted(map(tuple, vectors.search(index, asked, 5, dim=64).collect()))
+    assert [r[1:] for r in whole[:5]] == [(k, 0.0, k + 1) for k in range(5)]
+    wide = vectors.search(index.withColumn("vector", F.expr("transform(sequence(0, 63), b -> aggregate(filter(vector, x -> x.bucket = b), 0D, (s, x) -> s + x.weight))")), asked.withColumn("vector", F.expr("transform(sequence(0, 63), b -> aggregate(filter(vector, x -> x.bucket = b), 0D, (s, x) -> s + x.weight))")), 5)
+    assert sorted(map(tuple, wide.collect())) == whole
+    for name, value in (("MAX_QUERIES", 4), ("INDEX_BLOCK", 16), ("MAX_SCORES", 8)):
+        monkeypatch.setattr(vectors, name, value)
+    assert sorted(map(tuple, vectors.search(index, asked, 5, dim=64).collect())) == whole
+
+
 def test_native_hashing_shuffles_nothing(spark):
     df = spark.createDataFrame([(1, "a b a b a"), (2, ""), (3, None)], "id long, text string")
     out = embed.hashing_native(df, "id", "text", 64)
