@@ -1058,7 +1058,7 @@ def _ablated(name: str, text_sql: str) -> str:
 @query("enrichment_ablation", " union all ".join(_ablated(n, t) for n, (_, t) in _VARIANTS.items()))
 def enrichment_ablation(spark, sf):
     """Precision of keyword retrieval, by what goes into the index text, for a question about every twentieth item."""
-    cat = parts(spark, sf)
+    cat = spread(parts(spark, sf))
     asked = cat.filter("key % 20 = 0").select(F.col("key").alias("query_id"), F.col("namespace").alias("want"), F.concat_ws(" ", F.split_part("name", F.lit("_"), F.lit(2)), "namespace", F.element_at("tags", 1)).alias("text"))
     out = None
     for name, (config, _) in _VARIANTS.items():

@@ -508,3 +508,27 @@ def test_native_hashing_shuffles_nothing(spark):
     out = embed.hashing_native(df, "id", "text", 64)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.id for r in out.collect()} == {1}
+
+
+def test_keyword_search_scores_like_documents_and_queries_once(spark):
+    words = ["red bolt", "red ring", "blue bolt bolt", "red bolt", "ring of blue", "..."]
+    texts = [(k, words[k % 6] if k % 5 else words[k % 6] + " steel") for k in range(60)]
+    corpus = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = spark.createDataFrame([(k, ("red bolt", "bolt red", "steel steel ring", "none")[k % 4]) for k in range(12)], "query_id long, text string")
+    allowed = corpus.filter("doc_id <> 3").select("doc_id")
+    found = retrieve.KeywordIndex.build(corpus, only=retrieve.KeywordIndex.terms_of(asked)).search(asked, 7, "doc_id", allowed)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()  # no row for each pair of a query and a document
+    docs = {k: [w for w in t.replace(".", " ").split() if w] for k, t in texts}
+    mean = sum(map(len, docs.values())) / len(docs)
+    want = []
+    for q in asked.collect():
+        scored = []
+        for k, d in docs.items():
+            part = 0.0
+            for w in q.text.split():
+                df, tf = sum(w in x for x in docs.values()), d.count(w)
+                part += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * max(len(d), 1) / mean))
+            if part > 0 and k != 3:
+                scored.append((-round(part, 9), k))
+        want += [(q.query_id, k, -s, place) for place, (s, k) in enumerate(sorted(scored)[:7], 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
