@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..functions.vectors import MAX_SCORES, best_rows, ranked
+from ..functions.vectors import MAX_SCORES, ranked
 from ..session import ship
 
 K1, B = 1.5, 0.75
 RRF_K = 60
 #: Query terms that are broadcast to the tokens of a corpus.
 MAX_TERMS = 100_000
-#: Documents and queries of a block in a search; a word is multiplied as a matrix if this share of their pairs have it.
-DEAL, DENSE = 16_384, 1 / 128
+#: Documents and queries of a block in a search; a word is multiplied as a matrix if this share of their
+#: pairs have it; documents of a group whose best score alone is looked at first.
+DEAL, DENSE, GROUP = 16_384, 1 / 512, 64
 HYBRID_OVERFETCH, PIPELINE_OVERFETCH, MAX_CANDIDATES = 3.0, 4.0, 100
 
 
@@ -156,11 +157,8 @@ def _best_classes(classes: DataFrame, bags: DataFrame, k: int) -> DataFrame:
             scorer = _Block(held["terms"].combine_chunks(), held["weights"].combine_chunks())
             step = max(1, MAX_SCORES // len(ids))
             for at in range(0, len(wants), step):
-                s = scorer.scores(wants[at : at + step])
-                best = best_rows(s.T, k).T
-                score = np.take_along_axis(s, best, 1)
-                q, place = np.nonzero(score > 0)
-                found.append((q + at, best[q, place], score[q, place]))
+                q, doc, score = _best_columns(scorer.scores(wants[at : at + step]), k)
+                found.append((q + at, doc, score))
         q, doc, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"bag": wants.take(pa.array(q)), "class": ids.take(pa.array(doc)), "score": score})
 
@@ -172,6 +170,22 @@ def _best_classes(classes: DataFrame, bags: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place")
 
 
+def _best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k highest scores above 0 of each row; among equal ones the lower column."""
+    groups = s.shape[1] // GROUP
+    least = np.zeros(len(s))
+    if groups > k:  # k groups have a score as high as the k-th highest of the groups' maxima, so at least k scores are
+        most = s[:, : groups * GROUP].reshape(len(s), groups, GROUP).max(2)
+        least = np.maximum(np.partition(most, groups - k, axis=1)[:, groups - k], 0.0)
+    row, column = np.nonzero((s >= least[:, None]) & (s > 0))
+    score = s[row, column]
+    order = np.lexsort((column, -score, row))
+    row, column, score = row[order], column[order], score[order]
+    sizes = np.bincount(row, minlength=len(s))
+    keep = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < k
+    return row[keep], column[keep], score[keep]
+
+
 class _Block:
     """The words of a block of documents and their weights, to score bags of words against."""
 

@@ -532,3 +532,12 @@ def test_keyword_search_scores_like_documents_and_queries_once(spark):
                 scored.append((-round(part, 9), k))
         want += [(q.query_id, k, -s, place) for place, (s, k) in enumerate(sorted(scored)[:7], 1)]
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_best_columns_keep_ties_in_order():
+    rng = np.random.default_rng(1)
+    s = np.round(rng.random((20, 700)) * 12) * (rng.random((20, 700)) < 0.7)
+    s[3], s[4, 5:] = 0, 0
+    row, column, score = retrieve._best_columns(s, 6)
+    want = [(r, c) for r in range(20) for c in sorted(range(700), key=lambda c: (-s[r, c], c))[:6] if s[r, c] > 0]
+    assert list(zip(row.tolist(), column.tolist())) == want and (s[row, column] == score).all()
