@@ -1090,6 +1090,7 @@ def multiturn_sweep(spark, sf):
     for n, weight in _TURNS:
         one = feedback.contextual_queries(turns, n, weight).select((F.col("conv_id") * 100 + n * 10 + weight).alias("query_id"), F.col("query").alias("text"))
         asked = one if asked is None else asked.unionByName(one)
+    asked = asked.persist()  # folded once, read several times
     found = retrieve.KeywordIndex.build(corpus, "conv_id", only=retrieve.KeywordIndex.terms_of(asked)).search(asked, 5, "conv_id")
     good = found.filter(F.col("conv_id") == F.floor(F.col("query_id") / 100)).select("query_id", F.lit(1).alias("good"))
     per = asked.select("query_id").join(good, "query_id", "left")
