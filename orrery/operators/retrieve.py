@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..functions.vectors import MAX_SCORES, ranked
+from ..functions.vectors import MAX_SCORES, bound, ranked
 from ..session import ship
 
 K1, B = 1.5, 0.75
@@ -20,8 +20,8 @@ RRF_K = 60
 #: Query terms that are broadcast to the tokens of a corpus.
 MAX_TERMS = 100_000
 #: Documents and queries of a block in a search; a word is multiplied as a matrix if this share of their
-#: pairs have it; documents of a group whose best score alone is looked at first.
-DEAL, DENSE, GROUP = 16_384, 1 / 512, 64
+#: pairs have it.
+DEAL, DENSE = 16_384, 1 / 512
 HYBRID_OVERFETCH, PIPELINE_OVERFETCH, MAX_CANDIDATES = 3.0, 4.0, 100
 
 
@@ -64,7 +64,7 @@ class KeywordIndex:
         if only is not None:
             few = only.limit(MAX_TERMS + 1).count() <= MAX_TERMS
             wanted = only.select(F.col("term").alias("__t"))
-            words = words.join(F.broadcast(wanted) if few else wanted, F.col("term") == F.col("__t"), "left").select("id", "length", F.col("__t").alias("term"))
+            words = words.join(F.broadcast(wanted) if few else wanted, F.col("term") == F.col("__t"), "left").filter("__t is not null or term is null").select("id", "length", F.col("__t").alias("term"))
         counts = words.groupBy("term", "id", "length").agg(F.count("*").alias("tf")).persist()
         return KeywordIndex._of(counts, few)
 
@@ -123,9 +123,13 @@ class KeywordIndex:
             held = held.join(allowed.select(F.col(id_col).alias("id")), "id", "left_semi")
         docs = held.groupBy("id").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
         alike = Window.partitionBy(F.sha2(F.to_json("entries"), 256)).orderBy("id")
-        first = docs.select("id", "entries", F.row_number().over(alike).alias("place"), F.min("id").over(alike).alias("class")).filter(F.col("place") <= k).persist()
+        first = docs.select("id", "entries", F.row_number().over(alike).alias("place"), F.min("id").over(alike).alias("class"))
+        first = first.filter(F.col("place") <= k).persist()
         self.kept.append(first)
         best = _best_classes(first.filter("place = 1").select("id", "entries"), asked.select("bag").distinct(), k)
+        higher, same = Window.partitionBy("bag").orderBy(F.desc("score")), Window.partitionBy("bag", "score")
+        sized = best.join(first.groupBy("class").agg(F.count("*").alias("size")), "class").withColumn("above", F.sum("size").over(higher) - F.sum("size").over(same))
+        best = sized.filter(F.col("above") < k)  # else k members of classes with a higher score come before all of its own
         members = first.select("class", F.col("id").alias(id_col))
         hits = best.join(members, "class").select("bag", id_col, "score")
         order = Window.partitionBy("bag").orderBy(F.desc("score"), F.asc(id_col))
@@ -172,11 +176,7 @@ def _best_classes(classes: DataFrame, bags: DataFrame, k: int) -> DataFrame:
 
 def _best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and score of the k highest scores above 0 of each row; among equal ones the lower column."""
-    groups = s.shape[1] // GROUP
-    least = np.zeros(len(s))
-    if groups > k:  # k groups have a score as high as the k-th highest of the groups' maxima, so at least k scores are
-        most = s[:, : groups * GROUP].reshape(len(s), groups, GROUP).max(2)
-        least = np.maximum(np.partition(most, groups - k, axis=1)[:, groups - k], 0.0)
+    least = np.maximum(bound(s, k), 0.0)
     row, column = np.nonzero((s >= least[:, None]) & (s > 0))
     score = s[row, column]
     order = np.lexsort((column, -score, row))

@@ -196,9 +196,10 @@ def latest_user_turn(spark, sf):
 # retrieval --------------------------------------------------------------------------------------------------------
 
 
-def indexed(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), vectors.doubles(F.col("embedding")).alias("vector"), "label")
-    return parts(spark, sf).join(e, "key")
+def indexed(spark: SparkSession, sf: str, vector: Callable[[F.Column], F.Column] = vectors.doubles) -> DataFrame:
+    """The items that have a vector; only these are made into items."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("p_partkey"), vector(F.col("embedding")).alias("vector"), "label")
+    return C.catalogue_view(table(spark, sf, "part").join(e, "p_partkey"), "vector", "label")
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -277,10 +278,10 @@ def bm25_topk(spark, sf):
 
 def catalogue_runs(spark: SparkSession, sf: str, k: int) -> tuple[DataFrame, DataFrame]:
     """The semantic and the keyword run of the requests over the catalogue."""
-    idx = maintain.with_text(indexed(spark, sf))
-    asked = idx.filter("key % 20 = 0").select(F.col("key").alias("query_id"), F.col("description").alias("text"))
+    idx = maintain.with_text(indexed(spark, sf, lambda v: v)).select("key", "tool_id", "description", "text", "vector").persist()  # joined once, read several times
+    asked = idx.filter("key % 20 = 0").select(F.col("key").alias("query_id"), F.col("description").alias("text"), "vector")
     keyword = retrieve.KeywordIndex.build(idx, "tool_id", only=retrieve.KeywordIndex.terms_of(asked)).search(asked, k)
-    return vectors.search(idx, requests(spark, sf), k), keyword
+    return vectors.search(idx, asked, k), keyword
 
 
 _RUNS = (

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from orrery.functions import embed, text, vectors
 from orrery.operators import analyze, evaluate, feedback, hooks, maintain, render, rerank, retrieve
 from orrery.operators import policy as P
 from orrery.operators.filters import Filters
+from orrery.plans import queries as Q
 from orrery.sources import catalogue as C
 from orrery.sources.functions import FunctionSource, split_docstring, type_schema
 from orrery.sources.openapi import operation_name, operations, read_openapi
@@ -541,3 +543,50 @@ def test_best_columns_keep_ties_in_order():
     row, column, score = retrieve._best_columns(s, 6)
     want = [(r, c) for r in range(20) for c in sorted(range(700), key=lambda c: (-s[r, c], c))[:6] if s[r, c] > 0]
     assert list(zip(row.tolist(), column.tolist())) == want and (s[row, column] == score).all()
+
+
+def test_search_rounds_and_sorts_few_of_the_scores(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows, asked = rng.normal(size=(4000, 8)), rng.normal(size=(50, 8))
+    want = vectors.scores(rows, asked, "cosine")
+    rounded, plain = [], np.round
+    monkeypatch.setattr(np, "round", lambda a, *x, **y: (rounded.append(np.size(a)), plain(a, *x, **y))[1])
+    best = vectors.Best(asked, 5, "cosine")
+    best.see(pa.array([f"t{k:04d}" for k in range(4000)]), rows)
+    out = best.table(pa.array(range(50)), "tool_id")
+    assert sum(rounded) < want.size / 10
+    assert [x.as_py() for x in out["tool_id"]] == [f"t{r:04d}" for q in range(50) for r in np.argsort(-want[:, q], kind="stable")[:5]]
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_search_among_equal_and_odd_rows_in_batches(monkeypatch, metric):
+    monkeypatch.setattr(vectors, "MAX_SCORES", 5000)
+    rng = np.random.default_rng(5)
+    rows = np.round(rng.normal(size=(900, 3)), 1)
+    rows[100:700], rows[5], rows[7, 0], rows[9] = rows[0], 0, np.nan, np.inf
+    names = np.array([f"t{k:03d}" for k in rng.permutation(900)])
+    with np.errstate(all="ignore"):
+        s = vectors.scores(rows, rows[:20], metric)
+        for k in (1, 6, 1000):
+            best = vectors.Best(rows[:20], k, metric)
+            for at in range(0, 900, 130):
+                best.see(pa.array(names[at : at + 130]), rows[at : at + 130])
+            out = best.table(pa.array(range(20)), "tool_id")
+            order = [sorted(range(900), key=lambda j: (-np.nan_to_num(s[j, q], nan=-np.inf, posinf=np.inf, neginf=-np.inf), names[j]))[:k] for q in range(20)]
+            assert out["tool_id"].to_pylist() == [names[j] for js in order for j in js]
+            assert np.array_equal(np.asarray(out["score"]), np.concatenate([s[js, q] for q, js in enumerate(order)]), equal_nan=True)
+
+
+def test_both_runs_of_a_fusion_read_one_joined_catalogue(spark):
+    for run in Q.catalogue_runs(spark, "/root/testdata/sf0.001", 60):
+        plan = run._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" in plan and "Join Inner, (p_partkey" not in plan.split("InMemoryRelation")[0]
+
+
+def test_members_are_joined_only_to_classes_that_can_be_hits(spark):
+    corpus = spark.createDataFrame([(k, "red bolt" if k % 2 else "red ring steel") for k in range(60)] + [(60, "red bolt bolt"), (61, "red")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "bolt red"), (2, "red"), (3, "ring")], "query_id long, text string")
+    index = retrieve.KeywordIndex.build(corpus, only=retrieve.KeywordIndex.terms_of(asked))
+    found = index.search(asked, 4, "doc_id")
+    assert {(r.query_id, r["rank"]): r.doc_id for r in found.collect()} == {(1, 1): 60, (1, 2): 1, (1, 3): 3, (1, 4): 5, (2, 1): 61, (2, 2): 1, (2, 3): 3, (2, 4): 5, (3, 1): 0, (3, 2): 2, (3, 3): 4, (3, 4): 6}
+    assert "Filter (above" in found._jdf.queryExecution().analyzed().toString()
