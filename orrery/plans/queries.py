@@ -1018,13 +1018,13 @@ def hash_embed_native(spark, sf):
                                "every as (select s_suppkey as query_id, tool_id, round(coalesce(score, 0), 9) + 0.0::double as score from supplier cross join cat left join pair on pair.query_id = s_suppkey and pair.tool_id = cat.tool_id)".replace("select s_suppkey as query_id, tool_id,", "select s_suppkey as query_id, cat.tool_id as tool_id,"),
                                "hits as (select *, row_number() over (partition by query_id order by score desc, tool_id)::int as rank from every qualify rank <= 5)", _TOP))
 def semantic_retrieve(spark, sf):
-    items = parts(spark, sf)
+    part = table(spark, sf, "part")
     cores = spark.sparkContext.defaultParallelism
-    dealt = items.repartition(max(cores, items._jdf.rdd().getNumPartitions()), "key")  # a file's splits may all lie in one row group
-    index = maintain.with_text(dealt).select("tool_id", embed.token_line("text").alias("line"))
-    asked = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("red bolt of type economy "), F.col("s_suppkey")).alias("text"))
+    dealt = part.repartition(max(cores, part._jdf.rdd().getNumPartitions()), "p_partkey")  # a file's splits may all lie in one row group
+    index = maintain.with_text(C.catalogue_view(dealt)).select("tool_id", "text")
+    asked = spread(table(spark, sf, "supplier")).select("s_suppkey", F.concat(F.lit("red bolt of type economy "), F.col("s_suppkey")).alias("text"))
     vectors_ = embed.hashed_rows(asked, "s_suppkey", "text").withColumnRenamed("id", "query_id")
-    return vectors.search(index, vectors_, 5, vector_col="line", dim=embed.DIM, read=embed.Hasher).select("query_id", "tool_id", "rank", r6("score"))
+    return vectors.search(index, vectors_, 5, vector_col="text", dim=embed.DIM, read=embed.Hasher).select("query_id", "tool_id", "rank", r6("score"))
 
 
 def overlap(query: str, texts: list[str]) -> list[float]:

@@ -506,6 +506,15 @@ def test_sparse_searches_equal_their_sql_in_blocks_and_give_texts_without_featur
     assert sorted(map(tuple, vectors.search(index, asked, 5, dim=64).collect())) == whole
 
 
+def test_token_lines_equal_the_tokens_of_the_engine(spark):
+    texts = [None, "", " ", "..", "a", "A", "aB", "ABc", "getHTTPUrl2Go", "x9Y", "Ünïcode größeÄB 漢字a", "a\u0000b\nC", "ſKı", "𝐀b𝐁C", "_snake__case_", "Z z", "", "end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = [r.line or "" for r in df.orderBy("id").select(F.array_join(text.tokenize(F.col("text")), " ").alias("line")).collect()]
+    whole = pa.array(["aB c", *texts, "Z"])
+    assert embed.token_lines(pa.array(texts)).to_pylist() == want == embed.token_lines(whole.slice(1, len(texts))).to_pylist()
+    assert embed.token_lines(pa.array([], pa.string())).to_pylist() == [] and embed.token_lines(pa.array([None, ""], pa.string())).to_pylist() == ["", ""]
+
+
 def test_many_like_sparse_queries_score_few_rows_and_lose_none(monkeypatch):
     rng = np.random.default_rng(3)
     kinds = [f"{a} {b} of type {c}" for a in ("red", "hot", "blue", "large") for b in ("bolt", "ring", "gizmo") for c in ("economy", "small")]
