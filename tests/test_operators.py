@@ -544,7 +544,7 @@ def test_many_like_sparse_queries_score_few_rows_and_lose_none(monkeypatch):
         assert sum(x[1] for x in scored) < 0.35 * 300 * len(texts), "like queries are compared with few rows"
 
 
-def test_many_sparse_queries_do_not_multiply_the_index(spark):
+def test_many_sparse_queries_do_not_multiply_the_index(spark, monkeypatch):
     index = spark.range(3000).selectExpr("concat('t', id) as tool_id", "concat('red bolt ', id % 1700) as line")
     texts = spark.range(4200).selectExpr("id", "concat('red bolt of type economy ', id) as text")
     asked = embed.hashed_rows(texts, "id", "text").withColumnRenamed("id", "query_id")
@@ -552,6 +552,11 @@ def test_many_sparse_queries_do_not_multiply_the_index(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("Exchange") == 1, "rows stay where they are; only hits are shuffled"
     got = {(r.query_id, r["rank"]): (r.tool_id, r.score) for r in found.collect()}
+    monkeypatch.setattr(vectors, "MAX_ENTRIES", 60_000)
+    monkeypatch.setattr(vectors, "INDEX_BLOCK", 100)
+    blocks = vectors.search(index, asked, 3, vector_col="line", dim=embed.DIM, read=embed.Hasher)
+    assert "Generate" in blocks._jdf.queryExecution().executedPlan().toString()
+    assert {(r.query_id, r["rank"]): (r.tool_id, r.score) for r in blocks.collect()} == {k: (v[0], pytest.approx(v[1], abs=1.1e-9)) for k, v in got.items()}
     few = vectors.search(embed.hashed_rows(index, "tool_id", "line").withColumnRenamed("id", "tool_id"), asked.filter("query_id % 300 = 17"), 3, "ip", dim=embed.DIM)
     want = {(r.query_id, r["rank"]): (r.tool_id, r.score) for r in few.collect()}
     assert len(got) == 3 * 4200 and len(want) == 42 and all(got[k] == (v[0], pytest.approx(v[1], abs=1.1e-9)) for k, v in want.items())
